@@ -47,6 +47,48 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return forms.found(_t(spark, d, "reports"), _t(spark, d, "claims"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import leaks
+
+    return leaks.found(_t(spark, d, "documents"), _t(spark, d, "eval_items"), _t(spark, d, "reports"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import leaks
+
+    return leaks.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"), _t(spark, d, "reports"))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import leaks
+
+    return leaks.clean(_t(spark, d, "documents"), _t(spark, d, "eval_items"), _t(spark, d, "reports"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import mixing
+
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+
+
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import mixing
+
+    return mixing.select(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import levels
+
+    return levels.found(_t(spark, d, "documents"), _t(spark, d, "level_labels"))
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import levels
+
+    return levels.profile(_t(spark, d, "documents"), _t(spark, d, "level_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
