@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +44,20 @@ def small_rows(df: DataFrame, what: str, most: int) -> list:
     if len(rows) > most:
         raise ValueError(f"{what} holds more than {most} rows; raise the bound only if the driver and every worker can hold them")
     return rows
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors of a cluster that doesn't have it installed, once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(__file__).resolve().parent.parent
+    to = Path(tempfile.mkdtemp(prefix="marram-")) / "marram-src.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(to))
