@@ -101,14 +101,14 @@ class Items:
         suffix = keys[at]
         low, high = np.searchsorted(suffix, self.key, "left"), np.searchsorted(suffix, self.key, "right")
         docs = np.searchsorted(begin, at, "right") - 1
-        done: dict[tuple[int, int, int], int] = {}
+        done: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
         for q in np.flatnonzero(high > low):
             item, p = int(self.item[q]), int(self.pos[q])
             w = self.words[item]
             rest = w[p : p + DEPTH]
             for r in range(low[q], high[q]):
                 d, a = int(docs[r]), int(at[r])
-                if done.get((d, item, a - p), -1) > p:  # inside a longer match on the same diagonal
+                if any(s <= p < e for s, e in done[d, item, a - p]):  # inside a longer match on the same diagonal
                     continue
                 differs = rows[r, : len(rest)] != rest
                 n = int(differs.argmax()) if differs.any() else len(rest)
@@ -117,7 +117,7 @@ class Items:
                 back = 0
                 while back < p and run[a - back - 1] == w[p - back - 1] and a - back - 1 >= begin[d]:
                     back += 1
-                done[d, item, a - p] = max(done.get((d, item, a - p), -1), p + n)
+                done[d, item, a - p].append((p - back, p + n))
                 out[d, item].append((p - back, a - back - int(begin[d]), n + back))
         return out
 
