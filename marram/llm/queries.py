@@ -23,6 +23,24 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return sentences.counts(_t(spark, d, "reports"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import places
+
+    return places.found(_t(spark, d, "claims"), _t(spark, d, "entities"), _t(spark, d, "gazetteer"))
+
+
+def p2_resolved(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import places
+
+    return places.resolved(_t(spark, d, "claims"), _t(spark, d, "gazetteer"))
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import places
+
+    return places.unmatched(_t(spark, d, "claims"), _t(spark, d, "entities"), _t(spark, d, "gazetteer"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from marram.llm import duplicates
 
@@ -47,6 +65,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return forms.found(_t(spark, d, "reports"), _t(spark, d, "claims"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import languages
+
+    return languages.found(_t(spark, d, "reports"))
+
+
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import languages
+
+    return languages.documents(_t(spark, d, "reports"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from marram.llm import leaks
 
