@@ -33,9 +33,13 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how:
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def bounded_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a frame's size, from the files it reads."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Rows of a few short columns that a broadcast may hold.
+MOST_BROADCAST = 1_000_000
+
+
+def checked(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A narrow frame, to be broadcast if its counted rows are within the bound; beyond it the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def small_rows(df: DataFrame, what: str, most: int) -> list:
