@@ -83,12 +83,14 @@ COMMON = _table((False, r"[:：\-–—]\s*", r""))
 _QUOTES = re.compile(r"«[^«»]*»|“[^“”]*”|\"[^\"]*\"|「[^「」]*」|『[^『』]*』|„[^„“]*“")
 _HAS_QUOTE = re.compile(r"[«“\"「『„]")
 #: A mark with what closes it and white space behind; a mark of scripts without spaces; a line break; a space in Thai.
-_POSSIBLE = re.compile(rf"[{END}](?:[{END}]|\s(?=[!?]))*[{CLOSE}]*(?=\s|$)|[。！？｡।!?؟]+[{CLOSE}]*(?=\w)|(?<=[^\W\d_][^\W_])\.(?=[^\W\d_])|(?<=[\d\s\u0300-\u036f])\.(?=[^\W\d_])|\n|(?<=[ะบ])[^\S\n]+(?=\d)|(?<=[฀-๿\d).])[^\S\n]+(?=[฀-๿A-Za-zÀ-ÿ؀-ۿऀ-ॿ一-鿿])")
+_MARK = rf"[{END}\n](?:(?<=\n)|(?:[{END}]|\s(?=[!?]))*[{CLOSE}]*(?=\s|$)|(?<=[。！？｡।!?؟])[。！？｡।!?؟]*[{CLOSE}]*(?=\w)|(?<=[^\W\d_][^\W_]\.)(?=[^\W\d_])|(?<=[\d\s̀-ͯ]\.)(?=[^\W\d_]))"
+_POSSIBLE = re.compile(_MARK)
+_POSSIBLE_THAI = re.compile(rf"{_MARK}|(?<=[ะบ])[^\S\n]+(?=\d)|(?<=[฀-๿\d).])[^\S\n]+(?=[฀-๿A-Za-zÀ-ÿ؀-ۿऀ-ॿ一-鿿])")
 _THAI = re.compile(r"[฀-๿]")
 _LETTER = re.compile(r"[^\W\d_]")
 _WORDS = re.compile(r"\w")
 _FIELD = re.compile(r"\s*[^\W\d_][^:：.!?؟。\n\d]{0,40}?\s?[:：]\s*\S")
-_SEPARATORS = [re.compile(p) for p in (r"\n", r"\s+/\s+", r"\s*\|\s*", r"\s*[;؛；]\s*", r"\s+[·•]\s+")]
+_SEPARATORS = [(c, re.compile(p)) for c, p in (("\n", r"\n"), ("/", r"\s+/\s+"), ("|", r"\s*\|\s*"), (";؛；", r"\s*[;؛；]\s*"), ("·•", r"\s+[·•]\s+"))]
 _SCRIPTS = [("thai", 0x0E00, 0x0E80), ("arabic", 0x0600, 0x0780), ("devanagari", 0x0900, 0x0980), ("han", 0x2E80, 0xA000)]
 
 
@@ -108,7 +110,9 @@ def _form(text: str) -> list[tuple[int, int]] | None:
     """Fields of a form, or None: at least three parts, two thirds of them labelled."""
     if ":" not in text and "：" not in text:
         return None
-    for sep in _SEPARATORS:
+    for sign, sep in _SEPARATORS:
+        if not any(c in text for c in sign):
+            continue
         cuts = [m.span() for m in sep.finditer(text)]
         if len(cuts) < 2:
             continue
@@ -178,7 +182,7 @@ def units(text: str) -> list[tuple[int, int]]:
     cuts: list[int] = []
     lines: list[int] = []
     inner = False
-    for m in _POSSIBLE.finditer(text):
+    for m in (_POSSIBLE_THAI if _THAI.search(text) else _POSSIBLE).finditer(text):
         at, end = m.start(), m.end()
         line = text[at] == "\n"
         quote = next(((a, b) for a, b in quotes if a < at < b), None)
@@ -221,7 +225,8 @@ def units(text: str) -> list[tuple[int, int]]:
         if not mark and script == "thai" and not _THAI.search(text, max(0, at - 12), at):
             continue
         stop = at if not mark else end
-        if _fits(TABLES[script], text[max(0, stop - 24) : stop], text, j):
+        plain = mark and text[at] not in ".…" and script != "thai"  # only the last pair of a table can fit
+        if plain or _fits(TABLES[script], text[max(0, stop - 14) : stop], text, j):
             cuts.append(stop)
             if j < len(text) and "\n" not in text[end:j]:
                 inner = True
