@@ -57,7 +57,14 @@ def tables() -> dict[str, object]:
                     one_to.append(n)
                 elif n[0] != " ":
                     many[c] = n
-    return {"from": "".join([*one_from, *spaces]), "to": "".join(one_to) + " " * len(spaces), "gone": "".join(invisible), "many": many}
+    pairs = [*zip(one_from, one_to, strict=True), *((c, " ") for c in spaces)]
+    first = {*spaces, *invisible}
+    block = lambda c: 0 if c in first else 1 if "\uff00" <= c else 2 if "\ufb1d" <= c < "\uff00" else 3 if c < "\ufb1d" else 4
+    parts = []  # small maps, as translate builds its map for every row
+    for n in range(5):
+        of = [p for p in pairs if block(p[0]) == n]
+        parts.append(("".join(a for a, _ in of) + ("".join(invisible) if n == 0 else ""), "".join(b for _, b in of)))
+    return {"parts": [p for p in parts if p[0]], "many": many}
 
 
 def _q(s: str) -> str:
@@ -86,31 +93,44 @@ def _steps(col: str) -> list[tuple[str, str]]:
     nukta = col
     for a, b in _NUKTA.items():
         nukta = f"replace({nukta}, {_q(a)}, {_q(b)})"
-    odd = _cls(t["from"] + t["gone"])
+    one = []
+    for i, (a, b) in enumerate(t["parts"]):
+        x = f"p{i - 1}" if i else "s0"
+        one.append((f"p{i}", f"CASE WHEN regexp_matches({x}, '{_cls(a)}') THEN translate({x}, {_q(a)}, {_q(b)}) ELSE {x} END"))
+    one[-1] = ("s1", one[-1][1])
     latin = f"translate(w, {_q(CYRILLIC + GREEK + LATIN)}, {_q(CYRILLIC_AS + GREEK_AS + LATIN_AS)})"
     word = (
-        f"CASE WHEN regexp_matches(w, '[A-Za-z0-9\\x{{C0}}-\\x{{24F}}]') AND regexp_matches(w, '[\\p{{Cyrillic}}\\p{{Greek}}]|{_cls(LATIN)}') THEN {latin} "
+        f"CASE WHEN NOT regexp_matches(w, '[\\p{{Cyrillic}}\\p{{Greek}}{ARABIC}]|{_cls(LATIN)}') THEN w WHEN regexp_matches(w, '[A-Za-z0-9\\x{{C0}}-\\x{{24F}}]') AND regexp_matches(w, '[\\p{{Cyrillic}}\\p{{Greek}}]|{_cls(LATIN)}') THEN {latin} "
         f"WHEN regexp_matches(w, '[{ARABIC}]') AND NOT regexp_matches(w, '[پچژگ]') THEN translate(w, {_q(ARABIC)}, {_q(ARABIC_AS)}) ELSE w END"
     )
     return [
         ("s0", f"CASE WHEN regexp_matches({col}, '[\\x{{958}}-\\x{{95F}}]') THEN {nukta} ELSE {col} END"),
-        ("s1", f"CASE WHEN regexp_matches(s0, '{odd}') THEN translate(s0, {_q(t['from'] + t['gone'])}, {_q(t['to'])}) ELSE s0 END"),
+        *one,
         ("s2", f"CASE WHEN regexp_matches(s1, '{_cls(''.join(t['many']))}') THEN array_to_string(list_transform(string_split(s1, ''), lambda c: coalesce(many[c], c)), '') ELSE s1 END"),
         ("s3", "CASE WHEN regexp_matches(s2, '[\\p{M}\\x{F900}-\\x{FAFF}\\x{212A}\\x{212B}]') THEN replace(replace(nfc_normalize(s2), 'ํา', 'ำ'), 'เเ', 'แ') ELSE s2 END"),
         ("s4", f"CASE WHEN regexp_matches(s3, '[\\p{{Cyrillic}}\\p{{Greek}}{ARABIC}]|{_cls(LATIN)}') THEN array_to_string(list_transform(regexp_extract_all(s3, '{_WORD}|[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: {word}), '') ELSE s3 END"),
     ]
 
 
+#: Characters that are as they should be in the languages at hand; a text of only these is its own consistent form.
+_ORDINARY = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in [(0x9, 0xA), (0x20, 0x7E), (0xA1, 0xA7), (0xAB, 0xAB), (0xB0, 0xB1), (0xB6, 0xB7), (0xBB, 0xBB), (0xBF, 0xFF), (0x152, 0x153), (0x60C, 0x60C), (0x61B, 0x61B), (0x61F, 0x61F), (0x621, 0x63A), (0x641, 0x652), (0x660, 0x66C), (0x900, 0x957), (0x960, 0x97F), (0xE01, 0xE3F), (0xE41, 0xE4C), (0xE4E, 0xE5B), (0x2013, 0x2014), (0x2018, 0x201E), (0x2022, 0x2022), (0x2026, 0x2026), (0x20AC, 0x20AC), (0x3001, 0x3003), (0x3008, 0x3011), (0x4E00, 0x9FFF), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20)])
+#: Sara e is ordinary unless doubled, which looks like sara ae.
+_AS_IS = f"regexp_full_match(_t, '(?:[{_ORDINARY}]|\\x{{E40}}[{_ORDINARY}])*')"
+
+
 def form_sql(col: str = "text", table: str = "b", keep: str = "*", outs: str = "s4 AS form") -> str:
-    """The embedded SQL: consistent form of a column of a registered batch."""
+    """The embedded SQL: consistent form of a column of a registered batch; ordinary texts pass by the steps."""
     many = tables()["many"]
     keys = "[" + ", ".join(map(_q, many)) + "]"
     values = "[" + ", ".join(map(_q, many.values())) + "]"
-    sql = f"(SELECT {keep}, {col} AS _t FROM {table})"
+    src = f"(SELECT *, {_AS_IS} AS _same FROM (SELECT {keep}, {col} AS _t FROM {table}))"
+    sql = f"(SELECT * FROM {src} WHERE NOT _same)"
+    extra = [name for name, _ in _steps("_t") if name[0] == "p"]
     for name, x in _steps("_t"):
         m = f", map({keys}, {values}) AS many" if name == "s1" else ""
         sql = f"(SELECT *, {x} AS {name}{m} FROM {sql})"
-    return f"SELECT {outs} FROM {sql}"
+    plain = f"(SELECT *, _t AS s0, _t AS s1, _t AS s2, _t AS s3, _t AS s4 FROM {src} WHERE _same IS NULL OR _same)"
+    return f"SELECT {outs} FROM (SELECT * EXCLUDE ({", ".join(["many", *extra])}) FROM {sql} UNION ALL SELECT * FROM {plain})"
 
 
 def connect():
