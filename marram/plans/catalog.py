@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marram.operators import orphans
+from marram.functions import text as X
+from marram.functions import vocab as V
+from marram.operators import evidence, graph, ingest, metrics, orphans, scoring, similar
+from marram.operators.rows import once
+from marram.plans import core_sql
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -21,7 +26,258 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.report(_t(spark, d, "reports"), _t(spark, d, "claims"), _t(spark, d, "evidence_links"), _t(spark, d, "audit_log"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p5_report": p5_report}
+_CLAIM = ["report_id", "segment_index", "event_type", "location_text", "resolved_location", "people_affected", "severity", "time_reference", "description", "verification_state", "independent_source_count", "evidence_confidence", "created_at"]
+_REPORT = ["ingested_at", "source_type", "source_language", "raw_text", "location_hint", "reporter_id", "processed", "suspected_injection", "text_hash"]
+
+
+def _claims(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return once(_t(spark, d, "claims"), "event_id", *(columns or _CLAIM))
+
+
+def _reports(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return once(_t(spark, d, "reports"), "report_id", *(columns or _REPORT))
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return once(_t(spark, d, "evidence_links"), "link_id", "event_id", "report_id", "field_path", "reason")
+
+
+def conflicts_detected(spark, d):
+    return evidence.contradictions(_claims(spark, d)).withColumn("day", F.col("day").cast("string"))
+
+
+def conflict_classes(spark, d):
+    c = evidence.claim_classes(_claims(spark, d))
+    return c.select("place", F.col("day").cast("string").alias("day"), "event_type", "people_affected", "clock", F.col("first.event_id").alias("first_event_id"), "n")
+
+
+def conflict_sides(spark, d):
+    return evidence.conflict_sides(_t(spark, d, "conflicts"), _claims(spark, d), _reports(spark, d, "source_language"))
+
+
+def conflicts_fresh(spark, d):
+    stored = _t(spark, d, "conflicts")
+    new = stored.select(F.col("event_b_id").alias("event_a_id"), F.col("event_a_id").alias("event_b_id"), F.when(F.col("status") == "dismissed", "location").otherwise(F.col("conflict_type")).alias("conflict_type"))
+    return evidence.fresh_conflicts(new, stored)
+
+
+def conflicts_by_status(spark, d):
+    return _t(spark, d, "conflicts").where("status = 'unresolved'").select("conflict_id", "conflict_type", "severity", F.date_format("detected_at", "yyyy-MM-dd HH:mm:ss").alias("detected")).orderBy(F.desc("detected"), "conflict_id")
+
+
+def reports_listed(spark, d):
+    r = _reports(spark, d, "ingested_at", "source_language", "processed", "suspected_injection").where("source_language = 'fr' AND processed AND NOT suspected_injection")
+    return r.orderBy(F.desc("ingested_at"), "report_id").limit(200).select("report_id", "source_language", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss").alias("ingested"))
+
+
+def claims_listed(spark, d):
+    c = _claims(spark, d, "event_type", "severity", "location_text", "created_at").where("severity = 'high'").where(F.col("location_text").ilike("%kelghadou%"))
+    return c.orderBy(F.desc("created_at"), "event_id").limit(500).select("event_id", "event_type", "location_text")
+
+
+def reports_pending(spark, d):
+    return _reports(spark, d, "processed", "ingested_at").where("NOT processed").orderBy("ingested_at", "report_id").limit(500).select("report_id")
+
+
+def report_by_id(spark, d):
+    least = _reports(spark, d, "source_type").agg(F.min("report_id").alias("report_id"))
+    return _reports(spark, d, "source_type", "source_language").join(F.broadcast(least), "report_id")  # one row
+
+
+def audit_of_entity(spark, d):
+    a = _t(spark, d, "audit_log")
+    least = a.where("action = 'report_restored'").agg(F.min("entity_id").alias("entity_id"))
+    return a.join(F.broadcast(least), "entity_id").select("audit_id", "entity_id", "action", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss").alias("logged")).orderBy("logged", "audit_id")  # one row
+
+
+def audit_recent(spark, d):
+    return _t(spark, d, "audit_log").orderBy(F.desc("logged_at"), "audit_id").limit(100).select("audit_id", "action")
+
+
+def audit_appended(spark, d):
+    return ingest.audit_rows(_reports(spark, d, "ingested_at")).select("audit_id", "entity_id", "action")
+
+
+def ingest_checked(spark, d):
+    return ingest.ingested(_reports(spark, d, "raw_text", "source_language", "source_type", "location_hint", "reporter_id"))
+
+
+def ingest_new(spark, d):
+    r = _reports(spark, d, "ingested_at", "processed")
+    return r.join(r.where("processed").select("report_id"), "report_id", "left_anti").select("report_id")
+
+
+def ingest_hash_check(spark, d):
+    return ingest.hash_check(_reports(spark, d, "raw_text", "text_hash"))
+
+
+def segments_of_reports(spark, d):
+    return ingest.segmented(_reports(spark, d, "raw_text"))
+
+
+def text_model_view(spark, d):
+    return _reports(spark, d, "raw_text").select("report_id", X.model_view(F.col("raw_text")).alias("view"))
+
+
+def text_severity(spark, d):
+    return _reports(spark, d, "raw_text").select("report_id", X.licensed_severity(F.col("raw_text")).alias("severity"))
+
+
+def text_normal(spark, d):
+    return _reports(spark, d, "raw_text").select("report_id", X.normal(F.col("raw_text"), False).alias("form"))
+
+
+def text_normal_compatible(spark, d):
+    return _reports(spark, d, "raw_text").select("report_id", X.normal(F.col("raw_text")).alias("form"))
+
+
+def text_fingerprints(spark, d):
+    return _reports(spark, d, "raw_text").select("report_id", X.fingerprint(F.col("raw_text"), False).alias("fingerprint"))
+
+
+def text_clocks(spark, d):
+    c = X.clocks(F.col("raw_text"))
+    return _reports(spark, d, "raw_text").select("report_id", F.array_join(c, "/").alias("clocks"), X.minutes(F.array_min(c)).alias("first_minute")).where("clocks <> ''")
+
+
+def text_words(spark, d):
+    w = X.words(F.col("raw_text"))
+    return _reports(spark, d, "raw_text").select("report_id", F.size(w).cast("long").alias("words"), F.size(F.array_distinct(w)).cast("long").alias("distinct_words"))
+
+
+def text_wire(spark, d):
+    c = _claims(spark, d, "event_type", "location_text", "people_affected", "severity", "time_reference")
+    q = lambda x: F.coalesce(F.concat(F.lit('"'), F.replace(F.col(x), F.lit('"'), F.lit('""')), F.lit('"')), F.lit("null"))
+    wire = F.concat(F.lit("events:[{type:"), "event_type", F.lit(",location:"), q("location_text"), F.lit(",people:"), F.coalesce(F.col("people_affected").cast("string"), F.lit("null")), F.lit(",severity:"), "severity", F.lit(",time:"), q("time_reference"), F.lit(",desc:null}]"))
+    return c.select("event_id", F.explode(X.wire_events(wire)).alias("e")).select("event_id", F.col("e.event_type"), F.col("e.location_text"), F.col("e.people_affected").cast("int").alias("people_affected"), F.col("e.severity"), F.col("e.time_reference"))
+
+
+def guard_counts(spark, d):
+    c = _claims(spark, d, "report_id", "people_affected").where("people_affected IS NOT NULL")
+    return c.join(_reports(spark, d, "raw_text"), "report_id").select("event_id", X.grounded_count(F.col("people_affected").cast("string"), F.col("raw_text")).alias("people"))
+
+
+def guard_severity(spark, d):
+    j = _claims(spark, d, "report_id", "severity").join(_reports(spark, d, "raw_text", "suspected_injection"), "report_id")
+    return j.select("event_id", X.capped_severity(F.col("severity"), X.licensed_severity(F.col("raw_text")), F.col("suspected_injection")).alias("severity"))
+
+
+def guard_places(spark, d):
+    c = _claims(spark, d, "location_text")
+    clean = X.cleaned(F.col("location_text"), F.trim(F.regexp_replace(F.lower("location_text"), r"\s+", " ")))
+    return c.select("event_id", F.when(~X.is_echo(clean), clean).alias("place"))
+
+
+def guard_types(spark, d):
+    return _claims(spark, d, "event_type").select("event_id", F.when(F.col("event_type").isin(V.EVENT_TYPES), F.col("event_type")).otherwise("other").alias("event_type"))
+
+
+def guard_uncertainties(spark, d):
+    note = lambda cond, what: F.when(cond, F.lit(what))
+    notes = F.array_compact(F.array(note(F.col("people_affected").isNull(), "no people count stated in report"), note(F.col("severity") == "unknown", "severity not stated in report"), note(F.coalesce("location_text", F.lit("")) == "", "no location stated in report"), note(F.coalesce("time_reference", F.lit("")) == "", "no time reference stated in report")))
+    return _claims(spark, d, "people_affected", "severity", "location_text", "time_reference").select("event_id", F.array_join(notes, "; ").alias("notes"))
+
+
+def links_unpivoted(spark, d):
+    return evidence.unpivoted(_claims(spark, d))
+
+
+def links_ungrounded(spark, d):
+    return evidence.ungrounded(_claims(spark, d, "report_id"), _links(spark, d))
+
+
+def links_reports_per_claim(spark, d):
+    return _links(spark, d).where("event_id IS NOT NULL").groupBy("event_id").agg(F.countDistinct("report_id").alias("reports"), F.count("*").alias("links"))
+
+
+def claims_with_reports(spark, d):
+    r = _reports(spark, d, "reporter_id", "source_language", "suspected_injection")
+    return _claims(spark, d, "report_id", "event_type").join(r, "report_id", "left").select("event_id", "report_id", "event_type", "reporter_id", "source_language", "suspected_injection")
+
+
+def duplicates_exact(spark, d):
+    return evidence.duplicate_groups(_reports(spark, d, "ingested_at", "text_hash"))
+
+
+def duplicates_members(spark, d):
+    return evidence.group_members(_reports(spark, d, "text_hash"))
+
+
+def duplicates_names(spark, d):
+    return similar.similar_pairs(_t(spark, d, "gazetteer").select(X.normal(F.col("name"), False).alias("value")))
+
+
+def corroboration(spark, d):
+    return evidence.corroboration(_claims(spark, d), _reports(spark, d))
+
+
+def confidence_grid(spark, d):
+    g = spark.range(0, 80).select((F.col("id") % 10).cast("int").alias("sources"), (F.floor(F.col("id") / 10) % 4 + 1).cast("int").alias("languages"), F.when(F.col("id") < 40, 1.0).otherwise(0.7).alias("weight"))
+    return g.withColumn("confidence", evidence.confidence(F.col("sources"), F.col("languages"), F.col("weight")))
+
+
+def places_first_names(spark, d):
+    return evidence.first_names(_claims(spark, d))
+
+
+def places_aliases(spark, d):
+    names = _claims(spark, d, "location_text").select(X.place_name(F.col("location_text"), False).alias("name_key")).distinct()
+    return evidence.same_group_names(names, _t(spark, d, "gazetteer"))
+
+
+def places_keys(spark, d):
+    c = F.col("location_text")
+    return _claims(spark, d, "location_text").where("location_text IS NOT NULL").select("event_id", X.place_key(c, False).alias("key"), X.place_name(c, False).alias("name"), F.lower(F.trim(c)).alias("raw"), X.is_generic(X.place_name(c, False)).alias("generic"), F.array_join(F.array_sort(X.content_tokens(X.place_name(c, False))), " ").alias("tokens"))
+
+
+def graph_nodes(spark, d):
+    return graph.nodes(_claims(spark, d), _reports(spark, d, "source_type"))
+
+
+def graph_edges(spark, d):
+    return graph.edges(_claims(spark, d), _t(spark, d, "conflicts"))
+
+
+def graph_stats(spark, d):
+    return graph.edges(_claims(spark, d), _t(spark, d, "conflicts")).groupBy("rel").agg(F.count("*").alias("edges"))
+
+
+def metrics_summary(spark, d):
+    return metrics.summary(_claims(spark, d), _reports(spark, d, "suspected_injection", "processed"), _t(spark, d, "conflicts"))
+
+
+def metrics_states(spark, d):
+    return metrics.histogram(_claims(spark, d, "verification_state"), "verification_state")
+
+
+def metrics_languages(spark, d):
+    return metrics.histogram(_reports(spark, d, "source_language"), "source_language")
+
+
+def score_locations(spark, d):
+    tok = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+", -1), lambda w: w != ""))
+    c = _claims(spark, d, "location_text", "resolved_location").where("location_text IS NOT NULL AND resolved_location IS NOT NULL")
+    return c.select("event_id", F.round(scoring.token_f1(tok(F.col("location_text")), tok(F.col("resolved_location"))), 6).alias("f1"))
+
+
+def score_fields(spark, d):
+    c = _claims(spark, d, "event_type", "severity", "location_text", "resolved_location", "verification_state")
+    right = F.col("verification_state").isin("corroborated", "verified_by_operator")
+    n = lambda x: F.count(F.when(x, 1))
+    counts = c.groupBy(F.col("event_type").alias("field")).agg(n(right).alias("correct"), n(F.col("verification_state") == "rejected").alias("wrong"), n(F.col("location_text").isNull()).alias("missing"), n(F.col("verification_state") == "disputed").alias("extra"))
+    return scoring.precision_recall(counts)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in [
+        conflicts_detected, conflict_classes, conflict_sides, conflicts_fresh, conflicts_by_status, reports_listed, claims_listed, reports_pending, report_by_id, audit_of_entity, audit_recent, audit_appended,
+        ingest_checked, ingest_new, ingest_hash_check, segments_of_reports, text_model_view, text_severity, text_normal, text_normal_compatible, text_fingerprints, text_clocks, text_words, text_wire,
+        guard_counts, guard_severity, guard_places, guard_types, guard_uncertainties, links_unpivoted, links_ungrounded, links_reports_per_claim, claims_with_reports, duplicates_exact, duplicates_members, duplicates_names,
+        corroboration, confidence_grid, places_first_names, places_aliases, places_keys, graph_nodes, graph_edges, graph_stats, metrics_summary, metrics_states, metrics_languages, score_locations, score_fields, p5_found, p5_report,
+    ]
+}
+
 _ORPHANS = """
 WITH r AS (SELECT report_id AS key, min(ingested_at) AS first_at FROM reports WHERE report_id IS NOT NULL GROUP BY 1),
 c AS (SELECT event_id AS key, min(created_at) AS first_at FROM claims WHERE event_id IS NOT NULL GROUP BY 1),
@@ -48,6 +304,9 @@ SELECT source_table, ref_field, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m')
 }
 
 
+SQL |= core_sql.statements()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
