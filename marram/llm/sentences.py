@@ -53,7 +53,8 @@ TABLES = {
         (False, rf"(?<![\w.])(?:{_any(ABBREVIATIONS['latin'])})\.", r""),
         (False, r"(?<![\w.])n[o°]\.", r"\d"),
         (False, r"(?<![\w.])p\.", r"(?i:ex|ej)\."),
-        (False, r"(?<!\d )(?<!\d)(?<![\w.'’\u0300-\u036f\u200b-\u200d\u2060\ufeff\u00ad])[^\W\d_]\.", r"[^\W\d_]"),
+        (False, r"(?<!\d )(?<!\d)(?<![\w.'’\u0300-\u036f\u200b-\u200d\u2060\ufeff\u00ad])(?-i:[A-ZÀ-Ý])\.", r"[^\W\d_]"),
+        (False, r"(?<!\d )(?<!\d)(?<![\w.'’\u0300-\u036f\u200b-\u200d\u2060\ufeff\u00ad])(?-i:[a-zà-ÿ])\.", r"[a-zà-ÿ]"),
         (False, r"(?<!\w)[ap]\.\s?m\.|(?<!\w)etc\.", r"[^A-ZÀ-Ý]"),
         (False, r"…|\.\.\.", r"[a-zà-ÿ]"),
         (True, rf"[{END}][{CLOSE}]*", r""),
@@ -83,7 +84,7 @@ COMMON = _table((False, r"[:：\-–—]\s*", r""))
 _QUOTES = re.compile(r"«[^«»]*»|“[^“”]*”|\"[^\"]*\"|「[^「」]*」|『[^『』]*』|„[^„“]*“")
 _HAS_QUOTE = re.compile(r"[«“\"「『„]")
 #: A mark with what closes it and white space behind; a mark of scripts without spaces; a line break; a space in Thai.
-_MARK = rf"[{END}\n](?:(?<=\n)|(?:[{END}]|\s(?=[!?]))*[{CLOSE}]*(?=\s|$)|(?<=[。！？｡।!?؟])[。！？｡।!?؟]*[{CLOSE}]*(?=\w)|(?<=[^\W\d_][^\W_]\.)(?=[^\W\d_])|(?<=[\d\s̀-ͯ]\.)(?=[^\W\d_]))"
+_MARK = rf"[{END}\n](?:(?<=\n)|(?:[{END}]|\s(?=[!?]))*[{CLOSE}]*(?=\s|$)|(?<=[。！？｡।!?؟])[。！？｡।!?؟]*[{CLOSE}]*(?=[\w“「『«])|(?<=[^\W\d_][^\W_]\.)(?=[^\W\d_])|(?<=[\d\s̀-ͯ]\.)(?=[^\W\d_]))"
 _POSSIBLE = re.compile(_MARK)
 _POSSIBLE_THAI = re.compile(rf"{_MARK}|(?<=[ะบ])[^\S\n]+(?=\d)|(?<=[฀-๿\d).])[^\S\n]+(?=[฀-๿A-Za-zÀ-ÿ؀-ۿऀ-ॿ一-鿿])")
 _THAI = re.compile(r"[฀-๿]")
