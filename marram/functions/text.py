@@ -139,7 +139,10 @@ def content_tokens(name: Column) -> Column:
 
 def fingerprint(c: Column, compatibility: bool = True) -> Column:
     """The same for the same sentences in any order."""
-    return F.sha2(F.array_join(F.array_sort(F.transform(segments(c), lambda s: normal(s, compatibility))), " || "), 256)
+    parts = segments(c)
+    if compatibility:  # an Arrow function can't run inside a lambda: the segments go through it as one text
+        parts = F.split(nfkc(F.array_join(parts, "\x1f")), "\x1f")
+    return F.sha2(F.array_join(F.array_sort(F.transform(parts, lambda s: normal(s, False))), " || "), 256)
 
 
 def trigrams(form: Column) -> Column:

@@ -108,7 +108,7 @@ def ungrounded(claims: DataFrame, links: DataFrame) -> DataFrame:
 def fresh_conflicts(new: DataFrame, stored: DataFrame) -> DataFrame:
     """Conflicts (event_a_id, event_b_id, conflict_type) not stored in either orientation."""
     key = lambda df: df.withColumn("x", F.least("event_a_id", "event_b_id")).withColumn("y", F.greatest("event_a_id", "event_b_id"))
-    return key(new).join(key(stored).select("x", "y", "conflict_type").distinct(), ["x", "y", "conflict_type"], "left_anti").drop("x", "y")
+    return key(new).join(key(stored).select("x", "y", "conflict_type").distinct(), ["x", "y", "conflict_type"], "left_anti").select(*new.columns)
 
 
 def conflict_sides(conflicts: DataFrame, claims: DataFrame, reports: DataFrame) -> DataFrame:
