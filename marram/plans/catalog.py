@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marram.functions import text as X
 from marram.functions import vocab as V
-from marram.operators import evidence, graph, ingest, metrics, orphans, scoring, similar
+from marram.operators import evidence, extraction, graph, ingest, metrics, orphans, scoring, similar
 from marram.operators.rows import once
 from marram.plans import core_sql
 
@@ -230,6 +230,27 @@ def places_keys(spark, d):
     return _claims(spark, d, "location_text").where("location_text IS NOT NULL").select("event_id", X.place_key(c, False).alias("key"), X.place_name(c, False).alias("name"), F.lower(F.trim(c)).alias("raw"), X.is_generic(X.place_name(c, False)).alias("generic"), F.array_join(F.array_sort(X.content_tokens(X.place_name(c, False))), " ").alias("tokens"))
 
 
+def places_resolution(spark, d):
+    g = _t(spark, d, "gazetteer")
+    return extraction.resolution(_claims(spark, d, "location_text").where("location_text IS NOT NULL").select(F.col("location_text").alias("mention")), g.where("preferred").select(F.col("name").alias("canonical")), g.select("name", "group_id"), compatibility=False)
+
+
+def claims_collapsed(spark, d):
+    return extraction.collapsed(_claims(spark, d), compatibility=False).select("event_id")
+
+
+def claims_extracted(spark, d):
+    def make():
+        import re
+
+        def rules(texts: list[str]) -> list[str]:
+            return ["events:[{type:" + ("injury" if "hurt" in t or "bless" in t else "other") + ",location:null,people:" + next((w for w in re.split(r"\s+", t, flags=re.ASCII) if w.isascii() and w.isdigit() and len(w) < 9), "null") + ",severity:high,time:null,desc:null}]" for t in texts]
+
+        return rules
+
+    return extraction.extracted(_reports(spark, d, "raw_text", "suspected_injection"), make).select("report_id", "segment_index", "event_type", "people_affected", "severity", F.array_join("guards_applied", "|").alias("guards"))
+
+
 def graph_nodes(spark, d):
     return graph.nodes(_claims(spark, d), _reports(spark, d, "source_type"))
 
@@ -274,7 +295,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         conflicts_detected, conflict_classes, conflict_sides, conflicts_fresh, conflicts_by_status, reports_listed, claims_listed, reports_pending, report_by_id, audit_of_entity, audit_recent, audit_appended,
         ingest_checked, ingest_new, ingest_hash_check, segments_of_reports, text_model_view, text_severity, text_normal, text_normal_compatible, text_fingerprints, text_clocks, text_words, text_wire,
         guard_counts, guard_severity, guard_places, guard_types, guard_uncertainties, links_unpivoted, links_ungrounded, links_reports_per_claim, claims_with_reports, duplicates_exact, duplicates_members, duplicates_names,
-        corroboration, confidence_grid, places_first_names, places_aliases, places_keys, graph_nodes, graph_edges, graph_stats, metrics_summary, metrics_states, metrics_languages, score_locations, score_fields, p5_found, p5_report,
+        corroboration, confidence_grid, places_first_names, places_aliases, places_keys, places_resolution, claims_collapsed, claims_extracted, graph_nodes, graph_edges, graph_stats, metrics_summary, metrics_states, metrics_languages, score_locations, score_fields, p5_found, p5_report,
     ]
 }
 

@@ -102,6 +102,8 @@ UNION SELECT 'event:' || event_id, 'event:' || nxt, 'corroborates' FROM (SELECT
   WHERE {place} <> '' WINDOW w AS (PARTITION BY event_type, {place} ORDER BY created_at, event_id)) WHERE nxt IS NOT NULL AND report_id <> other"""
     tok = lambda x: rf"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
     tri = "CASE WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END"
+    words = lambda n: f"list_distinct(list_filter(string_split({n}, ' '), lambda w: length(w) > 1 AND NOT list_contains({_list(V.PLACE_STOPWORDS)}, w)))"
+    rich = "row((p <> '')::INT, (people_affected IS NOT NULL)::INT, (time_reference IS NOT NULL)::INT, -segment_index, event_id)"
     folded = r"trim(regexp_replace(lower(location_text), '\s+', ' ', 'g'))"
     return {
         "conflict_classes": f"WITH {_CLASSES} SELECT place, CAST(day AS VARCHAR) AS day, event_type, people_affected, clock, event_id AS first_event_id, n FROM cls",
@@ -165,6 +167,20 @@ SELECT event_type, place, claims, sources, l AS languages, round(weight, 6) AS w
         "places_aliases": f"SELECT DISTINCT n.name_key, g.group_id FROM (SELECT DISTINCT {_name('location_text')} AS name_key FROM claims WHERE event_id IS NOT NULL) n JOIN (SELECT DISTINCT group_id, {_name('name')} AS name_key FROM gazetteer) g USING (name_key)",
         "places_keys": f"""SELECT event_id, {_key('location_text')} AS key, n AS name, {place} AS raw, n = '' OR list_contains({_list(V.GENERIC_PLACES)}, n) AS generic, array_to_string(list_sort(list_distinct(list_filter(string_split(n, ' '), lambda w: length(w) > 1 AND NOT list_contains({_list(V.PLACE_STOPWORDS)}, w)))), ' ') AS tokens
 FROM (SELECT *, {_name('location_text')} AS n FROM {c('event_id, location_text')} WHERE location_text IS NOT NULL)""",
+        "places_resolution": f"""WITH m AS (SELECT DISTINCT location_text AS mention, {_name('location_text')} AS key FROM claims WHERE location_text IS NOT NULL AND event_id IS NOT NULL), k AS (SELECT DISTINCT name AS canonical, {_name('name')} AS key FROM gazetteer WHERE preferred), g AS (SELECT DISTINCT {_name('name')} AS key, group_id FROM gazetteer),
+x AS (SELECT mention, min(canonical) AS exact FROM m JOIN k USING (key) GROUP BY 1), a AS (SELECT mention, min(canonical) AS alias FROM m JOIN g USING (key) JOIN (SELECT canonical, group_id FROM k JOIN g USING (key)) h USING (group_id) GROUP BY 1),
+mw AS (SELECT mention, unnest({words('key')}) AS w FROM m), kw AS (SELECT canonical, unnest({words('key')}) AS w FROM k), s AS (SELECT mention, min(canonical) AS shared FROM mw JOIN kw USING (w) GROUP BY 1),
+j AS (SELECT *, CASE WHEN key = '' OR list_contains({_list(V.GENERIC_PLACES)}, key) THEN 'generic_or_empty' WHEN exact IS NOT NULL THEN 'exact_normalized_match' WHEN alias IS NOT NULL THEN 'known_alias' WHEN shared IS NOT NULL THEN 'shared_content_word' ELSE 'name_is_new' END AS reason FROM m LEFT JOIN x USING (mention) LEFT JOIN a USING (mention) LEFT JOIN s USING (mention))
+SELECT mention, CASE reason WHEN 'exact_normalized_match' THEN exact WHEN 'known_alias' THEN alias WHEN 'shared_content_word' THEN shared ELSE mention END AS canonical, CASE WHEN reason <> 'generic_or_empty' THEN reason <> 'name_is_new' END AS same, CASE reason WHEN 'exact_normalized_match' THEN 1.0::DOUBLE WHEN 'known_alias' THEN 0.7::DOUBLE WHEN 'shared_content_word' THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS confidence, reason FROM j""",
+        "claims_collapsed": f"""WITH c AS (SELECT *, {_key('location_text')} AS p FROM {c()}), d AS (SELECT *, {rich} AS rich FROM c)
+SELECT event_id FROM d WHERE NOT EXISTS (SELECT 1 FROM d r WHERE r.report_id = d.report_id AND r.event_type = d.event_type AND d.rich < r.rich AND (d.p = r.p OR (d.p = '') <> (r.p = '')) AND (d.people_affected IS NULL OR d.people_affected = r.people_affected) AND (d.time_reference IS NULL OR d.time_reference = r.time_reference))""",
+        "claims_extracted": f"""WITH r AS (SELECT report_id, suspected_injection, CASE WHEN len({kept}) > 0 THEN array_to_string({kept}, ' ') ELSE {_strip('raw_text')} END AS raw_text FROM {r('report_id, raw_text, suspected_injection')}),
+s AS (SELECT report_id, suspected_injection, unnest(range(len(s)))::INT AS segment_index, unnest(s) AS segment FROM (SELECT *, {_segments('raw_text')} AS s FROM r)),
+e AS (SELECT *, list_filter(regexp_split_to_array(trim(segment), '\\s+'), lambda w: regexp_full_match(w, '[0-9]{{1,8}}'))[1] AS said, {_words('segment')} AS w FROM s),
+g AS (SELECT *, {_severity('w')} AS licensed, CASE WHEN said::BIGINT > 0 AND list_contains(regexp_extract_all(segment, '\\p{{Nd}}+'), CAST(said::BIGINT AS VARCHAR)) THEN said::INT END AS people FROM e)
+SELECT report_id, segment_index, CASE WHEN contains(segment, 'hurt') OR contains(segment, 'bless') THEN 'injury' ELSE 'other' END AS event_type, people AS people_affected,
+  CASE WHEN suspected_injection OR licensed = 'unknown' THEN 'unknown' WHEN {rank("'high'")} <= {rank('licensed')} THEN 'high' ELSE licensed END AS severity,
+  concat_ws('|', CASE WHEN said::BIGINT <= 0 THEN 'people_nonpositive->null' END, CASE WHEN said::BIGINT > 0 AND people IS NULL THEN 'people_not_in_source->null' END, CASE WHEN suspected_injection THEN 'injection_flagged->severity_forced_unknown' WHEN licensed = 'unknown' THEN 'severity_unlicensed(high)->unknown' END) AS guards FROM g""",
         "graph_nodes": f"""SELECT DISTINCT 'report:' || report_id AS id, 'report' AS kind, report_id AS label FROM {r('report_id')} UNION SELECT 'event:' || event_id, 'event', replace(event_type, '_', ' ') FROM {c('event_id, event_type')}
 UNION SELECT 'place:' || {place}, 'place', {place} FROM {c('event_id, location_text')} WHERE {place} <> '' UNION SELECT 'people:' || people_affected, 'people', people_affected::VARCHAR FROM {c('event_id, people_affected')} WHERE people_affected > 0""",
         "graph_edges": edges,
