@@ -84,9 +84,10 @@ COMMON = _table((False, r"[:：\-–—]\s*", r""))
 _QUOTES = re.compile(r"«[^«»]*»|“[^“”]*”|\"[^\"]*\"|「[^「」]*」|『[^『』]*』|„[^„“]*“")
 _HAS_QUOTE = re.compile(r"[«“\"「『„]")
 #: A mark with what closes it and white space behind; a mark of scripts without spaces; a line break; a space in Thai.
-_MARK = rf"[{END}\n](?:(?<=\n)|(?:[{END}]|\s(?=[!?]))*[{CLOSE}]*(?=\s|$)|(?<=[。！？｡।!?؟])[。！？｡।!?؟]*[{CLOSE}]*(?=[\w“「『«])|(?<=[^\W\d_][^\W_]\.)(?=[^\W\d_])|(?<=[\d\s̀-ͯ]\.)(?=[^\W\d_]))"
+_MARK = rf"[{END}\n](?:(?<=\n)|(?:[{END}]|\s(?=[!?]))*[{CLOSE}]*(?=\s|$)|(?<=[。！？｡।!?؟])[。！？｡।!?؟]*[{CLOSE}]*(?=[\w“「『«])|(?<=[^\W\d_][^\W_]\.)(?=[^\W\d_])|(?<=[\d\s̀-ͯ]\.)(?=[^\W\d_])|(?<=\s[a-zà-ÿ]\.)(?=[A-ZÀ-Ý][a-zà-ÿ]))"
 _POSSIBLE = re.compile(_MARK)
-_POSSIBLE_THAI = re.compile(rf"{_MARK}|(?<=[ะบ])[^\S\n]+(?=\d)|(?<=[฀-๿\d).])[^\S\n]+(?=[฀-๿A-Za-zÀ-ÿ؀-ۿऀ-ॿ一-鿿])")
+_POSSIBLE_MAY_END = re.compile(r"(?<!\w)(?:[AP]\.\s?M|ETC)\.$")
+_THAI = re.compile(rf"{_MARK}|(?<=[ะบ])[^\S\n]+(?=\d)|(?<=[฀-๿\d).])[^\S\n]+(?=[฀-๿A-Za-zÀ-ÿ؀-ۿऀ-ॿ一-鿿])")
 _THAI = re.compile(r"[฀-๿]")
 _LETTER = re.compile(r"[^\W\d_]")
 _WORDS = re.compile(r"\w")
@@ -226,6 +227,8 @@ def units(text: str) -> list[tuple[int, int]]:
         if not mark and script == "thai" and not _THAI.search(text, max(0, at - 12), at):
             continue
         stop = at if not mark else end
+        if loud and _MAY_END.search(text[max(0, stop - 6) : stop]):  # capitals show no beginning here
+            continue
         plain = mark and text[at] not in ".…" and script != "thai"  # only the last pair of a table can fit
         if plain or _fits(TABLES[script], text[max(0, stop - 14) : stop], text, j):
             cuts.append(stop)
