@@ -86,8 +86,8 @@ _HAS_QUOTE = re.compile(r"[«“\"「『„]")
 #: A mark with what closes it and white space behind; a mark of scripts without spaces; a line break; a space in Thai.
 _MARK = rf"[{END}\n](?:(?<=\n)|(?:[{END}]|\s(?=[!?]))*[{CLOSE}]*(?=\s|$)|(?<=[。！？｡।!?؟])[。！？｡।!?؟]*[{CLOSE}]*(?=[\w“「『«])|(?<=[^\W\d_][^\W_]\.)(?=[^\W\d_])|(?<=[\d\s̀-ͯ]\.)(?=[^\W\d_])|(?<=\s[a-zà-ÿ]\.)(?=[A-ZÀ-Ý][a-zà-ÿ]))"
 _POSSIBLE = re.compile(_MARK)
-_POSSIBLE_MAY_END = re.compile(r"(?<!\w)(?:[AP]\.\s?M|ETC)\.$")
-_THAI = re.compile(rf"{_MARK}|(?<=[ะบ])[^\S\n]+(?=\d)|(?<=[฀-๿\d).])[^\S\n]+(?=[฀-๿A-Za-zÀ-ÿ؀-ۿऀ-ॿ一-鿿])")
+_MAY_END = re.compile(r"(?<!\w)(?:[AP]\.\s?M|ETC)\.$")
+_POSSIBLE_THAI = re.compile(rf"{_MARK}|(?<=[ะบ])[^\S\n]+(?=\d)|(?<=[฀-๿\d).])[^\S\n]+(?=[฀-๿A-Za-zÀ-ÿ؀-ۿऀ-ॿ一-鿿])")
 _THAI = re.compile(r"[฀-๿]")
 _LETTER = re.compile(r"[^\W\d_]")
 _WORDS = re.compile(r"\w")
