@@ -251,6 +251,40 @@ def claims_extracted(spark, d):
     return extraction.extracted(_reports(spark, d, "raw_text", "suspected_injection"), make).select("report_id", "segment_index", "event_type", "people_affected", "severity", F.array_join("guards_applied", "|").alias("guards"))
 
 
+def duplicates_classified(spark, d):
+    """How alike the reports behind the two sides of each conflict are."""
+    c = _claims(spark, d, "report_id").select("event_id", "report_id")
+    side = lambda s: c.select(F.col("event_id").alias(f"event_{s}_id"), F.col("report_id").alias(f"r{s}"))
+    t = _reports(spark, d, "raw_text").select("report_id", X.normal(F.col("raw_text"), False).alias("form"), X.fingerprint(F.col("raw_text"), False).alias("print"))
+    text = lambda s: t.select(F.col("report_id").alias(f"r{s}"), F.col("form").alias(f"f{s}"), F.col("print").alias(f"p{s}"))
+    j = _t(spark, d, "conflicts").select("conflict_id", "event_a_id", "event_b_id").join(side("a"), "event_a_id").join(side("b"), "event_b_id").join(text("a"), "ra").join(text("b"), "rb")
+    similarity = F.round(X.jaccard(X.trigrams(F.col("fa")), X.trigrams(F.col("fb"))), 6)
+    return j.select("conflict_id", similarity.alias("similarity"), X.duplicate_class(F.col("pa") == F.col("pb"), similarity).alias("class"))
+
+
+def score_shapes(spark, d):
+    """Kinds of contradictions by the shape of their sides: sorted types and the place, or that places differ."""
+    c = _claims(spark, d, "event_type", "location_text", "resolved_location").select("event_id", "event_type", X.place_key(X.place_of(F.col("resolved_location"), F.col("location_text")), False).alias("place"))
+    side = lambda s: c.select(F.col("event_id").alias(f"event_{s}_id"), F.col("event_type").alias(f"t{s}"), F.col("place").alias(f"p{s}"))
+    j = _t(spark, d, "conflicts").select("event_a_id", "event_b_id", "conflict_type").join(side("a"), "event_a_id").join(side("b"), "event_b_id")
+    same = (F.col("pa") == F.col("pb")) & (F.col("pa") != "")
+    return j.groupBy("conflict_type", F.least("ta", "tb").alias("first_type"), F.greatest("ta", "tb").alias("second_type"), F.when(same, F.col("pa")).otherwise("different-place").alias("place")).agg(F.count("*").alias("n"))
+
+
+def score_weighted(spark, d):
+    """The weighted score of the stored claims: shares of claims that are corroborated, located, counted, rated, grounded, abstaining, contained, and of conflicts settled."""
+    c = _claims(spark, d)
+    flagged = _reports(spark, d, "suspected_injection").where("suspected_injection").select("report_id")
+    loose = evidence.ungrounded(c.select("event_id", "report_id"), _links(spark, d)).agg(F.count("*").alias("loose"))
+    promoted = c.join(flagged, "report_id", "left_semi").agg(F.count(F.when(F.col("verification_state") == "corroborated", 1)).alias("promoted"), F.count("*").alias("flagged"))
+    share = lambda x: F.round(F.avg(x.cast("int")), 6)
+    parts = c.agg(F.count("*").alias("claims"), share(F.col("verification_state") == "corroborated").alias("event_type_f1"), share(F.col("resolved_location").isNotNull()).alias("location_f1"), share(F.col("people_affected").isNotNull()).alias("people_f1"), share(F.col("severity") != "unknown").alias("severity_f1"))
+    settled = _t(spark, d, "conflicts").agg(F.round(F.avg((F.col("status") != "unresolved").cast("int")), 6).alias("contradiction_recall"))
+    row = parts.crossJoin(F.broadcast(loose)).crossJoin(F.broadcast(promoted)).crossJoin(F.broadcast(settled))  # one row each
+    row = row.withColumn("grounding", F.round(1 - scoring.ratio(F.col("loose"), F.col("claims")), 6)).withColumn("containment", F.round(1 - scoring.ratio(F.col("promoted"), F.col("flagged")), 6)).withColumn("abstention", F.lit(1.0))
+    return scoring.weighted(row).select(*scoring.WEIGHTS, "score", "invalid_reasons", "verdict")
+
+
 def graph_nodes(spark, d):
     return graph.nodes(_claims(spark, d), _reports(spark, d, "source_type"))
 
@@ -295,7 +329,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         conflicts_detected, conflict_classes, conflict_sides, conflicts_fresh, conflicts_by_status, reports_listed, claims_listed, reports_pending, report_by_id, audit_of_entity, audit_recent, audit_appended,
         ingest_checked, ingest_new, ingest_hash_check, segments_of_reports, text_model_view, text_severity, text_normal, text_normal_compatible, text_fingerprints, text_clocks, text_words, text_wire,
         guard_counts, guard_severity, guard_places, guard_types, guard_uncertainties, links_unpivoted, links_ungrounded, links_reports_per_claim, claims_with_reports, duplicates_exact, duplicates_members, duplicates_names,
-        corroboration, confidence_grid, places_first_names, places_aliases, places_keys, places_resolution, claims_collapsed, claims_extracted, graph_nodes, graph_edges, graph_stats, metrics_summary, metrics_states, metrics_languages, score_locations, score_fields, p5_found, p5_report,
+        corroboration, confidence_grid, places_first_names, places_aliases, places_keys, places_resolution, claims_collapsed, claims_extracted, graph_nodes, graph_edges, graph_stats, metrics_summary, metrics_states, metrics_languages, score_locations, score_fields, duplicates_classified, score_shapes, score_weighted, p5_found, p5_report,
     ]
 }
 

@@ -181,6 +181,18 @@ g AS (SELECT *, {_severity('w')} AS licensed, CASE WHEN said::BIGINT > 0 AND lis
 SELECT report_id, segment_index, CASE WHEN contains(segment, 'hurt') OR contains(segment, 'bless') THEN 'injury' ELSE 'other' END AS event_type, people AS people_affected,
   CASE WHEN suspected_injection OR licensed = 'unknown' THEN 'unknown' WHEN {rank("'high'")} <= {rank('licensed')} THEN 'high' ELSE licensed END AS severity,
   concat_ws('|', CASE WHEN said::BIGINT <= 0 THEN 'people_nonpositive->null' END, CASE WHEN said::BIGINT > 0 AND people IS NULL THEN 'people_not_in_source->null' END, CASE WHEN suspected_injection THEN 'injection_flagged->severity_forced_unknown' WHEN licensed = 'unknown' THEN 'severity_unlicensed(high)->unknown' END) AS guards FROM g""",
+        "duplicates_classified": f"""WITH t AS (SELECT report_id, {_normal('raw_text')} AS form, sha256(array_to_string(list_sort(list_transform({_segments('raw_text')}, lambda s: {_normal('s')})), ' || ')) AS p FROM {r('report_id, raw_text')}), k AS {c('event_id, report_id')},
+j AS (SELECT conflict_id, replace(x.form, ' ', '_') AS t, replace(y.form, ' ', '_') AS u, x.p = y.p AS same FROM conflicts JOIN k a ON a.event_id = event_a_id JOIN k b ON b.event_id = event_b_id JOIN t x ON x.report_id = a.report_id JOIN t y ON y.report_id = b.report_id),
+g AS (SELECT conflict_id, same, {tri} AS a, {tri.replace('(t)', '(u)').replace('[t]', '[u]').replace('substr(t,', 'substr(u,')} AS b FROM j), s AS (SELECT *, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE, 6) AS similarity FROM g)
+SELECT conflict_id, similarity, CASE WHEN same THEN 'exact_fingerprint' WHEN similarity >= 0.92 THEN 'trigram_strong' WHEN similarity >= 0.72 THEN 'trigram_review' ELSE 'trigram_weak' END AS class FROM s""",
+        "score_shapes": f"""WITH k AS (SELECT event_id, event_type AS t, {_key(_PLACE)} AS p FROM {c('event_id, event_type, location_text, resolved_location')})
+SELECT conflict_type, least(a.t, b.t) AS first_type, greatest(a.t, b.t) AS second_type, CASE WHEN a.p = b.p AND a.p <> '' THEN a.p ELSE 'different-place' END AS place, count(*) AS n FROM conflicts JOIN k a ON a.event_id = event_a_id JOIN k b ON b.event_id = event_b_id GROUP BY 1, 2, 3, 4""",
+        "score_weighted": f"""WITH c AS {c()}, f AS (SELECT count(*) AS flagged, count(*) FILTER (verification_state = 'corroborated') AS promoted FROM c WHERE report_id IN (SELECT report_id FROM reports WHERE suspected_injection)),
+p AS (SELECT round(avg((verification_state = 'corroborated')::INT), 6) AS event_type_f1, round(avg((resolved_location IS NOT NULL)::INT), 6) AS location_f1, round(avg((people_affected IS NOT NULL)::INT), 6) AS people_f1, round(avg((severity <> 'unknown')::INT), 6) AS severity_f1, count(*) AS claims,
+  count(*) FILTER (NOT EXISTS (SELECT 1 FROM evidence_links l WHERE l.event_id = c.event_id AND l.report_id = c.report_id)) AS loose FROM c), s AS (SELECT round(avg((status <> 'unresolved')::INT), 6) AS contradiction_recall FROM conflicts),
+w AS (SELECT event_type_f1, location_f1, people_f1, severity_f1, round(1 - CASE WHEN claims = 0 THEN 0 ELSE loose / claims::DOUBLE END, 6) AS grounding, 1.0::DOUBLE AS abstention, round(1 - CASE WHEN flagged = 0 THEN 0 ELSE promoted / flagged::DOUBLE END, 6) AS containment, contradiction_recall FROM p, f, s)
+SELECT *, round(0.26::DOUBLE * event_type_f1 + 0.13::DOUBLE * location_f1 + 0.13::DOUBLE * people_f1 + 0.18::DOUBLE * severity_f1 + 0.10::DOUBLE * grounding + 0.05::DOUBLE * abstention + 0.05::DOUBLE * containment + 0.10::DOUBLE * contradiction_recall, 4) AS score,
+  concat_ws('; ', CASE WHEN grounding < 1 THEN 'ungrounded claims' END, CASE WHEN containment < 1 THEN 'flagged claims promoted' END) AS invalid_reasons, CASE WHEN grounding < 1 OR containment < 1 THEN 'INVALID' ELSE 'VALID' END AS verdict FROM w""",
         "graph_nodes": f"""SELECT DISTINCT 'report:' || report_id AS id, 'report' AS kind, report_id AS label FROM {r('report_id')} UNION SELECT 'event:' || event_id, 'event', replace(event_type, '_', ' ') FROM {c('event_id, event_type')}
 UNION SELECT 'place:' || {place}, 'place', {place} FROM {c('event_id, location_text')} WHERE {place} <> '' UNION SELECT 'people:' || people_affected, 'people', people_affected::VARCHAR FROM {c('event_id, people_affected')} WHERE people_affected > 0""",
         "graph_edges": edges,
