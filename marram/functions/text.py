@@ -148,7 +148,12 @@ def fingerprint(c: Column, compatibility: bool = True) -> Column:
 def trigrams(form: Column) -> Column:
     """Distinct character trigrams of a normal form, spaces as underscores; shorter texts are one element."""
     t = F.replace(form, F.lit(" "), F.lit("_"))
-    return F.when(F.length(t) < 3, F.array(t)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3)))))
+    return F.when(F.length(t) < 3, F.array(t)).otherwise(F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(?=(...))"), F.lit(1))))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Trigram Jaccard of two normal forms; the sets are made once, inside a one-element array."""
+    return F.transform(F.array(F.struct(trigrams(a).alias("a"), trigrams(b).alias("b"))), lambda p: jaccard(p["a"], p["b"]))[0]
 
 
 def jaccard(a: Column, b: Column) -> Column:

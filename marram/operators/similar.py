@@ -23,4 +23,4 @@ def similar_pairs(values: DataFrame, threshold: float = 0.72) -> DataFrame:
     prefix = ranked.select("value", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("p")).select("value", "n", F.col("p.g").alias("g"))
     a, b = prefix.select(F.col("value").alias("a"), F.col("n").alias("na"), "g"), prefix.select(F.col("value").alias("b"), F.col("n").alias("nb"), "g")
     pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)).select("a", "b").distinct()
-    return pairs.withColumn("similarity", F.round(X.jaccard(X.trigrams(F.col("a")), X.trigrams(F.col("b"))), 6)).where(F.col("similarity") >= threshold)
+    return pairs.withColumn("similarity", F.round(X.similarity(F.col("a"), F.col("b")), 6)).where(F.col("similarity") >= threshold)

@@ -258,8 +258,8 @@ def duplicates_classified(spark, d):
     t = _reports(spark, d, "raw_text").select("report_id", X.normal(F.col("raw_text"), False).alias("form"), X.fingerprint(F.col("raw_text"), False).alias("print"))
     text = lambda s: t.select(F.col("report_id").alias(f"r{s}"), F.col("form").alias(f"f{s}"), F.col("print").alias(f"p{s}"))
     j = _t(spark, d, "conflicts").select("conflict_id", "event_a_id", "event_b_id").join(side("a"), "event_a_id").join(side("b"), "event_b_id").join(text("a"), "ra").join(text("b"), "rb")
-    similarity = F.round(X.jaccard(X.trigrams(F.col("fa")), X.trigrams(F.col("fb"))), 6)
-    return j.select("conflict_id", similarity.alias("similarity"), X.duplicate_class(F.col("pa") == F.col("pb"), similarity).alias("class"))
+    j = j.select("conflict_id", F.transform(F.array(F.struct(F.round(X.similarity(F.col("fa"), F.col("fb")), 6).alias("s"), (F.col("pa") == F.col("pb")).alias("same"))), lambda x: F.struct(x["s"].alias("similarity"), X.duplicate_class(x["same"], x["s"]).alias("class")))[0].alias("c"))
+    return j.select("conflict_id", "c.similarity", "c.class")
 
 
 def score_shapes(spark, d):
