@@ -3,7 +3,8 @@
 Problem 3 refines partitions: cheap invariants of every text (stripped length,
 letter histogram), then the hash of its letters and digits in order, and only
 for classes that still hold several of those the costliest key, the sorted
-sentence units.
+sentence units of every distinct consistent form. Sequences that share the
+units of any of their forms are one text, and so are those that others join.
 
 Problem 4: SuperMinHash signatures of character trigrams, banding, a bit
 sketch, exact verification, connected components. Every bucket member is first
@@ -40,6 +41,12 @@ _STRIPPED = r"regexp_replace(lower(s4), '[^\p{L}\p{M}\p{N}]+', '', 'g')"
 _FOLDED = f"CASE WHEN regexp_matches(s4, '[{DIGITS}ำ]') THEN translate(replace(s4, 'ำ', 'ํา'), '{DIGITS}', '{DIGITS_AS}') ELSE s4 END"
 _NORMAL = rf"trim(regexp_replace(lower({_FOLDED}), '[^\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}]+', ' ', 'g'))"
 
+
+def _hash(value: str) -> str:
+    """SQL of 64 bits of a text's hash."""
+    return f"(md5_number_lower({value})::HUGEINT - 9223372036854775808)::BIGINT"
+
+
 #: The lanes of each band; a lane serves in more than one band.
 _LANE_OF = np.concatenate([np.random.default_rng(17 + i).permutation(LANES) for i in range(-(-BANDS * ROWS // LANES) + 1)])[: BANDS * ROWS].reshape(BANDS, ROWS)
 
@@ -64,49 +71,50 @@ def histograms(column: pa.Array) -> np.ndarray:
 
 
 def _invariants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sql = forms.form_sql("text", keep="row_id", outs=f"row_id, {_STRIPPED} AS k, {_NORMAL} AS n")
-    sql = f"SELECT row_id, k, length(k)::INTEGER AS len, md5(k) AS k1, md5(n) AS n1 FROM ({sql})"
+    sql = forms.form_sql("text", keep="row_id", outs=f"row_id, {_STRIPPED} AS k, {_hash('s4')} AS f")
+    sql = f"SELECT row_id, k, length(k)::INTEGER AS len, md5(k) AS k1, f FROM ({sql})"
     for b in forms.run_sql(batches, sql):
-        ids = pa.array([int(x[:16], 16) - 2**63 for x in b.column("n1").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("len"), pa.array(histograms(b.column("k"))), b.column("k1"), ids], names=["row_id", "len", "hist", "k1", "id"])
+        yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("len"), pa.array(histograms(b.column("k"))), b.column("k1"), b.column("f")], names=["row_id", "len", "hist", "k1", "f"])
 
 
 def invariants(rec: DataFrame) -> DataFrame:
-    """row_id, len, hist, k1 (hash of the letters and digits in order), id (hash of the comparison normal form)."""
-    return rec.mapInArrow(_invariants, "row_id string, len int, hist long, k1 string, id long")
+    """row_id, len, hist, k1 (hash of the letters and digits in order), f (hash of the consistent form)."""
+    return rec.mapInArrow(_invariants, "row_id string, len int, hist long, k1 string, f long")
 
 
-def _unit_key(text: str) -> tuple[int, str]:
-    """Number of sentence units and the hash of their letters and digits, sorted."""
+def _unit_key(text: str) -> str:
+    """Hash of the letters and digits of the sentence units, sorted."""
     parts = sorted(k for x, y in sentences.units(text) if (k := re.sub(r"[\W_]+", "", text[x:y].lower())))
-    return len(parts), hashlib.md5("\n".join(parts).encode()).hexdigest()
+    return hashlib.md5("\n".join(parts).encode()).hexdigest()
 
 
 def _sorted_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sql = forms.form_sql("text", keep="k1", outs="k1, s4")
+    sql = forms.form_sql("text", keep="text", outs=f"s4, md5({_STRIPPED}) AS k1")
     for b in forms.run_sql(batches, sql):
-        keys, ns = [], []
-        for text in b.column("s4").to_pylist():
-            n, k = _unit_key(text)
-            ns.append(n)
-            keys.append(k)
-        yield pa.RecordBatch.from_arrays([b.column("k1"), pa.array(ns, pa.int32()), pa.array(keys)], names=["k1", "n", "k2"])
+        yield pa.RecordBatch.from_arrays([b.column("k1"), pa.array([_unit_key(t) for t in b.column("s4").to_pylist()], pa.string())], names=["k1", "k2"])
+
+
+def _stars(keys: DataFrame, by: str, node: str) -> DataFrame:
+    """Edges a, b from the least node of each key to its others."""
+    least = keys.groupBy(by).agg(F.min(node).alias("a"), F.max(node).alias("z")).where("a < z").select(by, "a")
+    return keys.join(least, by).where(F.col("a") != F.col(node)).select("a", F.col(node).alias("b"))
 
 
 def _format_classes(reports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The texts, their invariants, and per letter sequence k1: its first row, its rows n and its class k3.
 
-    k3 is equal for sequences that are the same apart from the order of units.
+    k3 is equal for sequences that are the same apart from the order of units in
+    any of their consistent forms; sequences in contested classes have all of
+    theirs asked, each form once.
     """
     rec = reports.select(F.col("report_id").alias("row_id"), F.col("raw_text").alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL")
     inv = invariants(rec).persist()
-    sizes = inv.groupBy("len", "hist", "k1").agg(F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"), F.countDistinct("row_id").alias("n")).persist()
+    sizes = inv.groupBy("len", "hist", "k1").agg(F.min("row_id").alias("first_id"), F.countDistinct("row_id").alias("n")).persist()
     several = sizes.groupBy("len", "hist").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a < z").select("len", "hist")
-    # the first and the last copy of a sequence stand for its layouts
-    asked = sizes.join(several, ["len", "hist"], "left_semi").select("k1", F.explode(F.array_distinct(F.array("first_id", "last_id"))).alias("row_id"))
-    units = rec.join(checked(asked.persist()), "row_id").select("k1", "text").mapInArrow(_sorted_units, "k1 string, n int, k2 string")
-    best = units.groupBy("k1").agg(F.max(F.struct("n", "k2")).alias("u")).select("k1", F.col("u.k2").alias("k2"))
-    per = sizes.select("k1", "first_id", "n").join(best, "k1", "left").select("k1", "first_id", "n", F.coalesce("k2", "k1").alias("k3"))
+    asked = inv.join(checked(several.persist()), ["len", "hist"], "left_semi").groupBy("k1", "f").agg(F.min("row_id").alias("row_id")).select("row_id").distinct()
+    units = rec.join(checked(asked.persist()), "row_id").select("text").mapInArrow(_sorted_units, "k1 string, k2 string").select(F.xxhash64("k1").alias("node"), "k2").distinct().persist()
+    same = components(_stars(units, "k2", "node")).select("node", F.col("root").cast("string").alias("root"))
+    per = sizes.withColumn("node", F.xxhash64("k1")).join(checked(same.persist()), "node", "left").select("k1", "first_id", "n", F.coalesce("root", "k1").alias("k3"))
     return rec, inv, per
 
 
@@ -194,9 +202,9 @@ def superminhash(texts: list[str], lanes: int = LANES) -> np.ndarray:
 
 
 def _near_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: id and letter histogram of the normal form, the normal form, band keys, a sketch of one bit each of 256 lanes."""
-    sql = forms.form_sql("text", keep="row_id", outs=f"row_id, {_NORMAL} AS n")
-    sql = f"SELECT row_id, n, (md5_number_lower(n)::HUGEINT - 9223372036854775808)::BIGINT AS id FROM ({sql})"
+    """Per row: id and letter histogram of the normal form, hash of the consistent form, the normal form, band keys, a sketch of one bit each of 256 lanes."""
+    sql = forms.form_sql("text", keep="row_id", outs=f"row_id, {_NORMAL} AS n, {_hash('s4')} AS f")
+    sql = f"SELECT row_id, n, {_hash('n')} AS id, f FROM ({sql})"
     for whole in forms.run_sql(batches, sql):
         for i in range(0, whole.num_rows, 1000):
             part = whole.slice(i, 1000)
@@ -210,7 +218,7 @@ def _near_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = pa.array(key.view(np.int64).reshape(-1))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
             hist = histograms(part.column("n"))
-            yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("id"), pa.array(hist), part.column("n"), bands, *(pa.array(np.ascontiguousarray(bits[:, c])) for c in range(4))], names=["row_id", "id", "hist", "form", "bands", "s0", "s1", "s2", "s3"])
+            yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("id"), pa.array(hist), part.column("f"), part.column("n"), bands, *(pa.array(np.ascontiguousarray(bits[:, c])) for c in range(4))], names=["row_id", "id", "hist", "f", "form", "bands", "s0", "s1", "s2", "s3"])
 
 
 #: Buckets of so many texts are paired at once; larger ones are first held against their least member.
@@ -355,28 +363,23 @@ def _links(close: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _unit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sql = forms.form_sql("text", keep="id", outs=f"id, s4, md5({_STRIPPED}) AS k1")
-    for b in forms.run_sql(batches, sql):
-        keys = [_unit_key(t) for t in b.column("s4").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k1"), pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys])], names=["id", "k1", "n", "k2"])
+    sql = forms.form_sql("text", keep="text", outs=f"s4, {_NORMAL} AS n, md5({_STRIPPED}) AS k1")
+    for b in forms.run_sql(batches, f"SELECT s4, {_hash('n')} AS id, k1 FROM ({sql})"):
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k1"), pa.array([_unit_key(t) for t in b.column("s4").to_pylist()], pa.string())], names=["id", "k1", "k2"])
 
 
 def _same_units(src: DataFrame, base: DataFrame) -> DataFrame:
-    """Edges between normal forms that are one text apart from formatting and order: only those with the same letters are asked."""
+    """Edges between normal forms that are one text apart from formatting and order: every consistent form of those with the same letters is asked."""
     several = base.groupBy("hist").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("hist")
-    rows = base.join(several, "hist", "left_semi").groupBy("id").agg(F.min("row_id").alias("x"), F.max("row_id").alias("y"))
-    asked = rows.select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("row_id"))
-    keys = src.join(checked(asked.persist()), "row_id").select("id", "text").mapInArrow(_unit_keys, "id long, k1 string, n int, k2 string").persist()
-    best = keys.groupBy("k1").agg(F.max(F.struct("n", "k2")).alias("u")).select("k1", F.col("u.k2").alias("k2"))
-    per = keys.select("id", "k1").join(best, "k1")
-    least = per.groupBy("k2").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("k2", "a")
-    return per.join(least, "k2").where("a <> id").select("a", F.col("id").alias("b"))
+    asked = base.join(several, "hist", "left_semi").groupBy("id", "f").agg(F.min("row_id").alias("row_id")).select("row_id").distinct()
+    keys = src.join(checked(asked.persist()), "row_id").select("text").mapInArrow(_unit_keys, "id long, k1 string, k2 string").distinct().persist()
+    return _stars(keys, "k1", "id").union(_stars(keys, "k2", "id"))
 
 
 def near_groups(reports: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """row_id, first_id for every report in a group of at least two (problem 4)."""
     src = reports.select(F.col("report_id").alias("row_id"), F.col("raw_text").alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL")
-    base = src.mapInArrow(_near_base, "row_id string, id long, hist long, form string, bands array<long>, s0 long, s1 long, s2 long, s3 long").persist()
+    base = src.mapInArrow(_near_base, "row_id string, id long, hist long, f long, form string, bands array<long>, s0 long, s1 long, s2 long, s3 long").persist()
     rows = base.select(F.explode("bands").alias("key"), "id").repartition("key")
     buckets = rows.mapInArrow(_buckets, "key long, a long, b long").persist()
     sketches = base.groupBy("id").agg(*[F.min(f"s{i}").alias(f"s{i}") for i in range(4)]).persist()

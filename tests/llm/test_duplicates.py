@@ -77,6 +77,16 @@ def test_format_groups(spark):
     assert D.format_found(df.limit(0)).count() == 0
 
 
+def test_every_layout_of_a_contested_sequence_counts(spark):
+    rows = [("m1", "ab cd ef gh"), ("m2", "Ab cd. Ef gh."), ("m3", "AB CD EF GH"), ("m4", "Ef gh. Ab cd.")]  # the ends of m1 to m3 hide the boundary
+    rows += [("n1", "Red boat. Old. Big mill."), ("n2", "Red boat. Old big mill."), ("n3", "Old big mill. Red boat.")]  # the form of most units isn't the one that matches
+    df = spark.createDataFrame(rows, "report_id string, raw_text string")
+    want = [("m1", "m2"), ("m1", "m3"), ("m1", "m4"), ("n1", "n2"), ("n1", "n3")]
+    assert sorted(map(tuple, D.format_found(df).collect())) == want
+    assert {x.report_id: x.copies for x in D.format_records(df).collect()} == {"m1": 4, "n1": 3}
+    assert sorted(map(tuple, D.near_found(df).collect())) == want
+
+
 def test_signatures_agree_with_similarity():
     a = "the quick brown fox jumps over the lazy dog near the river bank today"
     sig = D.superminhash([a, a + " again", "zzz", a])
