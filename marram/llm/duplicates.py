@@ -202,9 +202,9 @@ def superminhash(texts: list[str], lanes: int = LANES) -> np.ndarray:
 
 
 def _near_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: id and letter histogram of the normal form, hash of the consistent form, the normal form, band keys, a sketch of one bit each of 256 lanes."""
-    sql = forms.form_sql("text", keep="row_id", outs=f"row_id, {_NORMAL} AS n, {_hash('s4')} AS f")
-    sql = f"SELECT row_id, n, {_hash('n')} AS id, f FROM ({sql})"
+    """Per row: id of the normal form, histogram of the letters and digits as problem 3 compares them, hash of the consistent form, the normal form, band keys, a sketch of one bit each of 256 lanes."""
+    sql = forms.form_sql("text", keep="row_id", outs=f"row_id, {_NORMAL} AS n, {_STRIPPED} AS k, {_hash('s4')} AS f")
+    sql = f"SELECT row_id, n, k, {_hash('n')} AS id, f FROM ({sql})"
     for whole in forms.run_sql(batches, sql):
         for i in range(0, whole.num_rows, 1000):
             part = whole.slice(i, 1000)
@@ -217,7 +217,7 @@ def _near_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = key >> np.uint64(24)  # 40 bits: shorter in a shuffle, chance meetings are verified away
             flat = pa.array(key.view(np.int64).reshape(-1))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
-            hist = histograms(part.column("n"))
+            hist = histograms(part.column("k"))
             yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("id"), pa.array(hist), part.column("f"), part.column("n"), bands, *(pa.array(np.ascontiguousarray(bits[:, c])) for c in range(4))], names=["row_id", "id", "hist", "f", "form", "bands", "s0", "s1", "s2", "s3"])
 
 

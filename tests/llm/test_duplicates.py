@@ -87,6 +87,12 @@ def test_every_layout_of_a_contested_sequence_counts(spark):
     assert sorted(map(tuple, D.near_found(df).collect())) == want
 
 
+def test_near_links_copies_that_differ_in_arabic_marks(spark):
+    df = spark.createDataFrame([("a1", "جسر؛ باب؛ دار"), ("a2", "جسر\nباب\nدار"), ("a3", "دار، باب")], "report_id string, raw_text string")
+    assert sorted(map(tuple, D.format_found(df).collect())) == [("a1", "a2")]
+    assert sorted(map(tuple, D.near_found(df).collect())) == [("a1", "a2")]
+
+
 def test_signatures_agree_with_similarity():
     a = "the quick brown fox jumps over the lazy dog near the river bank today"
     sig = D.superminhash([a, a + " again", "zzz", a])
