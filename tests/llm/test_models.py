@@ -39,6 +39,17 @@ def test_places_found(spark):
     assert {r.group_id for r in places.found(claims, ents, gaz.limit(0)).collect()} == {"NONE"}
 
 
+def test_places_behind_many_likelier_names():
+    decoys = [(f"{k}{i}{j}", f"{name} bridge", "en", "bridge") for i in "aeiou" for j in "bdfglmnp" for k, name in (("A", f"Tizorta{i}{j}"), ("B", f"{i}{j}tizorta"))]
+    assert places.Gazetteer([*decoys, ("T", "Tisorta bridge", "en", "bridge")]).resolve("Tizorta bridge") == "T"
+
+
+def test_places_margin_is_a_difference(monkeypatch):
+    g = places.Gazetteer([("A", "Kelmira bridge", "en", "bridge"), ("B", "Kelvira bridge", "en", "bridge"), ("C", "Tisorta bridge", "en", "bridge")])
+    monkeypatch.setattr(places.Gazetteer, "candidates", lambda self, s, token: [(0.6005, "kelmira"), (0.5995, "kelvira")] if s == "latin" else [])  # across a rounding step
+    assert g.resolve("Keltira bridge") == "NONE"
+
+
 SENTENCES = {
     "en": ["The water rose {n} m near {p} lane and reached the yard.", "Please send help to {p} Road now.", "Nobody has answered the phone since {n}:10."],
     "fr": ["L'eau est montée de {n} m près de rue {p}.", "Envoyez vite des secours à {p}, merci.", "Personne ne répond au téléphone depuis {n}h10."],
