@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointing(spark: SparkSession) -> None:
-    """Uses the shared folder the cluster names in spark.checkpoint.dir; a folder of its own only where none is named."""
+    """Uses the shared folder the cluster names in spark.checkpoint.dir; a folder of its own only where none is named and all runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marram-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marram-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,6 +26,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Kept:
+    """Frames that one operator persists; they are released when its result is cut."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist())
+        return self.frames[-1]
+
+    def result(self, df: DataFrame) -> DataFrame:
+        out = cut(df)
+        for f in self.frames:
+            f.unpersist()
+        return out
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "inner", salts: int = 8) -> DataFrame:
     """left join right, spread over `salts` tasks a key by a hash of the left column `by`.
 
@@ -33,13 +53,14 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how:
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-#: Rows of a few short columns that a broadcast may hold.
-MOST_BROADCAST = 1_000_000
+#: Bytes of rows that a broadcast may hold.
+MOST_BROADCAST = 32_000_000
 
 
 def checked(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A narrow frame, to be broadcast if its counted rows are within the bound; beyond it the join shuffles."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """A frame of plain columns, to be broadcast if its measured bytes are within the bound; beyond it the join shuffles."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most else df
 
 
 def small_rows(df: DataFrame, what: str, most: int) -> list:
