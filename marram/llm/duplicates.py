@@ -1,16 +1,10 @@
-"""Copies hidden by formatting (problem 3) and near-duplicates (problem 4).
+"""Copies hidden by formatting (problem 3).
 
-Problem 3 refines partitions: cheap invariants of every text (stripped length,
+The operator refines partitions: cheap invariants of every text (stripped length,
 letter histogram), then the hash of its letters and digits in order, and only
 for classes that still hold several of those the costliest key, the sorted
 sentence units of every distinct consistent form. Sequences that share the
 units of any of their forms are one text, and so are those that others join.
-
-Problem 4: SuperMinHash signatures of character trigrams, banding, a bit
-sketch, exact verification, connected components. Every bucket member is first
-held against its bucket's least member; members of different components that
-still share a bucket are then paired, so no link of the buckets is lost and no
-group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +14,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +22,7 @@ from marram.llm import forms, sentences
 from marram.operators.components import components
 from marram.plans.shared import checked, cut, salted_join
 
-THRESHOLD = 0.72
-#: 64 bands of 8 lanes find 98.7 % of the pairs at the threshold by themselves, 99.7 % at 0.75, all but one in 10,000 at 0.8.
-BANDS, ROWS, LANES = 64, 8, 256
-
-# Arabic-Indic and Persian digits, folded in the comparison normal form.
-DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
-DIGITS_AS = "01234567890123456789"
-
 _STRIPPED = r"regexp_replace(lower(s4), '[^\p{L}\p{M}\p{N}]+', '', 'g')"
-_FOLDED = f"CASE WHEN regexp_matches(s4, '[{DIGITS}ำ]') THEN translate(replace(s4, 'ำ', 'ํา'), '{DIGITS}', '{DIGITS_AS}') ELSE s4 END"
-_NORMAL = rf"trim(regexp_replace(lower({_FOLDED}), '[^\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}]+', ' ', 'g'))"
 
 
 def _hash(value: str) -> str:
@@ -47,9 +30,6 @@ def _hash(value: str) -> str:
     return f"(md5_number_lower({value})::HUGEINT - 9223372036854775808)::BIGINT"
 
 
-#: The lanes of each band; a lane serves in more than one band.
-_LANE_OF = np.concatenate([np.random.default_rng(17 + i).permutation(LANES) for i in range(-(-BANDS * ROWS // LANES) + 1)])[: BANDS * ROWS].reshape(BANDS, ROWS)
-
 _BYTE = np.random.default_rng(7).integers(1, 2**63 - 1, 256, dtype=np.uint64)
 _BYTE[32] = 0  # spaces don't count
 
@@ -139,277 +119,3 @@ def format_records(reports: DataFrame) -> DataFrame:
     """One row per record that is left: its first report_id and its number of copies, single ones included."""
     _, _, per = _format_classes(reports)
     return per.groupBy("k3").agg(F.min("first_id").alias("report_id"), F.sum("n").alias("copies")).select("report_id", "copies")
-
-
-# --- problem 4 -------------------------------------------------------------
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64 of an array of uint64."""
-    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def trigram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, trigram) of every trigram of every text, exact in 63 bits; shorter texts are one element."""
-    texts = [t + "\0" * max(0, 3 - len(t)) for t in texts]
-    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    key = (code[:-2] << np.uint64(42)) | (code[1:-1] << np.uint64(21)) | code[2:]
-    whole = doc[:-2] == doc[2:]
-    return doc[:-2][whole], key[whole]
-
-
-def superminhash(texts: list[str], lanes: int = LANES) -> np.ndarray:
-    """SuperMinHash (Ertl 2017) signatures, one row of uint64 a text.
-
-    Every trigram permutes the lanes; its rank in the permutation plus a
-    fraction is its value in a lane, the least value wins. Ranks are taken in
-    order over a whole batch: a lane taken at a lower rank can't change any
-    more, and texts whose lanes are all taken leave early.
-    """
-    doc, key = trigram_keys(texts)
-    inverse, words = pd.factorize(key)
-    state = _mix(words)
-    base = doc * lanes
-    sig = np.full(len(texts) * lanes, np.inf)
-    perm = np.tile(np.arange(lanes, dtype=np.uint16), (len(words), 1))
-    at = np.arange(len(perm))
-    for j in range(lanes):
-        state = _mix(state)
-        k = j + ((state >> np.uint64(32)) * np.uint64(lanes - j) >> np.uint64(32)).astype(np.int64)
-        lane = perm[at, k]
-        perm[at, k] = perm[:, j]
-        perm[:, j] = lane
-        value = j + (state & np.uint64(0xFFFFFFFF)).astype(np.float64) / 2**32
-        to = base + lane.take(inverse)
-        open_ = np.flatnonzero(sig.take(to) > j)
-        np.minimum.at(sig, to.take(open_), value.take(inverse.take(open_)))
-        if j % 4 == 3:
-            unfilled = np.isinf(sig.reshape(-1, lanes)).any(1)
-            if not unfilled.any():
-                break
-            stay = unfilled.take(doc)
-            if 2 * np.count_nonzero(stay) < len(stay):
-                doc, inverse, base = doc[stay], inverse[stay], base[stay]
-                used, inverse = np.unique(inverse, return_inverse=True)
-                perm, state = perm[used], state[used]
-                at = np.arange(len(perm))
-    return sig.view(np.uint64).reshape(-1, lanes)
-
-
-def _near_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: id of the normal form, histogram of the letters and digits as problem 3 compares them, hash of the consistent form, the normal form, band keys, a sketch of one bit each of 256 lanes."""
-    sql = forms.form_sql("text", keep="row_id", outs=f"row_id, {_NORMAL} AS n, {_STRIPPED} AS k, {_hash('s4')} AS f")
-    sql = f"SELECT row_id, n, k, {_hash('n')} AS id, f FROM ({sql})"
-    for whole in forms.run_sql(batches, sql):
-        for i in range(0, whole.num_rows, 1000):
-            part = whole.slice(i, 1000)
-            normal = part.column("n").to_pylist()
-            sig = _mix(superminhash(normal))
-            bits = np.packbits((sig[:, :256] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-            key = np.broadcast_to(_mix(np.arange(BANDS, dtype=np.uint64)), (len(sig), BANDS))
-            for r in range(ROWS):
-                key = _mix(key ^ sig[:, _LANE_OF[:, r]])
-            key = key >> np.uint64(24)  # 40 bits: shorter in a shuffle, chance meetings are verified away
-            flat = pa.array(key.view(np.int64).reshape(-1))
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
-            hist = histograms(part.column("k"))
-            yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("id"), pa.array(hist), part.column("f"), part.column("n"), bands, *(pa.array(np.ascontiguousarray(bits[:, c])) for c in range(4))], names=["row_id", "id", "hist", "f", "form", "bands", "s0", "s1", "s2", "s3"])
-
-
-#: Buckets of so many texts are paired at once; larger ones are first held against their least member.
-SMALL = 12
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition that holds whole buckets: candidate pairs (key null), and the members of large buckets (key, leader, member)."""
-    key, ids = [], []
-    for b in batches:
-        key.append(b.column(0).to_numpy())
-        ids.append(b.column(1).to_numpy())
-    if not key:
-        return
-    key, ids = np.concatenate(key), np.concatenate(ids)
-    order = np.argsort(key)
-    key = key[order]
-    twin = key[1:] == key[:-1]
-    keep = np.r_[False, twin] | np.r_[twin, False]
-    key, ids = key[keep], ids[order[keep]]
-    order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
-    fresh = np.ones(len(key), bool)  # copies of one text count once
-    fresh[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-    key, ids = key[fresh], ids[fresh]
-    if not len(key):
-        return
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    seen: list[np.ndarray] = []
-    for gap in range(1, SMALL):
-        n = np.repeat(size, size)
-        first = np.flatnonzero((n <= SMALL) & (np.arange(len(key)) + gap < np.repeat(start + size, size)))
-        seen.append(np.stack([ids[first], ids[first + gap]], 1))
-    large = np.repeat(size > SMALL, size)
-    lead = np.repeat(ids[start], size)
-    seen.append(np.stack([lead[large], ids[large]], 1))
-    pairs = np.concatenate(seen)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    for i in range(0, len(pairs), 100_000):
-        p = pairs[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["key", "a", "b"])
-    if large.any():
-        yield pa.RecordBatch.from_arrays([pa.array(key[large]), pa.array(lead[large]), pa.array(ids[large])], names=["key", "a", "b"])
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of members of one bucket that lie in different components and were not held against its leader."""
-    cols = [np.concatenate(x) for x in zip(*[[c.to_numpy() for c in b.columns] for b in batches], strict=True)]
-    if not cols:
-        return
-    order = np.lexsort((cols[3], cols[0]))
-    key, lead, ids, root = (c[order] for c in cols)
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    a_out, b_out = [], []
-    for s, e in zip(start, np.r_[start[1:], len(key)], strict=True):
-        if e - s < 3 or root[s] == root[e - 1]:
-            continue
-        for x in range(s, e):
-            if ids[x] == lead[x]:
-                continue
-            y = np.searchsorted(root[s:e], root[x], "right") + s  # members of later components
-            other = ids[y:e][ids[y:e] != lead[x]]
-            a_out.append(np.minimum(other, ids[x]))
-            b_out.append(np.maximum(other, ids[x]))
-        if sum(map(len, a_out)) > 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
-            a_out, b_out = [], []
-    if a_out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
-
-
-def trigrams(t: str) -> set[str]:
-    return {t[i : i + 3] for i in range(len(t) - 2)} or {t}
-
-
-def jaccard(a: str, b: str) -> float:
-    x, y = trigrams(a), trigrams(b)
-    n = len(x & y)
-    return n / (len(x) + len(y) - n)
-
-
-def _verify(threshold: float):
-    """Keeps the pairs that reach the threshold; pairs that the kept ones of this partition connect already are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-        sets: dict[int, set[str]] = {}
-
-        def root(x: int) -> int:
-            while (p := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(p, p)
-            return x
-
-        def grams(i: int, form: str) -> set[str]:
-            if i not in sets:
-                if len(sets) > 4000:
-                    sets.clear()
-                sets[i] = trigrams(form)
-            return sets[i]
-
-        for batch in batches:
-            keep = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ra, rb = root(a), root(b)
-                if ra == rb:
-                    keep.append(False)
-                    continue
-                p, q = grams(a, x), grams(b, y)
-                n = len(p & q)
-                keep.append(n >= threshold * (len(p) + len(q) - n))
-                if keep[-1]:
-                    parent[max(ra, rb)] = min(ra, rb)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-#: Equal bits of the sketch that a pair at the threshold has, less five standard deviations: 256 lanes, one bit each.
-def least_bits(threshold: float) -> int:
-    p = (1 + threshold) / 2
-    return int(256 * p - 5 * (256 * p * (1 - p)) ** 0.5)
-
-
-def _close(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Those of the candidate pairs whose sketches (id, s0 to s3) don't rule the threshold out."""
-    half = lambda side: sketches.select(F.col("id").alias(side), *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(4)])
-    both = pairs.select("a", "b").repartition("a").distinct().join(half("a").hint("shuffle_hash"), "a").join(half("b").hint("shuffle_hash"), "b")
-    differing = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    return both.where(differing <= 256 - least_bits(threshold)).select("a", "b")
-
-
-def _texts(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, form: the normal form of each of these ids."""
-    return base.select("id", "form").join(checked(ids.distinct().persist()), "id", "left_semi").groupBy("id").agg(F.min("form").alias("form"))
-
-
-def _links(close: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs whose exact similarity reaches the threshold."""
-    both = close.join(texts.select(F.col("id").alias("a"), F.col("form").alias("fa")).hint("shuffle_hash"), "a").join(texts.select(F.col("id").alias("b"), F.col("form").alias("fb")).hint("shuffle_hash"), "b")
-    return both.select("a", "b", "fa", "fb").mapInArrow(_verify(threshold), "a long, b long")
-
-
-def _unit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sql = forms.form_sql("text", keep="text", outs=f"s4, {_NORMAL} AS n, md5({_STRIPPED}) AS k1")
-    for b in forms.run_sql(batches, f"SELECT s4, {_hash('n')} AS id, k1 FROM ({sql})"):
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k1"), pa.array([_unit_key(t) for t in b.column("s4").to_pylist()], pa.string())], names=["id", "k1", "k2"])
-
-
-def _same_units(src: DataFrame, base: DataFrame) -> DataFrame:
-    """Edges between normal forms that are one text apart from formatting and order: every consistent form of those with the same letters is asked."""
-    several = base.groupBy("hist").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("hist")
-    asked = base.join(several, "hist", "left_semi").groupBy("id", "f").agg(F.min("row_id").alias("row_id")).select("row_id").distinct()
-    keys = src.join(checked(asked.persist()), "row_id").select("text").mapInArrow(_unit_keys, "id long, k1 string, k2 string").distinct().persist()
-    return _stars(keys, "k1", "id").union(_stars(keys, "k2", "id"))
-
-
-def near_groups(reports: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """row_id, first_id for every report in a group of at least two (problem 4)."""
-    src = reports.select(F.col("report_id").alias("row_id"), F.col("raw_text").alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL")
-    base = src.mapInArrow(_near_base, "row_id string, id long, hist long, f long, form string, bands array<long>, s0 long, s1 long, s2 long, s3 long").persist()
-    rows = base.select(F.explode("bands").alias("key"), "id").repartition("key")
-    buckets = rows.mapInArrow(_buckets, "key long, a long, b long").persist()
-    sketches = base.groupBy("id").agg(*[F.min(f"s{i}").alias(f"s{i}") for i in range(4)]).persist()
-    close = _close(buckets, sketches, threshold).persist()
-    # first each text against its least partner; then only pairs between what that left apart
-    star = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    texts = _texts(base, close.select(F.col("a").alias("id")).union(close.select("b"))).persist()
-    found = components(_links(star, texts, threshold).union(_same_units(src, base)))
-    label = lambda side: found.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    apart = close.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    more = cut(_links(apart.join(star, ["a", "b"], "left_anti"), texts, threshold))
-    wide = buckets.where("key IS NOT NULL")
-    if not wide.isEmpty():
-        labelled = wide.join(found.withColumnRenamed("node", "b"), "b", "left").select("key", "a", "b", F.coalesce("root", "b").alias("root"))
-        across = cut(_close(labelled.repartition("key").mapInArrow(_across, "a long, b long"), sketches, threshold))
-        more = more.union(cut(_links(across, _texts(base, across.select(F.col("a").alias("id")).union(across.select("b"))), threshold)))
-    if not more.isEmpty():
-        found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b").union(more))
-    ids = base.select("row_id", "id").distinct()
-    named = ids.groupBy("id").agg(F.min("row_id").alias("f"), F.count("*").alias("n")).join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    whole = named.groupBy("root").agg(F.min("f").alias("first_id"), F.sum("n").alias("copies")).where("copies > 1")
-    of = named.select("id", "root").join(whole, "root").select("id", "first_id", "copies")
-    return salted_join(ids, of, ["id"], "row_id").groupBy("row_id").agg(F.min("first_id").alias("first_id"), F.max("copies").alias("copies"))
-
-
-def near_found(reports: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """p4_found.
-
-    Null texts take no part; texts of fewer than three characters have one
-    element, themselves; equal normal forms are one text with several rows; a
-    report_id with differing texts belongs to the groups of all of them.
-    """
-    return near_groups(reports, threshold).where("row_id <> first_id").select(F.col("first_id").alias("first_report_id"), F.col("row_id").alias("report_id"))

@@ -54,9 +54,9 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    from marram.llm import duplicates
+    from marram.llm import near
 
-    return duplicates.near_found(_t(spark, d, "reports"))
+    return near.near_found(_t(spark, d, "reports"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 from marram.llm import duplicates as D
+from marram.llm import near as N
 
 
 def brute(texts, link):
@@ -38,16 +39,16 @@ def corpus(n=60, seed=3):
 def test_near_equals_brute_force(spark):
     texts = corpus()
     df = spark.createDataFrame(list(texts.items()), "report_id string, raw_text string")
-    got = sorted(map(tuple, D.near_found(df).collect()))
+    got = sorted(map(tuple, N.near_found(df).collect()))
     norm = lambda t: " ".join(t.lower().replace(".", " ").split())
-    assert got == brute({i: norm(t) for i, t in texts.items()}, lambda a, b: D.jaccard(a, b) >= D.THRESHOLD)
+    assert got == brute({i: norm(t) for i, t in texts.items()}, lambda a, b: N.jaccard(a, b) >= N.THRESHOLD)
 
 
 def test_near_hot_group_and_edges(spark):
     rows = [(f"C{i:04d}", "The same text over and over again.") for i in range(3000)]
     rows += [("A", None), ("B1", "ab"), ("B2", "AB!"), ("B3", ""), ("B4", "?"), (None, "x y z w"), ("V1", "The same text over and over again and."), ("V1", "The same text over and over again and.")]
     df = spark.createDataFrame(rows, "report_id string, raw_text string")
-    got = {r.report_id: r.first_report_id for r in D.near_found(df).collect()}
+    got = {r.report_id: r.first_report_id for r in N.near_found(df).collect()}
     assert got["C2999"] == "C0000" and got["V1"] == "C0000" and got["B2"] == "B1" and "A" not in got and got["B4"] == "B3"
     assert len(got) == 2999 + 1 + 1 + 1
 
@@ -62,7 +63,7 @@ def test_wide_buckets_lose_no_link(spark):
             words[r.randrange(40)] = f"z{r.randrange(10**6)}"
         texts[f"W{i:02d}"] = " ".join(words)
     df = spark.createDataFrame(list(texts.items()), "report_id string, raw_text string")
-    assert sorted(map(tuple, D.near_found(df).collect())) == brute(texts, lambda a, b: D.jaccard(a, b) >= D.THRESHOLD)
+    assert sorted(map(tuple, N.near_found(df).collect())) == brute(texts, lambda a, b: N.jaccard(a, b) >= N.THRESHOLD)
 
 
 def test_format_groups(spark):
@@ -84,17 +85,17 @@ def test_every_layout_of_a_contested_sequence_counts(spark):
     want = [("m1", "m2"), ("m1", "m3"), ("m1", "m4"), ("n1", "n2"), ("n1", "n3")]
     assert sorted(map(tuple, D.format_found(df).collect())) == want
     assert {x.report_id: x.copies for x in D.format_records(df).collect()} == {"m1": 4, "n1": 3}
-    assert sorted(map(tuple, D.near_found(df).collect())) == want
+    assert sorted(map(tuple, N.near_found(df).collect())) == want
 
 
 def test_near_links_copies_that_differ_in_arabic_marks(spark):
     df = spark.createDataFrame([("a1", "جسر؛ باب؛ دار"), ("a2", "جسر\nباب\nدار"), ("a3", "دار، باب")], "report_id string, raw_text string")
     assert sorted(map(tuple, D.format_found(df).collect())) == [("a1", "a2")]
-    assert sorted(map(tuple, D.near_found(df).collect())) == [("a1", "a2")]
+    assert sorted(map(tuple, N.near_found(df).collect())) == [("a1", "a2")]
 
 
 def test_signatures_agree_with_similarity():
     a = "the quick brown fox jumps over the lazy dog near the river bank today"
-    sig = D.superminhash([a, a + " again", "zzz", a])
+    sig = N.superminhash([a, a + " again", "zzz", a])
     same = (sig[0] == sig[1]).mean()
-    assert abs(same - D.jaccard(a, a + " again")) < 0.12 and (sig[0] == sig[3]).all() and (sig[0] == sig[2]).mean() < 0.05
+    assert abs(same - N.jaccard(a, a + " again")) < 0.12 and (sig[0] == sig[3]).all() and (sig[0] == sig[2]).mean() < 0.05
