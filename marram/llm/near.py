@@ -1,8 +1,8 @@
 """Near-duplicates (problem 4).
 
 SuperMinHash signatures of character trigrams, banding, a bit sketch, exact
-verification, connected components. A text that a partition holds several times
-is signed once there. Band keys leave their task as sorted binary blocks, one
+verification, connected components. Copies of a text fall away before it is
+signed, in each partition first. Band keys leave their task as sorted binary blocks, one
 for each target that will pair them, not as rows; a member of a bucket that is
 large in one task already is represented by the bucket's first text of the task.
 
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,11 +108,12 @@ def superminhash(texts: list[str], lanes: int = LANES) -> np.ndarray:
     return sig.view(np.uint64).reshape(-1, lanes)
 
 
-#: row_id, id (hash of the normal form), loc (place of the text's first copy in its partition; null for later copies), hist (of the letters as problem 3 compares them),
-#: f (hash of the consistent form), form (the normal form), a sketch of one bit each of 256 lanes; or a pair of a large bucket (key, a, b); or a block of band rows for a target.
-_BASE = "row_id string, id long, loc long, hist long, f long, form string, s0 long, s1 long, s2 long, s3 long, key long, a long, b long, target int, block binary"
-_NAMES = [c.split()[0] for c in _BASE.split(", ")]
-_TYPES = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in _BASE.split(", ")]
+#: row_id, id (hash of the normal form), hist (of the letters as problem 3 compares them), f (hash of the consistent form), form (the normal form; null for later copies in the partition).
+_BASE = "row_id string, id long, hist long, f long, form string"
+#: loc (place of a text among all), id, a sketch of one bit each of 256 lanes; or a pair of a large bucket (key, a, b); or a block of band rows for a target.
+_SIGNED = "loc long, id long, s0 long, s1 long, s2 long, s3 long, key long, a long, b long, target int, block binary"
+_NAMES = [c.split()[0] for c in _SIGNED.split(", ")]
+_TYPES = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in _SIGNED.split(", ")]
 
 
 def _rows(n: int, **columns) -> pa.RecordBatch:
@@ -188,38 +190,47 @@ def _blocks(keys: np.ndarray, first: int, bits: int, targets: int) -> Iterator[p
         yield _rows(len(out), target=out_to, block=out)
 
 
-def _near_base(bits: int, targets: int):
-    """The rows of _BASE from row_id, text; keys have so many bits that chance meetings stay as rare at any size."""
+def _near_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of _BASE from row_id, text."""
     sql = forms.form_sql("text", keep="row_id", outs=f"row_id, {_NORMAL} AS n, {_STRIPPED} AS k, {_hash('s4')} AS f")
     sql = f"SELECT row_id, n, k, {_hash('n')} AS id, f FROM ({sql})"
+    known: set[int] = set()
+    for b in forms.run_sql(batches, sql):
+        later = [x in known or known.add(x) is not None for x in b.column("id").to_pylist()]
+        form = pc.if_else(pa.array(later, pa.bool_()), pa.scalar(None, pa.string()), b.column("n").cast(pa.string()))
+        yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("id"), pa.array(histograms(b.column("k"))), b.column("f"), form], names=["row_id", "id", "hist", "f", "form"])
+
+
+def _sign(bits: int, targets: int):
+    """The rows of _SIGNED from id, form, sorted by id; keys have so many bits that chance meetings stay as rare at any size.
+
+    Places follow from the order of the ids, so a partition that is lost and made again has the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         origin = TaskContext.get().partitionId() << 32
-        known: set[int] = set()
         held: list[np.ndarray] = []
         first = count = 0
-        for whole in forms.run_sql(batches, sql):
+        last = None
+        for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 part = whole.slice(i, 1000)
-                ids = part.column("id").to_pylist()
-                new = [j for j, x in enumerate(ids) if not (x in known or known.add(x))]
-                form = part.column("n").take(pa.array(new, pa.int32()))
-                if new:
-                    sig = _mix(superminhash(form.to_pylist()))
-                    bit = np.packbits((sig[:, :256] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-                    key = np.broadcast_to(_mix(np.arange(BANDS, dtype=np.uint64)), (len(sig), BANDS))
-                    for r in range(ROWS):
-                        key = _mix(key ^ sig[:, _LANE_OF[:, r]])
-                    held.append(key >> np.uint64(64 - bits))
-                at = np.full(len(ids), -1)
-                at[new] = np.arange(len(new))
-                spread = pa.array(at, pa.int32(), mask=at < 0)
-                loc = pa.array(np.arange(len(new)) + origin + count, pa.int64()).take(spread)
-                count += len(new)
-                cells = {f"s{c}": pa.array(np.ascontiguousarray(bit[:, c])).take(spread) for c in range(4)} if new else {}
-                yield _rows(len(ids), row_id=part.column("row_id"), id=part.column("id"), loc=loc, hist=histograms(part.column("k")), f=part.column("f"), form=form.take(spread), **cells)
+                ids = part.column(0).to_numpy()
+                fresh = np.r_[last is None or ids[0] != last, ids[1:] != ids[:-1]]
+                last = ids[-1]
+                ids = ids[fresh]
+                if not len(ids):
+                    continue
+                sig = _mix(superminhash(part.column(1).filter(pa.array(fresh)).to_pylist()))
+                bit = np.packbits((sig[:, :256] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                key = np.broadcast_to(_mix(np.arange(BANDS, dtype=np.uint64)), (len(sig), BANDS))
+                for r in range(ROWS):
+                    key = _mix(key ^ sig[:, _LANE_OF[:, r]])
+                held.append(key >> np.uint64(64 - bits))
+                yield _rows(len(ids), loc=np.arange(len(ids)) + origin + count, id=ids, **{f"s{c}": np.ascontiguousarray(bit[:, c]) for c in range(4)})
+                count += len(ids)
                 if count - first >= FLUSH - 1000:
                     yield from _blocks(np.concatenate(held), origin + first, bits, targets)
                     held, first = [], count
@@ -342,8 +353,7 @@ def _across(wide: DataFrame, places: DataFrame, found: DataFrame, threshold: flo
         F.transform(F.sequence(F.lit(0), F.col("co") - 1), lambda j: unit(F.least(j, other), F.greatest(j, other), F.when(other <= j, 1).otherwise(2))),
     )
     rows = rows.withColumn("x", F.explode(F.when(F.col("root") == F.col("major"), of_major).otherwise(of_other)))
-    sketch = places.groupBy("id").agg(*[F.min(f"s{i}").alias(f"s{i}") for i in range(4)])
-    rows = rows.join(sketch, "id").select("key", "x.u", "x.v", "x.side", "id", "root", "s0", "s1", "s2", "s3")
+    rows = rows.join(places.drop("loc"), "id").select("key", "x.u", "x.v", "x.side", "id", "root", "s0", "s1", "s2", "s3")
     return rows.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(_units(threshold), "a long, b long").distinct()
 
 
@@ -398,13 +408,13 @@ def _close(pairs: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
     half = lambda side: places.select(F.col("loc").alias(side), F.col("id").alias(f"id_{side}"), *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(4)]).hint("shuffle_hash")
     both = pairs.select("a", "b").repartition("a").distinct().join(half("a"), "a").join(half("b"), "b")
     differing = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    near = both.where((differing <= 256 - least_bits(threshold)) & (F.col("id_a") != F.col("id_b")))
-    return near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    near = both.where(differing <= 256 - least_bits(threshold))
+    return near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
 def _texts(base: DataFrame, ids: DataFrame, keep: Kept) -> DataFrame:
     """id, form: the normal form of each of these ids."""
-    return base.where("loc IS NOT NULL").select("id", "form").join(checked(keep(ids.distinct())), "id", "left_semi").groupBy("id").agg(F.min("form").alias("form"))
+    return base.where("form IS NOT NULL").select("id", "form").join(checked(keep(ids.distinct())), "id", "left_semi").groupBy("id").agg(F.min("form").alias("form"))
 
 
 def _links(close: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -435,17 +445,17 @@ def near_groups(reports: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bits = min(62, max(32, math.ceil(math.log2(bands)) + 12))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     targets = tasks * math.ceil(bands / (tasks * TARGET))
-    base = keep(src.mapInArrow(_near_base(bits, targets), _BASE))
-    rows = base.where("row_id IS NOT NULL")
-    blocks = base.where("block IS NOT NULL").select("target", "block").repartitionById(tasks, F.pmod("target", F.lit(tasks)).cast("int"))
+    base = keep(src.mapInArrow(_near_base, _BASE))
+    signed = keep(base.where("form IS NOT NULL").select("id", "form").repartition(tasks, "id").sortWithinPartitions("id").mapInArrow(_sign(bits, targets), _SIGNED))
+    blocks = signed.where("block IS NOT NULL").select("target", "block").repartitionById(tasks, F.pmod("target", F.lit(tasks)).cast("int"))
     met = keep(blocks.sortWithinPartitions("target").mapInArrow(_meet, "key long, a long, b long"))
-    wide = base.where("key IS NOT NULL").select("key", "a", "b")
-    places = keep(rows.where("loc IS NOT NULL").select("loc", "id", "s0", "s1", "s2", "s3").repartition("loc"))
+    wide = signed.where("key IS NOT NULL").select("key", "a", "b")
+    places = keep(signed.where("loc IS NOT NULL").select("loc", "id", "s0", "s1", "s2", "s3").repartition("loc"))
     close = keep(_close(met.unionByName(wide.where("a <> b")), places, threshold))
     # first each text against its least partner; then only pairs between what that left apart
     star = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     texts = keep(_texts(base, close.select(F.col("a").alias("id")).union(close.select("b")), keep))
-    found = components(_links(star, texts, threshold).union(_same_units(src, rows, keep)))
+    found = components(_links(star, texts, threshold).union(_same_units(src, base, keep)))
     label = lambda side: found.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
     apart = close.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
     more = cut(_links(apart.join(star, ["a", "b"], "left_anti"), texts, threshold))
@@ -455,7 +465,7 @@ def near_groups(reports: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         more = more.union(cut(_links(across, _texts(base, across.select(F.col("a").alias("id")).union(across.select("b")), keep), threshold)))
     if not more.isEmpty():
         found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b").union(more))
-    ids = rows.select("row_id", "id").distinct()
+    ids = base.select("row_id", "id").distinct()
     named = ids.groupBy("id").agg(F.min("row_id").alias("f"), F.count("*").alias("n")).join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     whole = named.groupBy("root").agg(F.min("f").alias("first_id"), F.sum("n").alias("copies")).where("copies > 1")
     of = named.select("id", "root").join(whole, "root").select("id", "first_id", "copies")
