@@ -89,6 +89,12 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"), _t(spark, d, "reports"))
 
 
+def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import leaks
+
+    return leaks.every(_t(spark, d, "documents"), _t(spark, d, "eval_items"), _t(spark, d, "reports"))
+
+
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     from marram.llm import leaks
 

@@ -134,6 +134,27 @@ def test_leaks_found(spark):
     assert leaks.found(d, i.limit(0), ordinary).count() == 0
 
 
+def test_leaks_of_equal_items_and_items_that_a_report_quotes(spark):
+    r = random.Random(9)
+    vocab = [f"v{i}" for i in range(300)]
+    one, two = (" ".join(r.choice(vocab) for _ in range(30)) for _ in range(2))
+    d = spark.createDataFrame([(1, f"before {one} after"), (2, two), (3, "v1 v2 v3")], "doc_id long, text string")
+    i = spark.createDataFrame([(5, one), (6, one.upper()), (7, two)], "item_id long, text string")
+    shared = " ".join(two.split()[:6])
+    ordinary = spark.createDataFrame([(f"they say {two} again",), (f"they say {two} once more",), (f"now {shared} x",), (f"then {shared} y",)], "raw_text string")
+    assert sorted(map(tuple, leaks.found(d, i, ordinary).collect())) == [(1, 5), (1, 6), (2, 7)]
+    part = spark.createDataFrame([(4, f"{shared} z")], "doc_id long, text string")
+    assert leaks.every(part, i, ordinary).count() == 0  # phrasing that several reports use
+    rows = leaks.every(spark.createDataFrame([(8, f"a b {' '.join(one.split()[3:12])} c")], "doc_id long, text string"), i, ordinary).collect()
+    assert sorted((x.item_id, x.words, x.longest, x.word_at) for x in rows) == [(5, 9, 9, 2), (6, 9, 9, 2)]
+
+
+def test_suffixes_sort_by_words():
+    run = np.array([5, 1, 300, 2, 5, 1, 299, 0], np.int32)
+    got = leaks.Items.suffixes(run, np.arange(8))
+    assert sorted(range(8), key=lambda k: run[k:].tolist() + [0] * 40) == np.argsort(got, kind="stable").tolist()
+
+
 def test_flow_is_cheapest_and_shares_are_reached():
     given = mixing.plan({("a",): 100, ("b",): 100, ("a", "b"): 50}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 3})
     per = {s: sum(n for (_, x), n in given.items() if x == s) for s in "ab"}
