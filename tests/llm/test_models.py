@@ -46,10 +46,30 @@ def test_places_behind_many_likelier_names():
 
 def test_places_margin_is_a_difference(monkeypatch):
     g = places.Gazetteer([("A", "Kelmira bridge", "en", "bridge"), ("B", "Kelvira bridge", "en", "bridge"), ("C", "Tisorta bridge", "en", "bridge")])
-    monkeypatch.setattr(places.Gazetteer, "candidates", lambda self, s, token: [(0.6005, "kelmira"), (0.5995, "kelvira")] if s == "latin" else [])  # across a rounding step
+    monkeypatch.setattr(places.Gazetteer, "candidates", lambda self, s, token: [("kelmira", 0.6005), ("kelvira", 0.5995)] if s == "latin" else [])  # across a rounding step
     assert g.resolve("Keltira bridge") == "NONE"
 
 
+def test_places_one_error_in_scripts_without_spaces():
+    g = places.Gazetteer([("A", "清河医院", "zh", "h"), ("B", "安宁医院", "zh", "h"), ("C", "清河学校", "zh", "s"), ("D", "安宁学校", "zh", "s"), ("E", "โรงเรียนเกลกาดู", "th", "s"), ("F", "โรงเรียนนีเซมริฟ", "th", "s")])
+    assert [g.resolve(v) for v in ("青河医院", "靠近清河学校", "青河大桥", "安宁医院旁边的学校", "โรงเรียนเกลกดู", "หน้าโรงเรียนนีเซมริฟ", "โรงเรียนกาโกดตี")] == ["A", "C", "NONE", "B", "E", "F", "NONE"]
+
+
+def test_places_index_equals_brute_force():
+    import math
+
+    r = random.Random(3)
+    names = sorted({"".join(r.choice(["kel", "miz", "sor", "ta", "dou", "rif", "na"]) for _ in range(3)) for _ in range(80)})
+    index = places.Index(names, False)
+    held = {n: places._grams(n, index.sizes) for n in names}
+    weight = lambda g: math.log(1 + len(names) / max(1, sum(g in h for h in held.values()))) ** 2
+    norm = lambda grams: math.sqrt(sum(map(weight, grams)))
+    for token in [*names[:5], "kelmizz", "xxxx", "tadouri"]:
+        mine = places._grams(token, index.sizes)
+        want = {n: sum(map(weight, mine & h)) / norm(mine) / norm(h) for n, h in held.items()}
+        assert dict(index.near([token])[0]) == pytest.approx({n: c for n, c in want.items() if c >= index.threshold and c > 0})
+
+
 SENTENCES = {
     "en": ["The water rose {n} m near {p} lane and reached the yard.", "Please send help to {p} Road now.", "Nobody has answered the phone since {n}:10."],
     "fr": ["L'eau est montée de {n} m près de rue {p}.", "Envoyez vite des secours à {p}, merci.", "Personne ne répond au téléphone depuis {n}h10."],
