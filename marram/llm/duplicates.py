@@ -1,9 +1,10 @@
 """Copies hidden by formatting (problem 3).
 
-The operator refines partitions: cheap invariants of every text (stripped length,
-letter histogram), then the hash of its letters and digits in order, and only
-for classes that still hold several of those the costliest key, the sorted
-sentence units of every distinct consistent form. Sequences that share the
+The operator refines partitions progressively: cheap invariants of every text
+(stripped length, letter histogram); inside classes with several members the
+hash of the letters and digits in order; inside classes that still hold several
+of those the costliest key, the sorted sentence units of every distinct
+consistent form. Sequences that share the
 units of any of their forms are one text, and so are those that others join.
 """
 
@@ -11,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from marram.llm import forms, sentences
 from marram.operators.components import components
-from marram.plans.shared import checked, cut, salted_join
+from marram.plans.shared import Kept, checked, salted_join
 
 _STRIPPED = r"regexp_replace(lower(s4), '[^\p{L}\p{M}\p{N}]+', '', 'g')"
 
@@ -30,36 +33,51 @@ def _hash(value: str) -> str:
     return f"(md5_number_lower({value})::HUGEINT - 9223372036854775808)::BIGINT"
 
 
-_BYTE = np.random.default_rng(7).integers(1, 2**63 - 1, 256, dtype=np.uint64)
-_BYTE[32] = 0  # spaces don't count
+@lru_cache(1)
+def _letter_weights() -> np.ndarray:
+    """A random number for each letter, mark or digit, the same in either case; 0 for other characters."""
+    draw = np.random.default_rng(7).integers(1, 2**63 - 1, 0x110000, dtype=np.uint64)
+    out = np.zeros(0x110000, np.uint64)
+    for o in range(0x32000):
+        c = chr(o)
+        if unicodedata.category(c)[0] in "LMN":
+            out[o] = draw[ord(c.lower()[0])]
+    return out
 
 
-def _utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column."""
-    a = column.cast(pa.large_string())
-    off = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
-    data = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return data[off[0] : off[-1]], off - off[0]
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Stripped length and letter histogram (as one number) of each text: the same for any order of the same letters and digits."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    off = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
+    weight = _letter_weights()[code]
+    total, count = np.zeros(len(code) + 1, np.uint64), np.zeros(len(code) + 1, np.int32)
+    np.cumsum(weight, out=total[1:])
+    np.cumsum(weight > 0, out=count[1:])
+    return count[off[1:]] - count[off[:-1]], (total[off[1:]] - total[off[:-1]]).view(np.int64)
 
 
-def histograms(column: pa.Array) -> np.ndarray:
-    """A sum over each text's bytes: the same for any order of the same letters."""
-    data, off = _utf8(column)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data], out=total[1:])
-    return (total[off[1:]] - total[off[:-1]]).view(np.int64)
+def _pieces(batches: Iterator[pa.RecordBatch], sql: str, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    for whole in forms.run_sql(batches, sql):
+        for i in range(0, whole.num_rows, rows):
+            yield whole.slice(i, rows)
 
 
 def _invariants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sql = forms.form_sql("text", keep="row_id", outs=f"row_id, {_STRIPPED} AS k, {_hash('s4')} AS f")
-    sql = f"SELECT row_id, k, length(k)::INTEGER AS len, md5(k) AS k1, f FROM ({sql})"
-    for b in forms.run_sql(batches, sql):
-        yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("len"), pa.array(histograms(b.column("k"))), b.column("k1"), b.column("f")], names=["row_id", "len", "hist", "k1", "f"])
+    for b in _pieces(batches, forms.form_sql("text", keep="row_id", outs="row_id, s4")):
+        size, hist = letters(b.column("s4").to_pylist())
+        yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(size, pa.int32()), pa.array(hist)], names=["row_id", "len", "hist"])
 
 
 def invariants(rec: DataFrame) -> DataFrame:
-    """row_id, len, hist, k1 (hash of the letters and digits in order), f (hash of the consistent form)."""
-    return rec.mapInArrow(_invariants, "row_id string, len int, hist long, k1 string, f long")
+    """row_id, len, hist: what is cheap to know of every text."""
+    return rec.mapInArrow(_invariants, "row_id string, len int, hist long")
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sql = forms.form_sql("text", keep="row_id", outs=f"row_id, s4, md5({_STRIPPED}) AS k1, {_hash('s4')} AS f")
+    for b in _pieces(batches, sql):
+        size, hist = letters(b.column("s4").to_pylist())
+        yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(size, pa.int32()), pa.array(hist), b.column("k1"), b.column("f")], names=["row_id", "len", "hist", "k1", "f"])
 
 
 def _unit_key(text: str) -> str:
@@ -80,30 +98,39 @@ def _stars(keys: DataFrame, by: str, node: str) -> DataFrame:
     return keys.join(least, by).where(F.col("a") != F.col(node)).select("a", F.col(node).alias("b"))
 
 
-def _format_classes(reports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The texts, their invariants, and per letter sequence k1: its first row, its rows n and its class k3.
+def _classes(rows: DataFrame, member: str) -> DataFrame:
+    """len, hist of the classes that hold different members."""
+    return rows.groupBy("len", "hist").agg(F.min(member).alias("a"), F.max(member).alias("z")).where("a < z").select("len", "hist")
+
+
+def _refined(reports: DataFrame, keep: Kept) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The cheap invariants of every row; row_id, k1 of the rows in classes with several members; per letter sequence k1: its first row, its rows n and its class k3.
 
-    k3 is equal for sequences that are the same apart from the order of units in
-    any of their consistent forms; sequences in contested classes have all of
-    theirs asked, each form once.
+    Each step reads only what the one before left together. k3 is equal for
+    sequences that are the same apart from the order of units in any of their
+    consistent forms; sequences in contested classes have all of theirs asked,
+    each form once.
     """
     rec = reports.select(F.col("report_id").alias("row_id"), F.col("raw_text").alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL")
-    inv = invariants(rec).persist()
-    sizes = inv.groupBy("len", "hist", "k1").agg(F.min("row_id").alias("first_id"), F.countDistinct("row_id").alias("n")).persist()
-    several = sizes.groupBy("len", "hist").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a < z").select("len", "hist")
-    asked = inv.join(checked(several.persist()), ["len", "hist"], "left_semi").groupBy("k1", "f").agg(F.min("row_id").alias("row_id")).select("row_id").distinct()
-    units = rec.join(checked(asked.persist()), "row_id").select("text").mapInArrow(_sorted_units, "k1 string, k2 string").select(F.xxhash64("k1").alias("node"), "k2").distinct().persist()
+    inv = keep(invariants(rec))
+    several = checked(keep(_classes(inv, "row_id")))
+    held = keep(rec.join(checked(keep(inv.join(several, ["len", "hist"], "left_semi").select("row_id").distinct())), "row_id", "left_semi"))
+    keys = keep(held.mapInArrow(_ordered, "row_id string, len int, hist long, k1 string, f long").join(several, ["len", "hist"], "left_semi"))
+    sizes = keep(keys.groupBy("len", "hist", "k1").agg(F.min("row_id").alias("first_id"), F.countDistinct("row_id").alias("n")))
+    asked = keys.join(checked(keep(_classes(sizes, "k1"))), ["len", "hist"], "left_semi").groupBy("k1", "f").agg(F.min("row_id").alias("row_id")).select("row_id").distinct()
+    units = keep(held.join(checked(keep(asked)), "row_id", "left_semi").select("text").mapInArrow(_sorted_units, "k1 string, k2 string").select(F.xxhash64("k1").alias("node"), "k2").distinct())
     same = components(_stars(units, "k2", "node")).select("node", F.col("root").cast("string").alias("root"))
-    per = sizes.withColumn("node", F.xxhash64("k1")).join(checked(same.persist()), "node", "left").select("k1", "first_id", "n", F.coalesce("root", "k1").alias("k3"))
-    return rec, inv, per
+    per = sizes.withColumn("node", F.xxhash64("k1")).join(checked(keep(same)), "node", "left").select("k1", "first_id", "n", F.coalesce("root", "k1").alias("k3"))
+    return inv, keys.select("row_id", "k1"), per
 
 
 def format_groups(reports: DataFrame) -> DataFrame:
     """row_id, first_id, copies for every report in a group of at least two (problem 3)."""
-    rec, inv, per = _format_classes(reports)
+    keep = Kept()
+    _, keys, per = _refined(reports, keep)
     whole = per.groupBy("k3").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("copies")).where("copies > 1")
     of = per.select("k1", "k3").join(whole, "k3").select("k1", "first_id", "copies")
-    return salted_join(inv.select("row_id", "k1"), of, ["k1"], "row_id").groupBy("row_id").agg(F.min("first_id").alias("first_id"), F.max("copies").alias("copies"))
+    return keep.result(salted_join(keys, of, ["k1"], "row_id").groupBy("row_id").agg(F.min("first_id").alias("first_id"), F.max("copies").alias("copies")))
 
 
 def format_found(reports: DataFrame) -> DataFrame:
@@ -117,5 +144,7 @@ def format_found(reports: DataFrame) -> DataFrame:
 
 def format_records(reports: DataFrame) -> DataFrame:
     """One row per record that is left: its first report_id and its number of copies, single ones included."""
-    _, _, per = _format_classes(reports)
-    return per.groupBy("k3").agg(F.min("first_id").alias("report_id"), F.sum("n").alias("copies")).select("report_id", "copies")
+    keep = Kept()
+    inv, _, per = _refined(reports, keep)
+    alone = inv.groupBy("len", "hist").agg(F.min("row_id").alias("report_id"), F.max("row_id").alias("z")).where("report_id = z").select("report_id", F.lit(1).cast("long").alias("copies"))
+    return keep.result(alone.unionByName(per.groupBy("k3").agg(F.min("first_id").alias("report_id"), F.sum("n").alias("copies")).select("report_id", "copies")))

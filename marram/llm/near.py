@@ -21,12 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.llm import forms
-from marram.llm.duplicates import _STRIPPED, _hash, _stars, _unit_key, histograms
+from marram.llm.duplicates import _STRIPPED, _hash, _pieces, _stars, _unit_key, letters
 from marram.operators.components import components
 from marram.plans.shared import Kept, checked, cut, salted_join
 
@@ -192,13 +191,12 @@ def _blocks(keys: np.ndarray, first: int, bits: int, targets: int) -> Iterator[p
 
 def _near_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of _BASE from row_id, text."""
-    sql = forms.form_sql("text", keep="row_id", outs=f"row_id, {_NORMAL} AS n, {_STRIPPED} AS k, {_hash('s4')} AS f")
-    sql = f"SELECT row_id, n, k, {_hash('n')} AS id, f FROM ({sql})"
+    sql = forms.form_sql("text", keep="row_id", outs=f"row_id, s4, {_NORMAL} AS n, {_hash('s4')} AS f")
+    sql = f"SELECT row_id, s4, n, {_hash('n')} AS id, f FROM ({sql})"
     known: set[int] = set()
-    for b in forms.run_sql(batches, sql):
-        later = [x in known or known.add(x) is not None for x in b.column("id").to_pylist()]
-        form = pc.if_else(pa.array(later, pa.bool_()), pa.scalar(None, pa.string()), b.column("n").cast(pa.string()))
-        yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("id"), pa.array(histograms(b.column("k"))), b.column("f"), form], names=["row_id", "id", "hist", "f", "form"])
+    for b in _pieces(batches, sql):
+        form = pa.array([None if x in known or known.add(x) else t for x, t in zip(b.column("id").to_pylist(), b.column("n").to_pylist(), strict=True)], pa.string())
+        yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("id"), pa.array(letters(b.column("s4").to_pylist())[1]), b.column("f"), form], names=["row_id", "id", "hist", "f", "form"])
 
 
 def _sign(bits: int, targets: int):
