@@ -36,10 +36,13 @@ class Kept:
         self.frames.append(df.persist())
         return self.frames[-1]
 
-    def result(self, df: DataFrame) -> DataFrame:
-        out = cut(df)
+    def release(self) -> None:
         for f in self.frames:
             f.unpersist()
+
+    def result(self, df: DataFrame) -> DataFrame:
+        out = cut(df)
+        self.release()
         return out
 
 
