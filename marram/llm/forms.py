@@ -178,10 +178,18 @@ def _records(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("row_id"), F.col(text).alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL").distinct()
 
 
+def _both(reports: DataFrame, claims: DataFrame) -> DataFrame:
+    return _records(reports, "report_id", "raw_text").withColumn("source_table", F.lit("reports")).unionByName(_records(claims, "event_id", "location_text").withColumn("source_table", F.lit("claims")))
+
+
+def all_forms(reports: DataFrame, claims: DataFrame) -> DataFrame:
+    """source_table, row_id and the consistent form of every raw_text and location_text."""
+    return consistent(_both(reports, claims), ["source_table", "row_id"], "text")
+
+
 def found(reports: DataFrame, claims: DataFrame) -> DataFrame:
     """p6_found: records whose raw_text or location_text holds look-alike characters.
 
     Null keys or texts give no row; a key whose copies differ gives one row.
     """
-    both = _records(reports, "report_id", "raw_text").withColumn("source_table", F.lit("reports")).unionByName(_records(claims, "event_id", "location_text").withColumn("source_table", F.lit("claims")))
-    return lookalikes(both, ["source_table", "row_id"], "text").select("source_table", "row_id").distinct()
+    return lookalikes(_both(reports, claims), ["source_table", "row_id"], "text").select("source_table", "row_id").distinct()

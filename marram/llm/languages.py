@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marram.llm import forms, sentences
 
@@ -221,8 +222,8 @@ def train(reports: DataFrame, per_language: int = PER_LANGUAGE) -> Net | None:
 
 
 def segments(reports: DataFrame, net: Net) -> DataFrame:
-    """report_id, source_language, part, language and confidence of every part of every report."""
-    sql = forms.form_sql("text", keep="report_id, label", outs="report_id, label, s4 AS form")
+    """report_id, source_language, h (of the text), part, language and confidence of every part of every row; copies aren't removed."""
+    sql = forms.form_sql("text", keep="report_id, label, h", outs="report_id, label, h, s4 AS form")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in forms.run_sql(batches, sql):
@@ -236,27 +237,37 @@ def segments(reports: DataFrame, net: Net) -> DataFrame:
                         nth.append(k)
                 kind, sure = net.classify(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(at, pa.int32())), b.column(1).take(pa.array(at, pa.int32())), pa.array(nth, pa.int32()), pa.array([net.classes[c] for c in kind], pa.string()), pa.array(sure, pa.float64())],
-                    names=["report_id", "source_language", "part", "language", "confidence"],
+                    [*(b.column(c).take(pa.array(at, pa.int32())) for c in range(3)), pa.array(nth, pa.int32()), pa.array([net.classes[c] for c in kind], pa.string()), pa.array(sure, pa.float64())],
+                    names=["report_id", "source_language", "h", "part", "language", "confidence"],
                 )
 
-    src = reports.select("report_id", F.col("source_language").alias("label"), F.col("raw_text").alias("text")).where("report_id IS NOT NULL AND text IS NOT NULL").groupBy("report_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
-    return src.mapInArrow(run, "report_id string, source_language string, part int, language string, confidence double")
+    src = reports.select("report_id", F.col("source_language").alias("label"), F.xxhash64("raw_text").alias("h"), F.col("raw_text").alias("text")).where("report_id IS NOT NULL AND text IS NOT NULL")
+    return src.mapInArrow(run, "report_id string, source_language string, h long, part int, language string, confidence double")
 
 
-def _settled(reports: DataFrame) -> DataFrame | None:
-    """segments, a doubtful part taking the language of most of the report's sure parts."""
+def _segments(reports: DataFrame) -> DataFrame:
     net = train(reports)
-    return None if net is None else segments(reports, net)
+    if net is None:
+        return reports.sparkSession.createDataFrame([], "report_id string, source_language string, h long, part int, language string, confidence double")
+    return segments(reports, net)
+
+
+def settled(reports: DataFrame) -> DataFrame:
+    """report_id, source_language, part, language and confidence of every part; a doubtful part takes the language of most of its report's sure parts."""
+    own = Window.partitionBy("report_id", "source_language", "h")  # one report's parts
+    sure = [F.sum(F.when((F.col("confidence") >= SURE) & (F.col("language") == k), 1).otherwise(0)).over(own) for k in NAMES]
+    seg = _segments(reports).distinct().withColumn("main", F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(k).alias("k")) for n, k in zip(sure, NAMES, strict=True)])))
+    language = F.when((F.col("confidence") < SURE) & (F.col("main.n") > 0), F.col("main.k")).otherwise(F.col("language"))
+    return seg.select("report_id", "source_language", "part", language.alias("language"), F.round("confidence", 4).alias("confidence"))
 
 
 def documents(reports: DataFrame) -> DataFrame:
-    """report_id, its main language with a confidence, and all its languages."""
-    seg = _settled(reports)
-    if seg is None:
-        return reports.sparkSession.createDataFrame([], "report_id string, source_language string, language string, confidence double, languages array<string>")
-    per = seg.groupBy("report_id", "source_language", "language").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.max("confidence").alias("most"))
-    return per.groupBy("report_id", "source_language").agg(
+    """report_id, its main language with a confidence, and all its languages; doubtful parts name none. A row for each differing text or label of a report_id.
+
+    Copies count alike in every part of a report, so neither its main language nor its mean confidence depends on their number.
+    """
+    per = _segments(reports).groupBy("report_id", "source_language", "h", "language").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.max("confidence").alias("most"))
+    return per.groupBy("report_id", "source_language", "h").agg(
         F.max_by("language", F.struct("c", "language")).alias("language"), F.max_by(F.col("c") / F.col("n"), F.struct("c", "language")).alias("confidence"),
         F.array_sort(F.collect_list(F.when(F.col("most") >= SURE, F.col("language")))).alias("sure"),
     ).select("report_id", "source_language", "language", "confidence", F.when(F.size("sure") == 0, F.array("language")).otherwise(F.col("sure")).alias("languages"))
@@ -266,4 +277,4 @@ def found(reports: DataFrame) -> DataFrame:
     """p7_found."""
     docs = documents(reports).withColumn("label", _label("source_language"))
     wrong = docs.where("label IS NULL OR size(languages) > 1 OR label <> languages[0]")
-    return wrong.select("report_id", F.explode("languages").alias("language"))
+    return wrong.select("report_id", F.explode("languages").alias("language")).distinct()

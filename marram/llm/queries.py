@@ -65,6 +65,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return forms.found(_t(spark, d, "reports"), _t(spark, d, "claims"))
 
 
+def p6_forms(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import forms
+
+    return forms.all_forms(_t(spark, d, "reports"), _t(spark, d, "claims"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from marram.llm import languages
 
@@ -77,6 +83,12 @@ def p7_documents(spark: SparkSession, d: str) -> DataFrame:
     return languages.documents(_t(spark, d, "reports"))
 
 
+def p7_segments(spark: SparkSession, d: str) -> DataFrame:
+    from marram.llm import languages
+
+    return languages.settled(_t(spark, d, "reports"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from marram.llm import leaks
 

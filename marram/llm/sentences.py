@@ -256,7 +256,7 @@ SCHEMA = T.StructType([T.StructField("row_id", T.StringType()), T.StructField("s
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, starts, ends = [], [], []
-        for i, (row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for a, b in units(text):
                 ids.append(row)
                 starts.append(a + 1)
@@ -264,22 +264,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["row_id", "start_pos", "end_pos"])
 
 
-def records(reports: DataFrame) -> DataFrame:
-    """row_id and text, one row per report_id; copies count once, of differing texts the smallest is kept."""
-    return reports.select(F.col("report_id").alias("row_id"), F.col("raw_text").alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL").groupBy("row_id").agg(F.min("text").alias("text"))
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(units(t)) for t in batch.column(1).to_pylist()], pa.int32())], names=["report_id", "segment_count"])
+
+
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).cast("string").alias("row_id"), F.col(text).alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL")
 
 
 def split(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per sentence unit of each row: key as row_id, 1-based start_pos and end_pos in code points."""
-    src = df.select(F.col(key).cast("string").alias("row_id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    return src.mapInArrow(_cut, SCHEMA)
+    return _texts(df, key, text).mapInArrow(_cut, SCHEMA)
 
 
 def found(reports: DataFrame) -> DataFrame:
-    """p1_found: the sentence units of every distinct report."""
-    return split(records(reports), "row_id", "text").select(F.col("row_id").alias("report_id"), "start_pos", "end_pos")
+    """p1_found: the sentence units of every distinct report.
+
+    Copies fall away among the units, which are smaller than the texts; a
+    report_id with differing texts has the units of all of them.
+    """
+    return split(reports, "report_id", "raw_text").distinct().select(F.col("row_id").alias("report_id"), "start_pos", "end_pos")
 
 
 def counts(reports: DataFrame) -> DataFrame:
-    """report_id and the segment_count that follows from its units."""
-    return found(reports).groupBy("report_id").agg(F.count("*").cast("int").alias("segment_count"))
+    """report_id and the segment_count that follows from its units; a row for each count that differing texts of one report_id have."""
+    return _texts(reports, "report_id", "raw_text").mapInArrow(_number, "report_id string, segment_count int").where("segment_count > 0").distinct()

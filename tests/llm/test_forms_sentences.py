@@ -89,3 +89,10 @@ def test_p1_found(spark):
     df = spark.createDataFrame([("r1", " A b. C d. ", 1), ("r1", " A b. C d. ", 1), ("r2", None, 1), ("r3", "", 2)], "report_id string, raw_text string, start_pos int")
     assert sorted(map(tuple, sentences.found(df).collect())) == [("r1", 2, 5), ("r1", 7, 10)]
     assert [tuple(r) for r in sentences.counts(df).collect()] == [("r1", 2)]
+
+
+def test_every_text_of_a_repeated_id_counts(spark):
+    rows = [("r1", "One here. Two there."), ("r1", "One here. Two there."), ("r1", "A longer beginning of it. End."), ("r2", None)]
+    df = spark.createDataFrame(rows, "report_id string, raw_text string")
+    assert sorted(map(tuple, sentences.found(df).collect())) == [("r1", 1, 9), ("r1", 1, 25), ("r1", 11, 20), ("r1", 27, 30)]
+    assert sorted(map(tuple, sentences.counts(df).collect())) == [("r1", 2)]

@@ -100,6 +100,15 @@ def test_language_found(spark):
     assert got == [("x1", "en"), ("x2", "en"), ("x4", "en"), ("x4", "fr")]
 
 
+def test_each_text_of_a_repeated_id_keeps_its_own_label(spark):
+    rows = [(f"r{i}", lang, t) for i, (lang, t) in enumerate(labelled(60, 3))]
+    en, fr = (SENTENCES[k][0].format(n=3, p="Kel") for k in ("en", "fr"))
+    rows += [("y1", "fr", fr), ("y1", "en", en), ("y1", "en", en), ("y2", "fr", en), ("y2", "fr", fr), ("y3", "en", f"{en} {fr}")]
+    df = spark.createDataFrame(rows, "report_id string, source_language string, raw_text string")
+    assert sorted(map(tuple, languages.found(df).collect())) == [("y2", "en"), ("y3", "en"), ("y3", "fr")]
+    assert [(x.part, x.language) for x in languages.settled(df).where("report_id = 'y3'").orderBy("part").collect()] == [(0, "en"), (1, "fr")]
+
+
 def test_language_windows_cover_the_text():
     texts = ["a" * 200, "b", "", "é" * 70]
     x, owner = languages.windows(texts)
