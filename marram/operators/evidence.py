@@ -36,61 +36,29 @@ def report_weight(reporter: Column, flagged: Column) -> Column:
     return F.when(reporter.isNull() | (reporter == ""), 0.7).otherwise(1.0) * F.when(flagged, 0.3).otherwise(1.0)
 
 
-def corroboration(claims: DataFrame, reports: DataFrame) -> DataFrame:
-    """Per event type and place: claims, independent sources, languages, mean weight, confidence, dispute; flagged reports count for nothing.
+def corroboration_groups(claims: DataFrame, reports: DataFrame) -> DataFrame:
+    """claims with their _place, grouped by event type and place: claims, independent sources, languages, mean weight, confidence, dispute; flagged reports count for nothing.
 
     Counts are aggregated and can be joined back; no window over distinct values.
     """
-    r = reports.select("report_id", "reporter_id", F.sha2("raw_text", 256).alias("h"), "source_language", "suspected_injection")
-    c = claims.where("verification_state <> 'rejected'").withColumn("place", X.place_key(X.place_of(F.col("resolved_location"), F.col("location_text")), False)).where("place <> ''")
-    j = c.join(r, "report_id")
-    clean = ~F.col("suspected_injection")
-    g = j.groupBy("event_type", "place").agg(
-        F.count("*").alias("claims"), F.countDistinct(F.when(clean, source_key(F.col("reporter_id"), F.col("h")))).alias("sources"), F.countDistinct(F.when(clean, F.col("source_language"))).alias("languages"),
-        F.coalesce(F.avg(F.when(clean, report_weight(F.col("reporter_id"), F.col("suspected_injection")))), F.lit(1.0)).alias("w"), F.bool_or(F.col("verification_state") == "disputed").alias("disputed"),
+    r = reports.groupBy("report_id").agg(F.min(F.struct("reporter_id", F.sha2("raw_text", 256).alias("h"), "source_language", "suspected_injection")).alias("r")).select("report_id", "r.*")
+    c = claims.where("verification_state <> 'rejected' AND _place <> ''").select("report_id", "event_type", "_place", "verification_state")
+    j = c.join(r, "report_id", "left")
+    clean = ~F.coalesce("suspected_injection", F.lit(False))
+    known = F.col("h").isNotNull()
+    source = F.when(known, source_key(F.col("reporter_id"), F.col("h"))).otherwise(F.concat(F.lit("report:"), F.coalesce("report_id", F.lit(""))))
+    g = j.groupBy("event_type", "_place").agg(
+        F.count("*").alias("claims"), F.countDistinct(F.when(clean, source)).alias("sources"), F.countDistinct(F.when(clean, F.col("source_language"))).alias("languages"),
+        F.coalesce(F.avg(F.when(clean & known, report_weight(F.col("reporter_id"), F.col("suspected_injection")))), F.lit(1.0)).alias("w"), F.bool_or(clean & (F.col("verification_state") == "disputed")).alias("disputed"),
     )
-    score = confidence(F.col("sources"), F.greatest("languages", F.lit(1)), F.col("w"))
-    return g.select("event_type", "place", "claims", "sources", "languages", F.round("w", 6).alias("weight"), F.when(F.col("disputed"), F.least(score, F.lit(0.49))).otherwise(score).alias("confidence"), "disputed")
+    return g.withColumn("confidence", confidence(F.col("sources"), F.greatest("languages", F.lit(1)), F.col("w")))
 
 
-def status_pairs() -> list[tuple[str, str]]:
-    """The configured opposites, both ways round."""
-    pairs = [tuple(p.split(":")) for p in V.STATUS_PAIRS.split(",")]
-    return sorted({*pairs, *((b, a) for a, b in pairs)})
-
-
-def claim_classes(claims: DataFrame) -> DataFrame:
-    """Claims that say the same of one incident (place and day): its number of claims and its first claim.
-
-    Contradictions are found between these classes, so a hot place costs its
-    distinct statements, not its pairs of claims.
-    """
-    c = claims.withColumn("place", X.place_key(X.place_of(F.col("resolved_location"), F.col("location_text")), False)).where("place <> ''")
-    c = c.withColumn("day", F.to_date("created_at")).withColumn("clock", F.array_join(X.clocks(F.col("time_reference")), "/"))
-    keep = F.col("event_type").isin(sorted({t for p in status_pairs() for t in p})) | (F.col("event_type").isin(V.COUNTABLE_TYPES) & F.col("people_affected").isNotNull()) | (F.col("clock") != "")
-    return c.where(keep).groupBy("place", "day", "event_type", "people_affected", "clock").agg(F.min(F.struct("created_at", "event_id")).alias("first"), F.count("*").alias("n"))
-
-
-def contradictions(claims: DataFrame) -> DataFrame:
-    """Pairs of classes that contradict, the class with the earlier first claim as a.
-
-    One contradiction a pair: opposed status, else unequal counts, else unequal clocks.
-    """
-    c = claim_classes(claims)
-    side = lambda s: c.select("place", "day", *[F.col(x).alias(f"{s}_{x}") for x in ("event_type", "people_affected", "clock", "first", "n")])
-    j = side("a").join(side("b"), ["place", "day"]).where("a_first < b_first")
-    same = F.col("a_event_type") == F.col("b_event_type")
-    opposed = F.concat_ws(":", "a_event_type", "b_event_type").isin([":".join(p) for p in status_pairs()])
-    volatile = F.col("a_event_type").isin(V.VOLATILE_TYPES) & F.col("b_event_type").isin(V.VOLATILE_TYPES)
-    later = (F.col("a_clock") != "") & (F.col("b_clock") != "") & (F.substring("b_clock", 1, 5) > F.substring("a_clock", 1, 5))
-    counts = same & F.col("a_event_type").isin(V.COUNTABLE_TYPES) & (F.col("a_people_affected") != F.col("b_people_affected"))
-    times = same & (F.col("a_clock") != "") & (F.col("b_clock") != "") & (F.col("a_clock") != F.col("b_clock"))
-    found = lambda kind, severity, rule: F.struct(F.lit(kind).alias("conflict_type"), severity.alias("severity"), F.lit(rule).alias("rule"))
-    what = (
-        F.when(opposed & volatile & later, found("status", F.lit("low"), "status_pair_with_temporal_order")).when(opposed, found("status", F.lit("high"), "status_pair_same_location"))
-        .when(counts, found("numeric", F.when(F.abs(F.col("a_people_affected") - F.col("b_people_affected")) > 2, "high").otherwise("medium"), "count_mismatch_same_event")).when(times, found("temporal", F.lit("medium"), "clock_time_mismatch"))
-    )
-    return j.withColumn("w", what).where("w IS NOT NULL").select("place", "day", F.col("a_first.event_id").alias("event_a_id"), F.col("b_first.event_id").alias("event_b_id"), "w.conflict_type", "w.severity", "w.rule", (F.col("a_n") * F.col("b_n")).alias("pairs"))
+def corroboration(claims: DataFrame, reports: DataFrame, compatibility: bool = False) -> DataFrame:
+    """corroboration_groups of claims by their resolved, else typed place, disputes capping the confidence."""
+    c = claims.withColumn("_place", X.place_key(X.place_of(F.col("resolved_location"), F.col("location_text")), compatibility))
+    capped = F.when(F.col("disputed"), F.least("confidence", F.lit(0.49))).otherwise(F.col("confidence"))
+    return corroboration_groups(c, reports).select("event_type", F.col("_place").alias("place"), "claims", "sources", "languages", F.round("w", 6).alias("weight"), capped.alias("confidence"), "disputed")
 
 
 def unpivoted(claims: DataFrame) -> DataFrame:

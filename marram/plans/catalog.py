@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marram.functions import text as X
 from marram.functions import vocab as V
-from marram.operators import evidence, extraction, graph, ingest, metrics, orphans, scoring, similar
+from marram.operators import contradictions, evaluation, evidence, extraction, graph, ingest, metrics, orphans, scoring, similar
 from marram.operators.rows import once
 from marram.plans import core_sql
 
@@ -43,12 +43,15 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conflicts_detected(spark, d):
-    return evidence.contradictions(_claims(spark, d)).withColumn("day", F.col("day").cast("string"))
+    return contradictions.contradictions(_claims(spark, d), False)
 
 
 def conflict_classes(spark, d):
-    c = evidence.claim_classes(_claims(spark, d))
-    return c.select("place", F.col("day").cast("string").alias("day"), "event_type", "people_affected", "clock", F.col("first.event_id").alias("first_event_id"), "n")
+    return contradictions.claim_classes(_claims(spark, d), False).select("branch", "place", "known", "event_type", "people_affected", "clock", F.col("first.event_id").alias("first_event_id"), "n")
+
+
+def claims_disputed(spark, d):
+    return contradictions.disputed(_claims(spark, d), False).select("event_id", "verification_state")
 
 
 def conflict_sides(spark, d):
@@ -211,6 +214,19 @@ def corroboration(spark, d):
     return evidence.corroboration(_claims(spark, d), _reports(spark, d))
 
 
+def claims_evaluated(spark, d):
+    return evaluation.evaluated(_claims(spark, d), _reports(spark, d, "reporter_id", "raw_text", "source_language", "suspected_injection"), False).select("event_id", "independent_source_count", "evidence_confidence", "verification_state")
+
+
+def claims_resolved(spark, d):
+    c = _claims(spark, d, "event_type", "location_text", "resolved_location", "location_confidence", "created_at")
+    return evaluation.resolved(c, _t(spark, d, "gazetteer"), False).select("event_id", "resolved_location", "location_confidence")
+
+
+def places_canonical(spark, d):
+    return evaluation.canonical_names(_claims(spark, d), _t(spark, d, "gazetteer"), False)
+
+
 def confidence_grid(spark, d):
     g = spark.range(0, 80).select((F.col("id") % 10).cast("int").alias("sources"), (F.floor(F.col("id") / 10) % 4 + 1).cast("int").alias("languages"), F.when(F.col("id") < 40, 1.0).otherwise(0.7).alias("weight"))
     return g.withColumn("confidence", evidence.confidence(F.col("sources"), F.col("languages"), F.col("weight")))
@@ -326,10 +342,10 @@ def score_fields(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in [
-        conflicts_detected, conflict_classes, conflict_sides, conflicts_fresh, conflicts_by_status, reports_listed, claims_listed, reports_pending, report_by_id, audit_of_entity, audit_recent, audit_appended,
+        conflicts_detected, conflict_classes, claims_disputed, conflict_sides, conflicts_fresh, conflicts_by_status, reports_listed, claims_listed, reports_pending, report_by_id, audit_of_entity, audit_recent, audit_appended,
         ingest_checked, ingest_new, ingest_hash_check, segments_of_reports, text_model_view, text_severity, text_normal, text_normal_compatible, text_fingerprints, text_clocks, text_words, text_wire,
         guard_counts, guard_severity, guard_places, guard_types, guard_uncertainties, links_unpivoted, links_ungrounded, links_reports_per_claim, claims_with_reports, duplicates_exact, duplicates_members, duplicates_names,
-        corroboration, confidence_grid, places_first_names, places_aliases, places_keys, places_resolution, claims_collapsed, claims_extracted, graph_nodes, graph_edges, graph_stats, metrics_summary, metrics_states, metrics_languages, score_locations, score_fields, duplicates_classified, score_shapes, score_weighted, p5_found, p5_report,
+        corroboration, claims_evaluated, claims_resolved, places_canonical, confidence_grid, places_first_names, places_aliases, places_keys, places_resolution, claims_collapsed, claims_extracted, graph_nodes, graph_edges, graph_stats, metrics_summary, metrics_states, metrics_languages, score_locations, score_fields, duplicates_classified, score_shapes, score_weighted, p5_found, p5_report,
     ]
 }
 

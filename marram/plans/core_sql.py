@@ -76,13 +76,38 @@ _TYPES = _list
 _OPPOSED = sorted({t for p in V.STATUS_PAIRS.split(",") for t in p.split(":")})
 _PAIRS = sorted({x for p in V.STATUS_PAIRS.split(",") for x in (p, ":".join(reversed(p.split(":"))))})
 
+_SAID = "branch, place, known, event_type, people_affected, clock"
 _CLASSES = f"""
-k AS (SELECT *, {_key(_PLACE)} AS place, CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS day, array_to_string({_clocks('time_reference')}, '/') AS clock FROM {_claims()}),
-f AS (SELECT *, row_number() OVER (PARTITION BY place, day, event_type, people_affected, clock ORDER BY created_at, event_id) AS rn, count(*) OVER (PARTITION BY place, day, event_type, people_affected, clock) AS n
-  FROM k WHERE place <> '' AND (event_type IN (SELECT unnest({_list(_OPPOSED)})) OR (event_type IN (SELECT unnest({_list(V.COUNTABLE_TYPES)})) AND people_affected IS NOT NULL) OR clock <> '')),
-cls AS (SELECT place, day, event_type, people_affected, clock, event_id, created_at, n FROM f WHERE rn = 1)"""
+k AS (SELECT *, array_to_string({_clocks('time_reference')}, '/') AS clock, coalesce(resolved_location, '') <> '' AS known FROM {_claims()}),
+f AS (SELECT * FROM k WHERE event_type IN (SELECT unnest({_list(_OPPOSED)})) OR (event_type IN (SELECT unnest({_list(V.COUNTABLE_TYPES)})) AND people_affected IS NOT NULL) OR clock <> ''),
+b AS (SELECT 'resolved' AS branch, {_key('resolved_location')} AS place, * FROM f WHERE known UNION ALL SELECT 'typed', {_key('location_text')}, * FROM f WHERE {_key('location_text')} <> ''),
+c AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY {_SAID}) AS n, first_value(event_id) OVER w AS fe, first_value(created_at) OVER w AS fc, first_value(report_id) OVER w AS fr, first_value(location_text) OVER w AS fl, first_value(time_reference) OVER w AS ft
+  FROM b WINDOW w AS (PARTITION BY {_SAID} ORDER BY created_at, event_id))"""
+
+#: Every pair of claims by itself, with the rule that holds for it.
+_CONFLICTS = f"""{_CLASSES},
+p AS (SELECT a.branch, a.place, a.event_id AS ea, b.event_id AS eb, a.event_type AS ta, b.event_type AS tb, a.people_affected AS na, b.people_affected AS nb, a.clock AS ka, b.clock AS kb, a.fe AS fea, b.fe AS feb, a.fc AS fca, b.fc AS fcb, a.fr AS fra, b.fr AS frb, a.fl AS fla, b.fl AS flb, a.ft AS fta, b.ft AS ftb,
+  list_contains({_list(_PAIRS)}, a.event_type || ':' || b.event_type) AS opposed, a.clock <> '' AND b.clock <> '' AS timed,
+  a.event_type IN (SELECT unnest({_list(V.VOLATILE_TYPES)})) AND b.event_type IN (SELECT unnest({_list(V.VOLATILE_TYPES)})) AS volatile, a.event_type = b.event_type AND a.event_type IN (SELECT unnest({_list(V.COUNTABLE_TYPES)})) AND a.people_affected <> b.people_affected AS differ
+  FROM c a JOIN c b ON a.branch = b.branch AND a.place = b.place AND (a.branch = 'resolved' OR NOT (a.known AND b.known)) AND (a.created_at, a.event_id) < (b.created_at, b.event_id)),
+w AS (SELECT *, CASE WHEN opposed AND volatile AND timed AND kb[1:5] > ka[1:5] THEN 'status_pair_with_temporal_order' WHEN opposed THEN 'status_pair_same_location' WHEN differ THEN 'count_mismatch_same_event' WHEN ta = tb AND timed AND ka <> kb THEN 'clock_time_mismatch' END AS rule,
+  NOT coalesce(opposed AND volatile AND timed AND ka[1:5] <> kb[1:5], false) AND (fcb, feb) < (fca, fea) AS turn FROM p)"""
 
 _CONF = "CASE WHEN sources <= 0 THEN 0.0::DOUBLE ELSE round(least(0.97::DOUBLE, least(1.0::DOUBLE, 1.6::DOUBLE * ln(1.0::DOUBLE + sources) / ln(5.0::DOUBLE)) * (1.0::DOUBLE + 0.08::DOUBLE * (languages - 1)) * weight), 3) END"
+_GROUPS = f"""r AS (SELECT report_id, reporter_id, sha256(raw_text) AS h, source_language, suspected_injection AS f FROM {_reports('report_id, reporter_id, raw_text, source_language, suspected_injection')}),
+j AS (SELECT k.event_type, k.report_id AS of, k.verification_state, {_key(_PLACE)} AS place, r.*, NOT coalesce(f, false) AS clean FROM {_claims()} k LEFT JOIN r ON r.report_id = k.report_id WHERE verification_state <> 'rejected'),
+g AS (SELECT event_type, place, count(*) AS claims, count(DISTINCT CASE WHEN clean THEN CASE WHEN h IS NULL THEN 'report:' || coalesce(of, '') WHEN reporter_id <> '' THEN 'reporter:' || reporter_id ELSE 'anon:' || h[1:16] END END) AS sources, count(DISTINCT CASE WHEN clean THEN source_language END) AS l,
+  coalesce(avg(CASE WHEN clean AND h IS NOT NULL THEN CASE WHEN coalesce(reporter_id, '') = '' THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END END), 1.0::DOUBLE) AS weight, bool_or(clean AND verification_state = 'disputed') AS disputed FROM j WHERE place <> '' GROUP BY 1, 2),
+s AS (SELECT *, greatest(l, 1) AS languages FROM g), t AS (SELECT *, {_CONF} AS x FROM s)"""
+
+_CANONICAL = f"""m AS (SELECT location_text AS mention, min(row(created_at, event_id)) AS since, any_value({_name('location_text')}) AS key FROM {_claims()} WHERE list_contains({_list(V.PLACE_TYPES)}, event_type) AND location_text <> '' GROUP BY 1),
+g AS (SELECT {_name('name')} AS key, min(group_id) AS group_id FROM gazetteer WHERE name IS NOT NULL GROUP BY 1),
+u AS (SELECT m.*, coalesce('g:' || group_id, 'k:' || m.key) AS unit, m.key = '' OR list_contains({_list(V.GENERIC_PLACES)}, m.key) AS generic FROM m LEFT JOIN g USING (key)),
+o AS (SELECT *, first_value(mention) OVER w AS fm, first_value(key) OVER w AS fk FROM u WHERE NOT generic WINDOW w AS (PARTITION BY unit ORDER BY since, mention)),
+z AS (SELECT mention, key, fm, fk, false AS generic FROM o UNION ALL SELECT mention, key, NULL, NULL, true FROM u WHERE generic),
+q AS (SELECT *, CASE WHEN generic THEN 'generic_or_empty' WHEN mention = fm THEN 'first_mention' WHEN key = fk THEN 'exact_normalized_match' ELSE 'known_alias' END AS reason FROM z),
+names AS (SELECT mention, coalesce(fm, mention) AS canonical, CASE WHEN reason IN ('exact_normalized_match', 'known_alias') THEN true END AS same, CASE WHEN generic THEN 0.0::DOUBLE WHEN reason = 'known_alias' THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS confidence, reason FROM q)"""
+
 _ROW = "created_at, event_id"
 
 
@@ -106,15 +131,21 @@ UNION SELECT 'event:' || event_id, 'event:' || nxt, 'corroborates' FROM (SELECT
     rich = "row((p <> '')::INT, (people_affected IS NOT NULL)::INT, (time_reference IS NOT NULL)::INT, -segment_index, event_id)"
     folded = r"trim(regexp_replace(lower(location_text), '\s+', ' ', 'g'))"
     return {
-        "conflict_classes": f"WITH {_CLASSES} SELECT place, CAST(day AS VARCHAR) AS day, event_type, people_affected, clock, event_id AS first_event_id, n FROM cls",
-        "conflicts_detected": f"""WITH {_CLASSES},
-p AS (SELECT a.place, CAST(a.day AS VARCHAR) AS day, a.event_id AS event_a_id, b.event_id AS event_b_id, a.n * b.n AS pairs, a.event_type = b.event_type AS same, list_contains({_list(_PAIRS)}, a.event_type || ':' || b.event_type) AS opposed,
-  a.event_type IN (SELECT unnest({_list(V.VOLATILE_TYPES)})) AND b.event_type IN (SELECT unnest({_list(V.VOLATILE_TYPES)})) AS volatile, a.clock <> '' AND b.clock <> '' AND b.clock[1:5] > a.clock[1:5] AS later,
-  a.event_type IN (SELECT unnest({_list(V.COUNTABLE_TYPES)})) AND a.people_affected <> b.people_affected AS differ, abs(a.people_affected - b.people_affected) AS delta, a.clock <> '' AND b.clock <> '' AND a.clock <> b.clock AS times
-  FROM cls a JOIN cls b ON a.place = b.place AND a.day = b.day AND (a.created_at, a.event_id) < (b.created_at, b.event_id)),
-w AS (SELECT *, CASE WHEN opposed AND volatile AND later THEN 'status_pair_with_temporal_order' WHEN opposed THEN 'status_pair_same_location' WHEN same AND differ THEN 'count_mismatch_same_event' WHEN same AND times THEN 'clock_time_mismatch' END AS rule FROM p)
-SELECT place, day, event_a_id, event_b_id, CASE WHEN rule LIKE 'status%' THEN 'status' WHEN rule LIKE 'count%' THEN 'numeric' ELSE 'temporal' END AS conflict_type,
-  CASE rule WHEN 'status_pair_with_temporal_order' THEN 'low' WHEN 'status_pair_same_location' THEN 'high' WHEN 'count_mismatch_same_event' THEN CASE WHEN delta > 2 THEN 'high' ELSE 'medium' END ELSE 'medium' END AS severity, rule, pairs FROM w WHERE rule IS NOT NULL""",
+        "conflict_classes": f"WITH {_CLASSES} SELECT branch, place, known, event_type, people_affected, clock, event_id AS first_event_id, n FROM c WHERE rn = 1",
+        "conflicts_detected": f"""WITH {_CONFLICTS},
+x AS (SELECT branch, place, rule, abs(na - nb) AS delta, CASE WHEN turn THEN feb ELSE fea END AS event_a_id, CASE WHEN turn THEN fea ELSE feb END AS event_b_id, CASE WHEN turn THEN frb ELSE fra END AS ra, CASE WHEN turn THEN fra ELSE frb END AS rb,
+  CASE WHEN turn THEN tb ELSE ta END AS ta, CASE WHEN turn THEN ta ELSE tb END AS tb, CASE WHEN turn THEN nb ELSE na END AS na, CASE WHEN turn THEN na ELSE nb END AS nb, CASE WHEN turn THEN kb ELSE ka END AS ka, CASE WHEN turn THEN ka ELSE kb END AS kb,
+  chr(39) || coalesce(nullif(CASE WHEN turn THEN flb ELSE fla END, ''), 'this place') || chr(39) AS spot, CASE WHEN turn THEN ftb ELSE fta END AS wa, CASE WHEN turn THEN fta ELSE ftb END AS wb FROM w WHERE rule IS NOT NULL)
+SELECT branch, place, event_a_id, event_b_id, CASE WHEN rule LIKE 'status%' THEN 'status' WHEN rule LIKE 'count%' THEN 'numeric' ELSE 'temporal' END AS conflict_type,
+  CASE WHEN rule = 'status_pair_with_temporal_order' THEN 'low' WHEN rule = 'status_pair_same_location' OR rule LIKE 'count%' AND delta > 2 THEN 'high' ELSE 'medium' END AS severity, rule, count(*) AS pairs,
+  array_to_string(list_sort(list_distinct([ra, rb])), '|') AS evidence,
+  '[detected by rule: ' || rule || '] ' || CASE WHEN rule = 'status_pair_with_temporal_order' THEN spot || ' is ' || ta || ' at ' || coalesce(nullif(wa, ''), 'an earlier time') || ' and ' || tb || ' at ' || coalesce(nullif(wb, ''), 'a later time') || '; its state may have changed, a person has to look'
+    WHEN rule = 'status_pair_same_location' THEN spot || ' is ' || ta || ' by one report and ' || tb || ' by another; neither is preferred'
+    WHEN rule LIKE 'count%' THEN 'people affected by ' || ta || ' at ' || spot || ': ' || na || ' or ' || nb || '; no value is preferred'
+    ELSE ta || ' at ' || spot || ' took place at ' || ka || ' or at ' || kb || '; both times are kept' END AS explanation
+FROM x GROUP BY ALL""",
+        "claims_disputed": f"""WITH {_CONFLICTS}, hit AS (SELECT ea AS event_id FROM w WHERE rule IS NOT NULL UNION SELECT eb FROM w WHERE rule IS NOT NULL)
+SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM hit) AND verification_state <> 'rejected' THEN 'disputed' ELSE verification_state END AS verification_state FROM {c('event_id, verification_state')}""",
         "conflict_sides": f"""WITH s AS (SELECT conflict_id, 'a' AS side, event_a_id AS event_id FROM conflicts UNION ALL SELECT conflict_id, 'b', event_b_id FROM conflicts)
 SELECT s.conflict_id, s.side, s.event_id, k.report_id, r.source_language, concat_ws(', ', 'type ' || k.event_type, 'at ' || {_PLACE}, 'people ' || k.people_affected, CASE WHEN k.severity <> 'unknown' THEN 'severity ' || k.severity END, 'time ' || nullif(k.time_reference, '')) AS description
 FROM s LEFT JOIN {c()} k ON k.event_id = s.event_id LEFT JOIN {r('report_id, source_language')} r ON r.report_id = k.report_id""",
@@ -156,12 +187,19 @@ SELECT event_id, CASE WHEN NOT (list_contains({_list(V.ECHOES)}, place) OR list_
         "duplicates_members": f"SELECT report_id, 'DUP-' || upper(text_hash[1:10]) AS group_id FROM {r('report_id, text_hash')} WHERE text_hash IN (SELECT text_hash FROM {r('report_id, text_hash')} WHERE text_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1)",
         "duplicates_names": f"""WITH v AS (SELECT DISTINCT {_normal('name')} AS value FROM gazetteer WHERE name IS NOT NULL), t AS (SELECT value, replace(value, ' ', '_') AS t FROM v WHERE value <> ''), g AS (SELECT value, {tri} AS g FROM t),
 p AS (SELECT a.value AS a, b.value AS b, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE AS s FROM g a JOIN g b ON a.value < b.value) SELECT a, b, round(s, 6) AS similarity FROM p WHERE round(s, 6) >= 0.72""",
-        "corroboration": f"""WITH r AS (SELECT report_id, reporter_id, sha256(raw_text) AS h, source_language, suspected_injection AS f FROM {r('report_id, reporter_id, raw_text, source_language, suspected_injection')}),
-j AS (SELECT k.event_type, k.verification_state, {_key(_PLACE)} AS place, r.* FROM {c()} k JOIN r ON r.report_id = k.report_id WHERE verification_state <> 'rejected'),
-g AS (SELECT event_type, place, count(*) AS claims, count(DISTINCT CASE WHEN NOT f THEN CASE WHEN reporter_id <> '' THEN 'reporter:' || reporter_id ELSE 'anon:' || h[1:16] END END) AS sources, count(DISTINCT CASE WHEN NOT f THEN source_language END) AS l,
-  coalesce(avg(CASE WHEN NOT f THEN CASE WHEN coalesce(reporter_id, '') = '' THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END END), 1.0::DOUBLE) AS weight, bool_or(verification_state = 'disputed') AS disputed FROM j WHERE place <> '' GROUP BY 1, 2),
-s AS (SELECT *, greatest(l, 1) AS languages FROM g), t AS (SELECT *, {_CONF} AS x FROM s)
+        "corroboration": f"""WITH {_GROUPS}
 SELECT event_type, place, claims, sources, l AS languages, round(weight, 6) AS weight, CASE WHEN disputed THEN least(x, 0.49::DOUBLE) ELSE x END AS confidence, disputed FROM t""",
+        "claims_evaluated": f"""WITH {_GROUPS},
+m AS (SELECT k.*, {_key(_PLACE)} AS place, k.report_id IN (SELECT report_id FROM r WHERE f) AS flagged FROM {c()} k),
+y AS (SELECT m.*, t.sources, t.x, t.disputed AS d FROM m LEFT JOIN t ON m.verification_state <> 'rejected' AND m.place <> '' AND t.event_type = m.event_type AND t.place = m.place)
+SELECT event_id, CASE WHEN flagged THEN 0 WHEN sources IS NOT NULL THEN sources::INT ELSE independent_source_count END AS independent_source_count,
+  CASE WHEN flagged THEN 0.0::DOUBLE WHEN sources IS NOT NULL THEN CASE WHEN d THEN least(x, 0.49::DOUBLE) ELSE x END ELSE evidence_confidence END AS evidence_confidence,
+  CASE WHEN flagged THEN CASE WHEN verification_state IN ('corroborated', 'disputed') THEN 'unverified' ELSE verification_state END WHEN sources IS NULL OR verification_state <> 'unverified' THEN verification_state WHEN d THEN 'disputed' WHEN sources >= 2 AND x >= 0.45::DOUBLE THEN 'corroborated' ELSE verification_state END AS verification_state FROM y""",
+        "claims_resolved": f"""WITH {_CANONICAL}
+SELECT k.event_id, CASE WHEN n.mention IS NULL THEN k.resolved_location WHEN n.canonical <> k.location_text THEN n.canonical END AS resolved_location,
+  CASE WHEN n.mention IS NULL THEN k.location_confidence WHEN n.canonical <> k.location_text THEN 0.8::DOUBLE END AS location_confidence
+FROM {c('event_id, event_type, location_text, resolved_location, location_confidence')} k LEFT JOIN names n ON n.mention = k.location_text AND list_contains({_list(V.PLACE_TYPES)}, k.event_type)""",
+        "places_canonical": f"WITH {_CANONICAL} SELECT mention, canonical, same, confidence, reason FROM names",
         "confidence_grid": f"WITH g AS (SELECT (i % 10)::INT AS sources, (i // 10 % 4 + 1)::INT AS languages, CASE WHEN i < 40 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS weight FROM range(80) t(i)) SELECT *, {_CONF} AS confidence FROM g",
         "places_first_names": f"SELECT name_key, first(location_text ORDER BY created_at, event_id) AS canonical, count(*) AS mentions FROM (SELECT *, {_name('location_text')} AS name_key FROM {c()}) WHERE name_key <> '' AND NOT list_contains({_list(V.GENERIC_PLACES)}, name_key) AND list_contains({_list(V.PLACE_TYPES)}, event_type) GROUP BY 1",
         "places_aliases": f"SELECT DISTINCT n.name_key, g.group_id FROM (SELECT DISTINCT {_name('location_text')} AS name_key FROM claims WHERE event_id IS NOT NULL) n JOIN (SELECT DISTINCT group_id, {_name('name')} AS name_key FROM gazetteer) g USING (name_key)",

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marram.operators import evidence, graph, ingest, metrics, orphans, rows, scoring, similar
+from marram.operators import contradictions, evaluation, evidence, graph, ingest, metrics, orphans, rows, scoring, similar
 from marram.operators.components import components
 from marram.plans.shared import checked, salted_join, small_rows
 
@@ -35,16 +35,79 @@ def claims(spark, *some):
     ],
 )
 def test_contradictions(spark, a, b, want):
-    got = [(r.conflict_type, r.severity, r.rule) for r in evidence.contradictions(claims(spark, a, b)).collect()]
+    got = [(r.conflict_type, r.severity, r.rule) for r in contradictions.contradictions(claims(spark, a, b)).collect()]
     assert got == ([want] if want else [])
 
 
 def test_hot_place_costs_statements_not_pairs(spark):
     many = [{} for _ in range(200)] + [{"event_type": "road_open"} for _ in range(100)]
-    got = evidence.contradictions(claims(spark, *many)).collect()
+    got = contradictions.contradictions(claims(spark, *many)).collect()
     assert len(got) == 1 and got[0].pairs == 200 * 100 and (got[0].event_a_id, got[0].event_b_id) == ("e0", "e200")
 
 
+def test_contradictions_across_midnight_and_days(spark):
+    got = contradictions.contradictions(claims(spark, {"created_at": at(955)}, {"event_type": "road_open", "created_at": at(965)}, {"event_type": "road_open", "created_at": at(9000)})).collect()
+    assert [(r.pairs, r.severity) for r in got] == [(2, "high")]
+
+
+def test_each_order_of_a_pair_has_its_own_severity(spark):
+    a, b = {"time_reference": "09:00"}, {"event_type": "road_open", "time_reference": "11:00"}
+    rows = contradictions.contradictions(claims(spark, a, b, a, {**b, "created_at": at(1)})).collect()  # b after one a (twice), before the other (twice)
+    assert sorted((r.severity, r.pairs, r.event_a_id, r.event_b_id) for r in rows) == [("high", 2, "e1", "e0"), ("low", 2, "e0", "e1")]
+    r = random.Random(6)
+    some = [{**(a if r.random() < 0.5 else b), "created_at": at(r.randrange(5)), "time_reference": r.choice(["08:00", "09:30", None])} for _ in range(60)]
+    some = [s | {"event_id": f"x{i:02d}"} for i, s in enumerate(some)]
+    want = {"low": 0, "high": 0}
+    made = [{"event_type": "road_blocked", **s} for s in some]
+    for x in made:
+        for y in made:
+            if (x["created_at"], x["event_id"]) < (y["created_at"], y["event_id"]) and x["event_type"] != y["event_type"]:
+                want["low" if x["time_reference"] and y["time_reference"] and y["time_reference"] > x["time_reference"] else "high"] += 1
+    got = contradictions.contradictions(claims(spark, *some)).where("conflict_type = 'status'").groupBy("severity").agg(F.sum("pairs").alias("n")).collect()
+    assert {x.severity: x.n for x in got} == want
+
+
+def test_typed_places_decide_unless_both_are_resolved(spark):
+    open_ = {"event_type": "road_open"}
+    pairs = lambda a, b: contradictions.contradictions(claims(spark, a, {**open_, **b})).count()
+    assert pairs({"resolved_location": "P"}, {}) == 1  # one side resolved: typed places are compared
+    assert pairs({"resolved_location": "P"}, {"resolved_location": "Q"}) == 0  # equal typed places, resolved to different ones
+    assert pairs({"resolved_location": "P", "location_text": "x"}, {"resolved_location": "p"}) == 1
+    assert pairs({"resolved_location": "P", "location_text": "x"}, {}) == 0
+
+
+def test_disputes_reach_every_claim_of_a_class(spark):
+    c = claims(spark, {}, {}, {"event_type": "road_open", "verification_state": "rejected"}, {"location_text": "Pont B"})
+    assert [r.verification_state for r in contradictions.disputed(c).orderBy("event_id").collect()] == ["disputed", "disputed", "rejected", "unverified"]
+    row = contradictions.contradictions(c).first()
+    assert row.evidence == "r0|r2" and row.explanation.startswith("[detected by rule: status_pair_same_location] 'Pont A' is road_blocked")
+
+
+def test_evidence_is_written_back(spark):
+    reports = spark.createDataFrame(
+        [("r0", "a", "one", "fr", False), ("r1", "b", "two", "ar", False), ("r2", "z", "three", "en", True), ("r3", "a", "four", "fr", False), ("r4", "c", "five", "fr", False)],
+        "report_id string, reporter_id string, raw_text string, source_language string, suspected_injection boolean",
+    )
+    c = claims(spark, {}, {}, {"verification_state": "corroborated"}, {"location_text": "Pont B", "verification_state": "disputed"}, {"location_text": "Pont B"}, {"location_text": None}, {"verification_state": "rejected"})
+    c = c.withColumn("independent_source_count", F.lit(7)).withColumn("evidence_confidence", F.lit(0.2).cast("double"))
+    got = {r.event_id: (r.independent_source_count, round(r.evidence_confidence, 3), r.verification_state) for r in evaluation.evaluated(c, reports).collect()}
+    two = round(min(0.97, 1.6 * math.log(3) / math.log(5) * 1.08), 3)
+    one = round(min(0.97, 1.6 * math.log(3) / math.log(5)), 3)
+    assert got == {
+        "e0": (2, two, "corroborated"), "e1": (2, two, "corroborated"), "e2": (0, 0.0, "unverified"), "e3": (2, min(one, 0.49), "disputed"), "e4": (2, min(one, 0.49), "disputed"),
+        "e5": (7, 0.2, "unverified"), "e6": (7, 0.2, "rejected"),
+    }
+
+
+def test_places_are_resolved_and_stale_ones_cleared(spark):
+    c = claims(spark, {"location_text": "Pont Alpha"}, {"location_text": "PONT-alpha"}, {"location_text": "جسر ألفا"}, {"location_text": "street", "resolved_location": "old"}, {"location_text": "New", "resolved_location": "old"}, {"event_type": "injury", "location_text": "x", "resolved_location": "kept"})
+    c = c.withColumn("location_confidence", F.lit(0.1).cast("double"))
+    alias = spark.createDataFrame([("pont alpha", "G"), ("جسر ألفا", "G"), (None, "H")], "name string, group_id string")
+    got = [(r.resolved_location, r.location_confidence) for r in evaluation.resolved(c, alias).orderBy("event_id").collect()]
+    assert got == [(None, None), ("Pont Alpha", 0.8), ("Pont Alpha", 0.8), (None, None), (None, None), ("kept", 0.1)]
+    assert {r.mention: r.reason for r in evaluation.canonical_names(c, alias).collect()} == {"Pont Alpha": "first_mention", "PONT-alpha": "exact_normalized_match", "جسر ألفا": "known_alias", "street": "generic_or_empty", "New": "first_mention"}
+    assert evaluation.resolved(c.limit(0), alias.limit(0)).count() == 0
+
 def test_confidence_equals_python(spark):
     df = spark.range(0, 80).select((F.col("id") % 10).alias("n"), (F.floor(F.col("id") / 10) % 4 + 1).alias("k"), F.when(F.col("id") < 40, 1.0).otherwise(0.7).alias("w"))
     for r in df.withColumn("c", evidence.confidence(F.col("n"), F.col("k"), F.col("w"))).collect():
@@ -182,6 +245,6 @@ def test_salted_join_and_bounds(spark):
     left = spark.range(1000).select(F.lit("k").alias("k"), F.col("id").cast("string").alias("row"))
     assert salted_join(left, spark.createDataFrame([("k", 1)], "k string, v int"), ["k"], "row").count() == 1000
     assert salted_join(left, spark.createDataFrame([("k",)], "k string"), ["k"], "row", "left_anti").count() == 0
-    assert "ResolvedHint" not in checked(left, 10)._jdf.queryExecution().analyzed().toString() and "ResolvedHint" in checked(left, 2000)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in checked(left, 1000)._jdf.queryExecution().analyzed().toString() and "ResolvedHint" in checked(left, 200_000)._jdf.queryExecution().analyzed().toString()
     with pytest.raises(ValueError):
         small_rows(left, "left", 10)
