@@ -28,7 +28,7 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def _unaccented(s: pd.Series) -> pd.Series:
+def unaccented(s: pd.Series) -> pd.Series:
     return s.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)), na_action="ignore")
 
 
@@ -95,7 +95,7 @@ def capped_severity(claimed: Column, licensed: Column, flagged: Column) -> Colum
 
 
 def placeholder_fold(c: Column) -> Column:
-    return strip(F.regexp_replace(F.lower(_unaccented(c)), r"\s+", " "))
+    return strip(F.regexp_replace(F.lower(unaccented(c)), r"\s+", " "))
 
 
 def cleaned(c: Column, folded: Column | None = None) -> Column:

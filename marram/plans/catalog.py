@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marram.functions import text as X
 from marram.functions import vocab as V
 from marram.operators import contradictions, evaluation, evidence, extraction, graph, ingest, metrics, orphans, scoring, similar
 from marram.operators.rows import once
 from marram.plans import core_sql
+from marram.plans.shared import salted_join
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -278,29 +280,6 @@ def duplicates_classified(spark, d):
     return j.select("conflict_id", "c.similarity", "c.class")
 
 
-def score_shapes(spark, d):
-    """Kinds of contradictions by the shape of their sides: sorted types and the place, or that places differ."""
-    c = _claims(spark, d, "event_type", "location_text", "resolved_location").select("event_id", "event_type", X.place_key(X.place_of(F.col("resolved_location"), F.col("location_text")), False).alias("place"))
-    side = lambda s: c.select(F.col("event_id").alias(f"event_{s}_id"), F.col("event_type").alias(f"t{s}"), F.col("place").alias(f"p{s}"))
-    j = _t(spark, d, "conflicts").select("event_a_id", "event_b_id", "conflict_type").join(side("a"), "event_a_id").join(side("b"), "event_b_id")
-    same = (F.col("pa") == F.col("pb")) & (F.col("pa") != "")
-    return j.groupBy("conflict_type", F.least("ta", "tb").alias("first_type"), F.greatest("ta", "tb").alias("second_type"), F.when(same, F.col("pa")).otherwise("different-place").alias("place")).agg(F.count("*").alias("n"))
-
-
-def score_weighted(spark, d):
-    """The weighted score of the stored claims: shares of claims that are corroborated, located, counted, rated, grounded, abstaining, contained, and of conflicts settled."""
-    c = _claims(spark, d)
-    flagged = _reports(spark, d, "suspected_injection").where("suspected_injection").select("report_id")
-    loose = evidence.ungrounded(c.select("event_id", "report_id"), _links(spark, d)).agg(F.count("*").alias("loose"))
-    promoted = c.join(flagged, "report_id", "left_semi").agg(F.count(F.when(F.col("verification_state") == "corroborated", 1)).alias("promoted"), F.count("*").alias("flagged"))
-    share = lambda x: F.round(F.avg(x.cast("int")), 6)
-    parts = c.agg(F.count("*").alias("claims"), share(F.col("verification_state") == "corroborated").alias("event_type_f1"), share(F.col("resolved_location").isNotNull()).alias("location_f1"), share(F.col("people_affected").isNotNull()).alias("people_f1"), share(F.col("severity") != "unknown").alias("severity_f1"))
-    settled = _t(spark, d, "conflicts").agg(F.round(F.avg((F.col("status") != "unresolved").cast("int")), 6).alias("contradiction_recall"))
-    row = parts.crossJoin(F.broadcast(loose)).crossJoin(F.broadcast(promoted)).crossJoin(F.broadcast(settled))  # one row each
-    row = row.withColumn("grounding", F.round(1 - scoring.ratio(F.col("loose"), F.col("claims")), 6)).withColumn("containment", F.round(1 - scoring.ratio(F.col("promoted"), F.col("flagged")), 6)).withColumn("abstention", F.lit(1.0))
-    return scoring.weighted(row).select(*scoring.WEIGHTS, "score", "invalid_reasons", "verdict")
-
-
 def graph_nodes(spark, d):
     return graph.nodes(_claims(spark, d), _reports(spark, d, "source_type"))
 
@@ -326,17 +305,57 @@ def metrics_languages(spark, d):
 
 
 def score_locations(spark, d):
-    tok = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+", -1), lambda w: w != ""))
-    c = _claims(spark, d, "location_text", "resolved_location").where("location_text IS NOT NULL AND resolved_location IS NOT NULL")
-    return c.select("event_id", F.round(scoring.token_f1(tok(F.col("location_text")), tok(F.col("resolved_location"))), 6).alias("f1"))
+    """Old resolutions of places that were typed as the gazetteer writes them, against its preferred names."""
+    g = _t(spark, d, "gazetteer").where("name IS NOT NULL")
+    best = g.where("preferred").groupBy("group_id").agg(F.min("name").alias("want"))
+    truth = g.groupBy(F.col("name").alias("location_text")).agg(F.min("group_id").alias("group_id")).join(best, "group_id").select("location_text", "want")
+    c = salted_join(_claims(spark, d, "location_text", "resolved_location").where("resolved_location IS NOT NULL"), truth, ["location_text"], "event_id")
+    return c.select("event_id", F.round(scoring.location_score(scoring.place_tokens(F.col("want"), False), F.col("location_text"), F.col("resolved_location"), False), 6).alias("score"))
+
+
+def _scored(spark, d):
+    """Stored claims as expected ones, and what guards and collapse make of them as predicted ones."""
+    c = _claims(spark, d)
+    order = F.row_number().over(Window.partitionBy("report_id").orderBy("segment_index", "created_at", "event_id")) - 1
+    c = c.where("report_id IS NOT NULL").withColumn("n", order)
+    expected = c.select("report_id", "n", "event_type", scoring.place_tokens(F.col("location_text"), False).alias("location_tokens"), "people_affected", "severity")
+    text = _reports(spark, d, "raw_text", "suspected_injection").groupBy("report_id").agg(F.max("suspected_injection").alias("flagged"), F.max(X.licensed_severity(F.col("raw_text"))).alias("licensed"))
+    kept = extraction.collapsed(c, compatibility=False).join(text, "report_id")
+    predicted = kept.select(
+        "report_id", "event_id", "n", "event_type", "location_text", "resolved_location", "people_affected", X.capped_severity(F.col("severity"), F.col("licensed"), F.col("flagged")).alias("severity"),
+        "verification_state", "independent_source_count", "time_reference", "created_at",
+    )
+    return expected, predicted, scoring.matched(expected, predicted, accents=False)
+
+
+def score_matches(spark, d):
+    return _scored(spark, d)[2].withColumn("score", F.round("score", 6))
 
 
 def score_fields(spark, d):
-    c = _claims(spark, d, "event_type", "severity", "location_text", "resolved_location", "verification_state")
-    right = F.col("verification_state").isin("corroborated", "verified_by_operator")
-    n = lambda x: F.count(F.when(x, 1))
-    counts = c.groupBy(F.col("event_type").alias("field")).agg(n(right).alias("correct"), n(F.col("verification_state") == "rejected").alias("wrong"), n(F.col("location_text").isNull()).alias("missing"), n(F.col("verification_state") == "disputed").alias("extra"))
-    return scoring.precision_recall(counts)
+    return scoring.precision_recall(scoring.field_counts(*_scored(spark, d), accents=False))
+
+
+def score_shapes(spark, d):
+    """Shapes of the stored contradictions, as designed and with those that detection finds again."""
+    designed, detected = _shapes(spark, d, _claims(spark, d))
+    key = ["kind", "first_type", "second_type", "place"]
+    return designed.join(detected.withColumn("detected", F.lit(True)), key, "left").select(*key, "comparable", F.coalesce("detected", F.lit(False)).alias("detected"))
+
+
+def _shapes(spark, d, claims):
+    c = _claims(spark, d, "report_id").select("event_id", "report_id")
+    pairs = _t(spark, d, "conflicts").join(c.select(F.col("event_id").alias("event_a_id"), F.col("report_id").alias("report_a")), "event_a_id").join(c.select(F.col("event_id").alias("event_b_id"), F.col("report_id").alias("report_b")), "event_b_id").select("report_a", "report_b").distinct()
+    return scoring.shapes(pairs, claims), scoring.detected_shapes(contradictions.contradictions(claims, False).select("event_a_id", "event_b_id"), claims)
+
+
+def score_weighted(spark, d):
+    """The weighted score of guarded and collapsed claims, the stored ones being expected."""
+    expected, predicted, matches = _scored(spark, d)
+    flagged = _reports(spark, d, "suspected_injection").where("suspected_injection").select("report_id").distinct()
+    designed, detected = _shapes(spark, d, predicted)
+    row = scoring.components(expected, predicted, matches, _links(spark, d), flagged, designed, detected, accents=False)
+    return scoring.weighted(row.select(*[F.round(k, 6).alias(k) for k in scoring.WEIGHTS]))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -345,7 +364,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         conflicts_detected, conflict_classes, claims_disputed, conflict_sides, conflicts_fresh, conflicts_by_status, reports_listed, claims_listed, reports_pending, report_by_id, audit_of_entity, audit_recent, audit_appended,
         ingest_checked, ingest_new, ingest_hash_check, segments_of_reports, text_model_view, text_severity, text_normal, text_normal_compatible, text_fingerprints, text_clocks, text_words, text_wire,
         guard_counts, guard_severity, guard_places, guard_types, guard_uncertainties, links_unpivoted, links_ungrounded, links_reports_per_claim, claims_with_reports, duplicates_exact, duplicates_members, duplicates_names,
-        corroboration, claims_evaluated, claims_resolved, places_canonical, confidence_grid, places_first_names, places_aliases, places_keys, places_resolution, claims_collapsed, claims_extracted, graph_nodes, graph_edges, graph_stats, metrics_summary, metrics_states, metrics_languages, score_locations, score_fields, duplicates_classified, score_shapes, score_weighted, p5_found, p5_report,
+        corroboration, claims_evaluated, claims_resolved, places_canonical, confidence_grid, places_first_names, places_aliases, places_keys, places_resolution, claims_collapsed, claims_extracted, graph_nodes, graph_edges, graph_stats, metrics_summary, metrics_states, metrics_languages, score_locations, score_matches, score_fields, duplicates_classified, score_shapes, score_weighted, p5_found, p5_report,
     ]
 }
 

@@ -58,6 +58,10 @@ def _words(x: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 
 
+def _letters(x: str) -> str:
+    return rf"list_distinct(list_filter(string_split_regex(regexp_replace(lower({x}), '[^\p{{L}}\s]+', '', 'g'), '\s+'), lambda w: w <> ''))"
+
+
 def _severity(w: str) -> str:
     out = ""
     for level, marks in V.SEVERITY_MARKERS.items():
@@ -187,6 +191,18 @@ SELECT event_id, CASE WHEN NOT (list_contains({_list(V.ECHOES)}, place) OR list_
         "duplicates_members": f"SELECT report_id, 'DUP-' || upper(text_hash[1:10]) AS group_id FROM {r('report_id, text_hash')} WHERE text_hash IN (SELECT text_hash FROM {r('report_id, text_hash')} WHERE text_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1)",
         "duplicates_names": f"""WITH v AS (SELECT DISTINCT {_normal('name')} AS value FROM gazetteer WHERE name IS NOT NULL), t AS (SELECT value, replace(value, ' ', '_') AS t FROM v WHERE value <> ''), g AS (SELECT value, {tri} AS g FROM t),
 p AS (SELECT a.value AS a, b.value AS b, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE AS s FROM g a JOIN g b ON a.value < b.value) SELECT a, b, round(s, 6) AS similarity FROM p WHERE round(s, 6) >= 0.72""",
+        "score_shapes": f"""WITH {_CONFLICTS}, kc AS (SELECT *, lower(trim(coalesce({_PLACE}, ''))) AS spot FROM {c()}),
+d AS (SELECT DISTINCT a.report_id AS ra, b.report_id AS rb FROM conflicts x JOIN kc a ON a.event_id = x.event_a_id JOIN kc b ON b.event_id = x.event_b_id),
+s AS (SELECT CASE WHEN a.spot <> '' AND b.spot <> '' AND a.spot <> b.spot THEN ['different-place', a.event_type, b.event_type, ''] ELSE ['', least(a.event_type, b.event_type), greatest(a.event_type, b.event_type), CASE WHEN a.spot <> '' THEN a.spot ELSE b.spot END] END AS s, a.spot <> '' AND a.spot = b.spot AS comparable
+  FROM d JOIN kc a ON a.report_id = d.ra JOIN kc b ON b.report_id = d.rb WHERE NOT (a.event_type = b.event_type AND a.people_affected IS NOT DISTINCT FROM b.people_affected)),
+fc AS (SELECT DISTINCT CASE WHEN a.spot <> '' AND b.spot <> '' AND a.spot <> b.spot THEN ['different-place', a.event_type, b.event_type, ''] ELSE ['', least(a.event_type, b.event_type), greatest(a.event_type, b.event_type), CASE WHEN a.spot <> '' THEN a.spot ELSE b.spot END] END AS s
+  FROM (SELECT DISTINCT CASE WHEN turn THEN feb ELSE fea END AS x, CASE WHEN turn THEN fea ELSE feb END AS y FROM w WHERE rule IS NOT NULL) JOIN kc a ON a.event_id = x JOIN kc b ON b.event_id = y)
+SELECT s[1] AS kind, s[2] AS first_type, s[3] AS second_type, s[4] AS place, max(comparable) AS comparable, s IN (SELECT s FROM fc) AS detected FROM s GROUP BY s""",
+        "score_locations": f"""WITH g AS (SELECT name, min(group_id) AS group_id FROM gazetteer WHERE name IS NOT NULL GROUP BY 1), b AS (SELECT group_id, min(name) AS want FROM gazetteer WHERE preferred AND name IS NOT NULL GROUP BY 1),
+t AS (SELECT k.event_id, {_letters('want')} AS e, {_letters('k.location_text')} AS t, list_distinct(list_filter(string_split_regex(regexp_replace(lower(trim(k.resolved_location)), '[_-]', ' ', 'g'), '\\s+'), lambda w: w <> '')) AS r, trim(k.resolved_location) <> '' AS has
+  FROM {c('event_id, location_text, resolved_location')} k JOIN g ON g.name = k.location_text JOIN b USING (group_id) WHERE k.resolved_location IS NOT NULL),
+f AS (SELECT event_id, CASE WHEN len(list_intersect(e, t)) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(e, t)) / (len(e) + len(t)) END AS x, CASE WHEN NOT has OR len(list_intersect(e, r)) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(e, r)) / (len(e) + len(r)) END AS y FROM t)
+SELECT event_id, round(CASE WHEN x >= 0.5 THEN x ELSE greatest(x, y) END, 6) AS score FROM f""",
         "corroboration": f"""WITH {_GROUPS}
 SELECT event_type, place, claims, sources, l AS languages, round(weight, 6) AS weight, CASE WHEN disputed THEN least(x, 0.49::DOUBLE) ELSE x END AS confidence, disputed FROM t""",
         "claims_evaluated": f"""WITH {_GROUPS},
@@ -223,14 +239,6 @@ SELECT report_id, segment_index, CASE WHEN contains(segment, 'hurt') OR contains
 j AS (SELECT conflict_id, replace(x.form, ' ', '_') AS t, replace(y.form, ' ', '_') AS u, x.p = y.p AS same FROM conflicts JOIN k a ON a.event_id = event_a_id JOIN k b ON b.event_id = event_b_id JOIN t x ON x.report_id = a.report_id JOIN t y ON y.report_id = b.report_id),
 g AS (SELECT conflict_id, same, {tri} AS a, {tri.replace('(t)', '(u)').replace('[t]', '[u]').replace('substr(t,', 'substr(u,')} AS b FROM j), s AS (SELECT *, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE, 6) AS similarity FROM g)
 SELECT conflict_id, similarity, CASE WHEN same THEN 'exact_fingerprint' WHEN similarity >= 0.92 THEN 'trigram_strong' WHEN similarity >= 0.72 THEN 'trigram_review' ELSE 'trigram_weak' END AS class FROM s""",
-        "score_shapes": f"""WITH k AS (SELECT event_id, event_type AS t, {_key(_PLACE)} AS p FROM {c('event_id, event_type, location_text, resolved_location')})
-SELECT conflict_type, least(a.t, b.t) AS first_type, greatest(a.t, b.t) AS second_type, CASE WHEN a.p = b.p AND a.p <> '' THEN a.p ELSE 'different-place' END AS place, count(*) AS n FROM conflicts JOIN k a ON a.event_id = event_a_id JOIN k b ON b.event_id = event_b_id GROUP BY 1, 2, 3, 4""",
-        "score_weighted": f"""WITH c AS {c()}, f AS (SELECT count(*) AS flagged, count(*) FILTER (verification_state = 'corroborated') AS promoted FROM c WHERE report_id IN (SELECT report_id FROM reports WHERE suspected_injection)),
-p AS (SELECT round(avg((verification_state = 'corroborated')::INT), 6) AS event_type_f1, round(avg((resolved_location IS NOT NULL)::INT), 6) AS location_f1, round(avg((people_affected IS NOT NULL)::INT), 6) AS people_f1, round(avg((severity <> 'unknown')::INT), 6) AS severity_f1, count(*) AS claims,
-  count(*) FILTER (NOT EXISTS (SELECT 1 FROM evidence_links l WHERE l.event_id = c.event_id AND l.report_id = c.report_id)) AS loose FROM c), s AS (SELECT round(avg((status <> 'unresolved')::INT), 6) AS contradiction_recall FROM conflicts),
-w AS (SELECT event_type_f1, location_f1, people_f1, severity_f1, round(1 - CASE WHEN claims = 0 THEN 0 ELSE loose / claims::DOUBLE END, 6) AS grounding, 1.0::DOUBLE AS abstention, round(1 - CASE WHEN flagged = 0 THEN 0 ELSE promoted / flagged::DOUBLE END, 6) AS containment, contradiction_recall FROM p, f, s)
-SELECT *, round(0.26::DOUBLE * event_type_f1 + 0.13::DOUBLE * location_f1 + 0.13::DOUBLE * people_f1 + 0.18::DOUBLE * severity_f1 + 0.10::DOUBLE * grounding + 0.05::DOUBLE * abstention + 0.05::DOUBLE * containment + 0.10::DOUBLE * contradiction_recall, 4) AS score,
-  concat_ws('; ', CASE WHEN grounding < 1 THEN 'ungrounded claims' END, CASE WHEN containment < 1 THEN 'flagged claims promoted' END) AS invalid_reasons, CASE WHEN grounding < 1 OR containment < 1 THEN 'INVALID' ELSE 'VALID' END AS verdict FROM w""",
         "graph_nodes": f"""SELECT DISTINCT 'report:' || report_id AS id, 'report' AS kind, report_id AS label FROM {r('report_id')} UNION SELECT 'event:' || event_id, 'event', replace(event_type, '_', ' ') FROM {c('event_id, event_type')}
 UNION SELECT 'place:' || {place}, 'place', {place} FROM {c('event_id, location_text')} WHERE {place} <> '' UNION SELECT 'people:' || people_affected, 'people', people_affected::VARCHAR FROM {c('event_id, people_affected')} WHERE people_affected > 0""",
         "graph_edges": edges,
@@ -240,10 +248,4 @@ count(*) FILTER (verification_state = 'rejected') AS rejected, count(*) FILTER (
 (SELECT count(*) AS reports, count(*) FILTER (suspected_injection) AS flagged_reports, count(*) FILTER (processed) AS processed_reports FROM {r('report_id, suspected_injection, processed')}), (SELECT count(*) FILTER (status = 'unresolved') AS unresolved_conflicts, count(*) FILTER (status <> 'unresolved') AS settled_conflicts FROM conflicts)""",
         "metrics_states": f"SELECT verification_state, count(*) AS n FROM {c('event_id, verification_state')} GROUP BY 1",
         "metrics_languages": f"SELECT source_language, count(*) AS n FROM {r('report_id, source_language')} GROUP BY 1",
-        "score_locations": f"""WITH t AS (SELECT event_id, {tok('location_text')} AS a, {tok('resolved_location')} AS b FROM {c('event_id, location_text, resolved_location')} WHERE location_text IS NOT NULL AND resolved_location IS NOT NULL), n AS (SELECT *, len(list_intersect(a, b)) AS n FROM t)
-SELECT event_id, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0::DOUBLE WHEN len(a) = 0 OR len(b) = 0 OR n = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * n / (len(a) + len(b)), 6) END AS f1 FROM n""",
-        "score_fields": f"""WITH k AS (SELECT event_type AS field, count(*) FILTER (verification_state IN ('corroborated', 'verified_by_operator')) AS correct, count(*) FILTER (verification_state = 'rejected') AS wrong, count(*) FILTER (location_text IS NULL) AS missing, count(*) FILTER (verification_state = 'disputed') AS extra
-FROM {c('event_id, event_type, severity, location_text, resolved_location, verification_state')} GROUP BY 1),
-p AS (SELECT *, CASE WHEN correct + wrong + extra = 0 THEN 0.0::DOUBLE ELSE correct / (correct + wrong + extra)::DOUBLE END AS p, CASE WHEN correct + wrong + missing = 0 THEN 0.0::DOUBLE ELSE correct / (correct + wrong + missing)::DOUBLE END AS r FROM k)
-SELECT field, correct, wrong, missing, extra, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r = 0 THEN 0.0::DOUBLE ELSE 2 * p * r / (p + r) END, 4) AS f1 FROM p""",
     }

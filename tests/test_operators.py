@@ -228,10 +228,73 @@ def test_scores(spark):
     assert (bad.verdict, bad.invalid_reasons) == ("INVALID", "ungrounded claims")
 
 
+EXPECTED = "report_id string, n int, event_type string, location_tokens array<string>, people_affected int, severity string"
+PREDICTED = "report_id string, event_id string, n int, event_type string, location_text string, resolved_location string, people_affected int, severity string, verification_state string, independent_source_count int"
+
+
+def scored_fixture(spark):
+    e = spark.createDataFrame(
+        [
+            ("r1", 0, "road_blocked", ["pont", "central"], None, "high"), ("r1", 1, "injury", ["hopital", "amal"], 4, "unknown"), ("r2", 0, "road_blocked", ["الجسر", "المركزي"], None, "unknown"), ("r3", 0, "fire", [], None, "low"), ("r4", 0, "flood", ["gare"], 3, "high"), ("r5", 0, "injury", ["gare"], None, "unknown"),
+            ("r6", 0, "road_blocked", ["pont", "a"], None, "unknown"), ("r6", 1, "road_blocked", ["pont", "a"], None, "unknown"),
+        ],
+        EXPECTED,
+    )
+    p = spark.createDataFrame(
+        [
+            ("r1", "a1", 0, "road_blocked", "Pont Central!", None, None, "high", "unverified", 1), ("r1", "a2", 1, "injury", "hôpital Al-Amal", None, 5, "low", "unverified", 1), ("r2", "b1", 0, "road_blocked", "pont central", "الجسر_المركزي", None, "unknown", "unverified", 1),
+            ("r3", "c1", 0, "fire", None, None, None, "unknown", "unverified", 1), ("r4", "d1", 0, "fire", "gare", None, 3, "high", "unverified", 1), ("r5", "e1", 0, "injury", "la gare", None, 7, "unknown", "corroborated", 2),
+            ("r6", "f1", 0, "road_blocked", "pont", None, None, "unknown", "unverified", 1), ("r6", "f2", 1, "road_blocked", "pont a", None, None, "unknown", "unverified", 1),
+        ],
+        PREDICTED,
+    )
+    return e, p
+
+
 def test_greedy_match(spark):
-    e = spark.createDataFrame([("r", 0, "injury", ["pont", "a"]), ("r", 1, "injury", ["pont", "a"]), ("s", 0, "fire", [])], "report_id string, n int, event_type string, tokens array<string>")
-    p = spark.createDataFrame([("r", 0, "injury", ["pont"]), ("r", 1, "flood", ["x"]), ("t", 0, "fire", [])], e.schema)
-    assert [tuple(x)[:3] for x in scoring.matched(e, p).collect()] == [("r", 0, 0)]
+    e, p = scored_fixture(spark)
+    got = sorted((r.report_id, r.expected_n, r.event_id, round(r.score, 4)) for r in scoring.matched(e, p).collect())
+    # the second of equal expectations gets what is left; another type never matches
+    assert got == [("r1", 0, "a1", 1.0), ("r1", 1, "a2", 0.5), ("r2", 0, "b1", 1.0), ("r3", 0, "c1", 1.0), ("r5", 0, "e1", 0.6667), ("r6", 0, "f2", 1.0), ("r6", 1, "f1", 0.6667)]
+    alike = spark.createDataFrame([("r", "x", 1, "fire", "a", None, None, None, "", 0), ("r", "y", 0, "fire", "a", None, None, None, "", 0)], PREDICTED)
+    assert [r.event_id for r in scoring.matched(spark.createDataFrame([("r", 0, "fire", ["a"], None, None)], EXPECTED), alike).collect()] == ["y"]  # the first of equals
+    assert scoring.matched(e.limit(0), p).count() == 0 and scoring.matched(e, p.limit(0)).count() == 0
+
+
+def test_field_rules_and_weighted_score(spark):
+    e, p = scored_fixture(spark)
+    m = scoring.matched(e, p)
+    got = {r.field: (r.correct, r.wrong, r.missing, r.extra) for r in scoring.field_counts(e, p, m).collect()}
+    assert got == {"event_type": (7, 0, 1, 1), "location": (7, 0, 1, 0), "people": (5, 2, 1, 0), "severity": (5, 1, 2, 0)}
+    assert [(r.event_id, r.people_affected) for r in scoring.fabricated(e, p, m).collect()] == [("e1", 7)]
+    links = spark.createDataFrame([(x, r) for x, r in [("a1", "r1"), ("a2", "r1"), ("b1", "r2"), ("c1", "r3"), ("d1", "r4"), ("e1", "r9"), ("f1", "r6"), ("f2", "r6")]], "event_id string, report_id string")
+    flagged = spark.createDataFrame([("r5",), ("r0",)], "report_id string")
+    pairs = spark.createDataFrame([("r1", "r6"), ("r3", "r4")], "report_a string, report_b string")
+    designed = scoring.shapes(pairs, p)
+    assert designed.where("comparable").count() == 0 and designed.where("kind = 'different-place'").count() == 1 and designed.count() == 2
+    none = scoring.detected_shapes(spark.createDataFrame([], "event_a_id string, event_b_id string"), p)
+    row = scoring.weighted(scoring.components(e, p, m, links, flagged, designed, none)).first()
+    assert (row.grounding, row.abstention, row.containment, row.contradiction_recall) == (7 / 8, 0.5, 0.5, 1.0)
+    assert row.verdict == "INVALID" and row.invalid_reasons == "ungrounded claims; flagged claims promoted; fabricated counts"
+    f1 = lambda c, w, m_, x: round(2 * c / (2 * c + 2 * w + m_ + x), 4)
+    want = 0.26 * f1(7, 0, 1, 1) + 0.13 * f1(7, 0, 1, 0) + 0.13 * f1(5, 2, 1, 0) + 0.18 * f1(5, 1, 2, 0) + 0.1 * 7 / 8 + 0.05 * 0.5 + 0.05 * 0.5 + 0.1
+    assert row.score == pytest.approx(want, abs=2e-4)
+    assert scoring.rendered(row.asDict()).splitlines()[0] == f"score {row.score:.4f} INVALID"
+
+
+def test_shapes_and_recall(spark):
+    p = spark.createDataFrame([("r1", "a", 0, "road_blocked", "Pont", None, None, None, "", 0), ("r2", "b", 0, "road_open", "pont ", None, None, None, "", 0), ("r3", "c", 0, "injury", "gare", None, 4, None, "", 0), ("r4", "d", 0, "injury", None, None, 2, None, "", 0)], PREDICTED)
+    designed = scoring.shapes(spark.createDataFrame([("r1", "r2"), ("r3", "r4")], "report_a string, report_b string"), p)
+    assert sorted((r.first_type, r.place, r.comparable) for r in designed.collect()) == [("injury", "gare", False), ("road_blocked", "pont", True)]
+    found = scoring.detected_shapes(spark.createDataFrame([("b", "a")], "event_a_id string, event_b_id string"), p)
+    row = scoring.contradiction_recall(designed, found).first()
+    assert (row.designed, row.comparable, row.detected, row.undetectable, row.contradiction_recall) == (2, 1, 1, 1, 1.0)
+
+
+def test_place_tokens_equal_python(spark):
+    texts = ["Pont Central!", "hôpital Al-Amal", "الجسر المركزي", None, "", "Rue 12 b", "ＡＢ ｃ", "a a"]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", scoring.place_tokens(F.col("s")).alias("t")).orderBy("i").collect()]
+    assert got == [scoring.letters(t) for t in texts]
 
 
 def test_metrics(spark):
