@@ -96,15 +96,34 @@ def resolution(mentions: DataFrame, known: DataFrame, aliases: DataFrame, enable
     return j.select("mention", canonical.alias("canonical"), same.alias("same"), F.when(F.col("reason") == "exact_normalized_match", 1.0).when(F.col("reason").isin("known_alias", "shared_content_word"), 0.7).otherwise(0.0).alias("confidence"), "reason")
 
 
-def collapsed(claims: DataFrame, compatibility: bool = True) -> DataFrame:
-    """Repeats within a report fall away: of claims of one type and place, one whose count and time add nothing to another.
-
-    A claim without place repeats any of its type. Reports are bounded groups;
-    the comparison is a self-join within them, ties kept by the earlier segment.
+def repeats(claims: DataFrame, compatibility: bool = True) -> DataFrame:
+    """gone, kept: claims that repeat another of their report, and the one that stays in their place.
+
+    Of claims of one type and place (or of which one is silent about its place),
+    the poorer goes if its count and time add nothing to the richer; ties are
+    kept by the earlier segment. Reports are bounded groups; the comparison is a
+    self-join within them. What stays is the richest claim that a repeat adds
+    nothing to.
     """
     c = claims.withColumn("place", X.place_key(F.col("location_text"), compatibility)).withColumn("rich", F.struct((F.col("place") != "").cast("int").alias("a"), F.col("people_affected").isNotNull().cast("int").alias("b"), F.col("time_reference").isNotNull().cast("int").alias("c"), (-F.col("segment_index")).alias("d"), F.col("event_id").alias("e")))
     side = lambda s: c.select("report_id", "event_type", *[F.col(x).alias(f"{s}_{x}") for x in ("event_id", "place", "people_affected", "time_reference", "rich")])
     same = (F.col("p_place") == F.col("r_place")) | ((F.col("p_place") == "") != (F.col("r_place") == ""))
     nothing = lambda x: F.col(f"p_{x}").isNull() | (F.col(f"p_{x}") == F.col(f"r_{x}"))
-    gone = side("p").join(side("r"), ["report_id", "event_type"]).where((F.col("p_rich") < F.col("r_rich")) & same & nothing("people_affected") & nothing("time_reference")).select(F.col("p_event_id").alias("event_id")).distinct()
-    return claims.join(gone, "event_id", "left_anti")
+    pairs = side("p").join(side("r"), ["report_id", "event_type"]).where((F.col("p_rich") < F.col("r_rich")) & same & nothing("people_affected") & nothing("time_reference"))
+    return pairs.groupBy(F.col("p_event_id").alias("gone")).agg(F.max("r_rich").alias("best")).select("gone", F.col("best.e").alias("kept"))
+
+
+def collapsed(claims: DataFrame, compatibility: bool = True) -> DataFrame:
+    """The claims without those that repeat another of their report."""
+    return claims.join(repeats(claims, compatibility).select(F.col("gone").alias("event_id")), "event_id", "left_anti")
+
+
+def moved_links(links: DataFrame, repeated: DataFrame) -> DataFrame:
+    """links, those of a repeat (gone, kept) leading to the claim that stays."""
+    j = links.join(repeated.withColumnRenamed("gone", "event_id"), "event_id", "left")
+    return j.withColumn("event_id", F.coalesce("kept", "event_id")).select(*links.columns)
+
+
+def collapse_audit(repeated: DataFrame) -> DataFrame:
+    """An audit row for each repeat that fell away."""
+    return repeated.select(F.lit("event").alias("entity_type"), F.col("gone").alias("entity_id"), F.lit("within_report_duplicate_collapsed").alias("action"), F.lit("pipeline").alias("actor"), F.concat(F.lit("kept "), "kept").alias("detail"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marram.operators.evidence import neighbours
 
-COLOURS = {"corroborated": "#22c55e", "disputed": "#ef4444", "verified_by_operator": "#3b82f6", "rejected": "#6b7280"}
+# The colour of each state of a claim, and of any other.
+COLOURS = {"verified_by_operator": "#22c55e", "corroborated": "#22c55e", "disputed": "#f97316", "unverified": "#eab308", "rejected": "#6b7280"}
+OTHER = "#eab308"
 
 
 def nodes(claims: DataFrame, reports: DataFrame) -> DataFrame:
@@ -32,3 +34,14 @@ def edges(claims: DataFrame, conflicts: DataFrame) -> DataFrame:
     out = out.unionByName(edge(claims.where("people_affected > 0"), event, F.concat(F.lit("people:"), F.col("people_affected").cast("string")), "affects"))
     out = out.unionByName(edge(both, F.concat(F.lit("event:"), "event_a_id"), F.concat(F.lit("event:"), "event_b_id"), "contradicts"))
     return out.unionByName(edge(neighbours(claims), F.concat(F.lit("event:"), "src"), F.concat(F.lit("event:"), "dst"), "corroborates")).distinct()
+
+
+def colour(state: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])[state], F.lit(OTHER))
+
+
+def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """what, n: nodes by kind, edges by relation, and both in all."""
+    count = lambda df, what: df.groupBy(what.alias("what")).agg(F.count("*").alias("n"))
+    by = count(nodes, F.concat(F.lit("node:"), "kind")).unionByName(count(edges, F.concat(F.lit("edge:"), "rel")))
+    return by.unionByName(count(nodes, F.lit("nodes"))).unionByName(count(edges, F.lit("edges")))

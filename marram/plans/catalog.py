@@ -11,9 +11,10 @@ from pyspark.sql.window import Window
 from marram.functions import text as X
 from marram.functions import vocab as V
 from marram.operators import contradictions, evaluation, evidence, extraction, graph, ingest, metrics, orphans, scoring, similar
-from marram.operators.rows import once
+from marram.operators.rows import accept_new, once
 from marram.plans import core_sql
 from marram.plans.shared import salted_join
+from marram.sources import tables
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -108,8 +109,9 @@ def ingest_checked(spark, d):
 
 
 def ingest_new(spark, d):
-    r = _reports(spark, d, "ingested_at", "processed")
-    return r.join(r.where("processed").select("report_id"), "report_id", "left_anti").select("report_id")
+    """The stored table as a delivery (copies included) to a store that holds its processed reports: the first of each new report_id is accepted."""
+    r = _t(spark, d, "reports").where("report_id IS NOT NULL").select("report_id", "ingested_at", "processed")
+    return accept_new(r, r.where("processed"), "report_id", "ingested_at").select("report_id")
 
 
 def ingest_hash_check(spark, d):
@@ -289,11 +291,11 @@ def graph_edges(spark, d):
 
 
 def graph_stats(spark, d):
-    return graph.edges(_claims(spark, d), _t(spark, d, "conflicts")).groupBy("rel").agg(F.count("*").alias("edges"))
+    return graph.stats(graph_nodes(spark, d), graph_edges(spark, d))
 
 
 def metrics_summary(spark, d):
-    return metrics.summary(_claims(spark, d), _reports(spark, d, "suspected_injection", "processed"), _t(spark, d, "conflicts"))
+    return metrics.summary(_claims(spark, d), _reports(spark, d, "suspected_injection", "processed"), _t(spark, d, "conflicts"), duplicates_exact(spark, d), "rules", "offline")
 
 
 def metrics_states(spark, d):
@@ -313,6 +315,71 @@ def score_locations(spark, d):
     return c.select("event_id", F.round(scoring.location_score(scoring.place_tokens(F.col("want"), False), F.col("location_text"), F.col("resolved_location"), False), 6).alias("score"))
 
 
+def duplicates_fresh(spark, d):
+    """Exact duplicate groups that no claim carries yet."""
+    stored = _claims(spark, d, "duplicate_group_id").select(F.col("duplicate_group_id").alias("group_id")).where("group_id IS NOT NULL").distinct()
+    return duplicates_exact(spark, d).join(stored, "group_id", "left_anti")
+
+
+def duplicates_claims(spark, d):
+    """The claims of every member of an exact duplicate group: rows, not arrays, as a group has no bound."""
+    return duplicates_members(spark, d).join(_claims(spark, d, "report_id"), "report_id").select("group_id", "report_id", "event_id")
+
+
+def claims_detail(spark, d):
+    """Each claim with its report's language and number of links and contradictions; conflicts become sides, so no join needs an OR."""
+    k = _t(spark, d, "conflicts")
+    sides = k.select("conflict_id", "conflict_type", F.explode(F.array("event_a_id", "event_b_id")).alias("event_id")).groupBy("event_id").agg(F.countDistinct("conflict_id").alias("conflicts"), F.array_join(F.array_sort(F.collect_set("conflict_type")), "|").alias("conflict_types"))
+    links = _links(spark, d).where("event_id IS NOT NULL").groupBy("event_id").agg(F.count("*").alias("links"))
+    c = _claims(spark, d, "report_id", "event_type").join(_reports(spark, d, "source_language"), "report_id", "left").join(links, "event_id", "left").join(sides, "event_id", "left")
+    return c.select("event_id", "report_id", "event_type", F.coalesce("source_language", F.lit("und")).alias("source_language"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"), F.coalesce("conflict_types", F.lit("")).alias("conflict_types"))
+
+
+def links_report_sets(spark, d):
+    """The set of reports of every claim, as rows."""
+    return _links(spark, d).where("event_id IS NOT NULL AND report_id IS NOT NULL").select("event_id", "report_id").distinct()
+
+
+def links_moved(spark, d):
+    """Links after repeats within a report fell away: those of a dropped claim lead to the one that stays."""
+    return extraction.moved_links(_links(spark, d), extraction.repeats(_claims(spark, d), compatibility=False)).select("link_id", "event_id", "report_id")
+
+
+def claims_keys(spark, d):
+    """The comparison key of each claim: its resolved, else its typed place."""
+    place = X.place_of(F.col("resolved_location"), F.col("location_text"))
+    return _claims(spark, d, "resolved_location", "location_text").select("event_id", X.place_key(place, False).alias("key"))
+
+
+def places_count(spark, d):
+    return evaluation.canonical_names(_claims(spark, d), _t(spark, d, "gazetteer"), False).agg(F.countDistinct("canonical").alias("places"))
+
+
+def metrics_latency(spark, d):
+    """Milliseconds of extraction a report."""
+    return _claims(spark, d, "report_id", "extraction_latency_ms").where("report_id IS NOT NULL").groupBy("report_id").agg(F.coalesce(F.sum("extraction_latency_ms"), F.lit(0)).alias("latency_ms"), F.count("*").alias("claims"))
+
+
+def metrics_pairs(spark, d):
+    """Pairs of claims that a comparison of all would take."""
+    return _claims(spark, d, "report_id").agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("pairs"))
+
+
+def graph_colours(spark, d):
+    return _claims(spark, d, "verification_state").select(F.concat(F.lit("event:"), "event_id").alias("id"), graph.colour(F.col("verification_state")).alias("colour"))
+
+
+def graph_written(spark, d):
+    """Nodes written as JSON and read again."""
+    return tables.through_json(graph.nodes(_claims(spark, d), _reports(spark, d, "source_type")))
+
+
+def guard_placeholders(spark, d):
+    """Placeholder cleaning with its own fold, over what the claims say and over the placeholders in other spellings."""
+    c = _claims(spark, d, "location_text").where("location_text IS NOT NULL")
+    return c.select("event_id", X.cleaned(F.col("location_text")).alias("place"), X.cleaned(F.concat(F.lit(" "), F.upper("location_text"))).isNull().alias("dropped"))
+
+
 def _scored(spark, d):
     """Stored claims as expected ones, and what guards and collapse make of them as predicted ones."""
     c = _claims(spark, d)
@@ -364,7 +431,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         conflicts_detected, conflict_classes, claims_disputed, conflict_sides, conflicts_fresh, conflicts_by_status, reports_listed, claims_listed, reports_pending, report_by_id, audit_of_entity, audit_recent, audit_appended,
         ingest_checked, ingest_new, ingest_hash_check, segments_of_reports, text_model_view, text_severity, text_normal, text_normal_compatible, text_fingerprints, text_clocks, text_words, text_wire,
         guard_counts, guard_severity, guard_places, guard_types, guard_uncertainties, links_unpivoted, links_ungrounded, links_reports_per_claim, claims_with_reports, duplicates_exact, duplicates_members, duplicates_names,
-        corroboration, claims_evaluated, claims_resolved, places_canonical, confidence_grid, places_first_names, places_aliases, places_keys, places_resolution, claims_collapsed, claims_extracted, graph_nodes, graph_edges, graph_stats, metrics_summary, metrics_states, metrics_languages, score_locations, score_matches, score_fields, duplicates_classified, score_shapes, score_weighted, p5_found, p5_report,
+        corroboration, claims_evaluated, claims_resolved, places_canonical, confidence_grid, places_first_names, places_aliases, places_keys, places_resolution, claims_collapsed, claims_extracted, graph_nodes, graph_edges, graph_stats, metrics_summary, metrics_states, metrics_languages, score_locations, score_matches, score_fields, duplicates_classified, score_shapes, score_weighted,
+        duplicates_fresh, duplicates_claims, claims_detail, links_report_sets, links_moved, claims_keys, places_count, metrics_latency, metrics_pairs, graph_colours, graph_written, guard_placeholders, p5_found, p5_report,
     ]
 }
 

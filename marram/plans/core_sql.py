@@ -19,6 +19,10 @@ def _reports(columns: str = _R) -> str:
 _LINKS = "(SELECT DISTINCT link_id, event_id, report_id, field_path, reason FROM evidence_links WHERE link_id IS NOT NULL)"
 
 
+#: Full-width forms of the printable characters and what they stand for.
+_WIDE, _PLAIN = ("".join(map(chr, range(a, a + 94))) for a in (0xFF01, 0x21))
+
+
 def _q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -129,6 +133,8 @@ UNION SELECT 'event:' || event_id, 'people:' || people_affected, 'affects' FROM
 UNION SELECT 'event:' || event_a_id, 'event:' || event_b_id, 'contradicts' FROM conflicts WHERE event_a_id IN (SELECT event_id FROM claims) AND event_b_id IN (SELECT event_id FROM claims)
 UNION SELECT 'event:' || event_id, 'event:' || nxt, 'corroborates' FROM (SELECT event_id, report_id, lead(event_id) OVER w AS nxt, lead(report_id) OVER w AS other FROM {c('event_id, report_id, event_type, location_text, created_at')}
   WHERE {place} <> '' WINDOW w AS (PARTITION BY event_type, {place} ORDER BY created_at, event_id)) WHERE nxt IS NOT NULL AND report_id <> other"""
+    nodes = f"""SELECT DISTINCT 'report:' || report_id AS id, 'report' AS kind, report_id AS label FROM {r('report_id')} UNION SELECT 'event:' || event_id, 'event', replace(event_type, '_', ' ') FROM {c('event_id, event_type')}
+UNION SELECT 'place:' || {place}, 'place', {place} FROM {c('event_id, location_text')} WHERE {place} <> '' UNION SELECT 'people:' || people_affected, 'people', people_affected::VARCHAR FROM {c('event_id, people_affected')} WHERE people_affected > 0"""
     tok = lambda x: rf"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
     tri = "CASE WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END"
     words = lambda n: f"list_distinct(list_filter(string_split({n}, ' '), lambda w: length(w) > 1 AND NOT list_contains({_list(V.PLACE_STOPWORDS)}, w)))"
@@ -166,7 +172,7 @@ SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM conflicts s WHERE least(s.event_
         "ingest_checked": f"""SELECT report_id, sha256(raw_text) AS text_hash, coalesce(nullif(lower(trim(source_language))[1:8], ''), 'und') AS language, array_to_string({signals}, '|') AS signals, len({signals}) > 0 AS suspected_injection, len({_segments('raw_text')})::INT AS segment_count,
 CASE WHEN raw_text IS NULL OR {_strip('raw_text')} = '' THEN 'blank text' WHEN length(raw_text) > 8000 THEN 'text too long' WHEN coalesce(source_type, 'human_report') NOT IN ('human_report', 'batch', 'demo', 'audio_transcript') THEN 'unknown source type'
 WHEN length(location_hint) > 400 THEN 'hint too long' WHEN length(reporter_id) > 64 THEN 'reporter too long' END AS reject_reason FROM {r('report_id, raw_text, source_language, source_type, location_hint, reporter_id')}""",
-        "ingest_new": f"SELECT report_id FROM {r('report_id, ingested_at, processed')} WHERE report_id NOT IN (SELECT report_id FROM reports WHERE processed AND report_id IS NOT NULL)",
+        "ingest_new": "SELECT DISTINCT report_id FROM reports WHERE report_id IS NOT NULL AND report_id NOT IN (SELECT report_id FROM reports WHERE processed AND report_id IS NOT NULL)",
         "ingest_hash_check": f"SELECT report_id, CASE WHEN text_hash IS NULL THEN 'missing' ELSE 'wrong' END AS problem, sha256(raw_text) AS text_hash FROM {r('report_id, raw_text, text_hash')} WHERE text_hash IS NULL OR text_hash <> sha256(raw_text)",
         "segments_of_reports": f"SELECT report_id, unnest(range(len(s)))::INT AS segment_index, unnest(s) AS segment FROM (SELECT report_id, {_segments('raw_text')} AS s FROM {r('report_id, raw_text')})",
         "text_model_view": f"SELECT report_id, CASE WHEN len({kept}) > 0 THEN array_to_string({kept}, ' ') ELSE {_strip('raw_text')} END AS view FROM {r('report_id, raw_text')}",
@@ -203,6 +209,23 @@ t AS (SELECT k.event_id, {_letters('want')} AS e, {_letters('k.location_text')}
   FROM {c('event_id, location_text, resolved_location')} k JOIN g ON g.name = k.location_text JOIN b USING (group_id) WHERE k.resolved_location IS NOT NULL),
 f AS (SELECT event_id, CASE WHEN len(list_intersect(e, t)) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(e, t)) / (len(e) + len(t)) END AS x, CASE WHEN NOT has OR len(list_intersect(e, r)) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(e, r)) / (len(e) + len(r)) END AS y FROM t)
 SELECT event_id, round(CASE WHEN x >= 0.5 THEN x ELSE greatest(x, y) END, 6) AS score FROM f""",
+        "duplicates_fresh": f"SELECT * FROM (SELECT 'DUP-' || upper(text_hash[1:10]) AS group_id, count(*) AS members, first(report_id ORDER BY ingested_at, report_id) AS first_report_id, last(report_id ORDER BY ingested_at, report_id) AS last_report_id, 'exact_fingerprint' AS method, 1.0::DOUBLE AS similarity FROM {r('report_id, ingested_at, text_hash')} WHERE text_hash IS NOT NULL GROUP BY text_hash HAVING count(*) > 1) WHERE group_id NOT IN (SELECT duplicate_group_id FROM claims WHERE duplicate_group_id IS NOT NULL)",
+        "duplicates_claims": f"SELECT 'DUP-' || upper(text_hash[1:10]) AS group_id, report_id, event_id FROM {r('report_id, text_hash')} JOIN {c('event_id, report_id')} USING (report_id) WHERE text_hash IN (SELECT text_hash FROM {r('report_id, text_hash')} WHERE text_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1)",
+        "claims_detail": f"""WITH s AS (SELECT event_id, count(DISTINCT conflict_id) AS n, array_to_string(list_sort(list_distinct(list(conflict_type))), '|') AS kinds FROM (SELECT conflict_id, conflict_type, unnest([event_a_id, event_b_id]) AS event_id FROM conflicts) GROUP BY 1)
+SELECT k.event_id, k.report_id, k.event_type, coalesce(r.source_language, 'und') AS source_language, coalesce(l.n, 0) AS links, coalesce(s.n, 0) AS conflicts, coalesce(s.kinds, '') AS conflict_types FROM {c('event_id, report_id, event_type')} k LEFT JOIN {r('report_id, source_language')} r ON r.report_id = k.report_id
+LEFT JOIN (SELECT event_id, count(*) AS n FROM {_LINKS} GROUP BY 1) l ON l.event_id = k.event_id LEFT JOIN s ON s.event_id = k.event_id""",
+        "links_report_sets": f"SELECT DISTINCT event_id, report_id FROM {_LINKS} WHERE event_id IS NOT NULL AND report_id IS NOT NULL",
+        "links_moved": f"""WITH c AS (SELECT *, {_key('location_text')} AS p FROM {c()}), d AS (SELECT *, {rich} AS rich FROM c),
+g AS (SELECT d.event_id AS gone, max(r.rich) AS best FROM d JOIN d r ON r.report_id = d.report_id AND r.event_type = d.event_type AND d.rich < r.rich AND (d.p = r.p OR (d.p = '') <> (r.p = '')) AND (d.people_affected IS NULL OR d.people_affected = r.people_affected) AND (d.time_reference IS NULL OR d.time_reference = r.time_reference) GROUP BY 1),
+m AS (SELECT gone, x.event_id AS kept FROM g JOIN (SELECT event_id, rich, report_id FROM d) x ON x.rich = g.best)
+SELECT link_id, coalesce(m.kept, l.event_id) AS event_id, report_id FROM {_LINKS} l LEFT JOIN m ON m.gone = l.event_id""",
+        "claims_keys": f"SELECT event_id, {_key(_PLACE)} AS key FROM {c('event_id, resolved_location, location_text')}",
+        "places_count": f"WITH {_CANONICAL} SELECT count(DISTINCT canonical) AS places FROM names",
+        "metrics_latency": f"SELECT report_id, coalesce(sum(extraction_latency_ms), 0)::BIGINT AS latency_ms, count(*) AS claims FROM {c('event_id, report_id, extraction_latency_ms')} WHERE report_id IS NOT NULL GROUP BY 1",
+        "metrics_pairs": f"SELECT (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM {c('event_id, report_id')}",
+        "graph_colours": f"SELECT 'event:' || event_id AS id, CASE verification_state WHEN 'verified_by_operator' THEN '#22c55e' WHEN 'corroborated' THEN '#22c55e' WHEN 'disputed' THEN '#f97316' WHEN 'rejected' THEN '#6b7280' ELSE '#eab308' END AS colour FROM {c('event_id, verification_state')}",
+        "guard_placeholders": rf"""WITH p AS (SELECT event_id, location_text, trim(regexp_replace(lower(strip_accents(translate(location_text, {_q(_WIDE)}, {_q(_PLAIN)}))), '\s+', ' ', 'g')) AS x, trim(regexp_replace(lower(strip_accents(translate(upper(location_text), {_q(_WIDE)}, {_q(_PLAIN)}))), '\s+', ' ', 'g')) AS y FROM {c('event_id, location_text')} WHERE location_text IS NOT NULL)
+SELECT event_id, CASE WHEN NOT list_contains({_list(V.PLACEHOLDERS)}, x) THEN {_strip('location_text')} END AS place, list_contains({_list(V.PLACEHOLDERS)}, y) AS dropped FROM p""",
         "corroboration": f"""WITH {_GROUPS}
 SELECT event_type, place, claims, sources, l AS languages, round(weight, 6) AS weight, CASE WHEN disputed THEN least(x, 0.49::DOUBLE) ELSE x END AS confidence, disputed FROM t""",
         "claims_evaluated": f"""WITH {_GROUPS},
@@ -239,13 +262,12 @@ SELECT report_id, segment_index, CASE WHEN contains(segment, 'hurt') OR contains
 j AS (SELECT conflict_id, replace(x.form, ' ', '_') AS t, replace(y.form, ' ', '_') AS u, x.p = y.p AS same FROM conflicts JOIN k a ON a.event_id = event_a_id JOIN k b ON b.event_id = event_b_id JOIN t x ON x.report_id = a.report_id JOIN t y ON y.report_id = b.report_id),
 g AS (SELECT conflict_id, same, {tri} AS a, {tri.replace('(t)', '(u)').replace('[t]', '[u]').replace('substr(t,', 'substr(u,')} AS b FROM j), s AS (SELECT *, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE, 6) AS similarity FROM g)
 SELECT conflict_id, similarity, CASE WHEN same THEN 'exact_fingerprint' WHEN similarity >= 0.92 THEN 'trigram_strong' WHEN similarity >= 0.72 THEN 'trigram_review' ELSE 'trigram_weak' END AS class FROM s""",
-        "graph_nodes": f"""SELECT DISTINCT 'report:' || report_id AS id, 'report' AS kind, report_id AS label FROM {r('report_id')} UNION SELECT 'event:' || event_id, 'event', replace(event_type, '_', ' ') FROM {c('event_id, event_type')}
-UNION SELECT 'place:' || {place}, 'place', {place} FROM {c('event_id, location_text')} WHERE {place} <> '' UNION SELECT 'people:' || people_affected, 'people', people_affected::VARCHAR FROM {c('event_id, people_affected')} WHERE people_affected > 0""",
+        "graph_nodes": nodes,
         "graph_edges": edges,
-        "graph_stats": f"SELECT rel, count(*) AS edges FROM ({edges}) GROUP BY 1",
+        "graph_stats": f"WITH x AS ({nodes}), e AS ({edges}) SELECT 'node:' || kind AS what, count(*) AS n FROM x GROUP BY 1 UNION ALL SELECT 'edge:' || rel, count(*) FROM e GROUP BY 1 UNION ALL SELECT 'nodes', count(*) FROM x UNION ALL SELECT 'edges', count(*) FROM e",
         "metrics_summary": f"""SELECT * FROM (SELECT count(*) AS claims, count(*) FILTER (verification_state = 'unverified') AS unverified, count(*) FILTER (verification_state = 'corroborated') AS corroborated, count(*) FILTER (verification_state = 'disputed') AS disputed, count(*) FILTER (verification_state = 'verified_by_operator') AS verified,
-count(*) FILTER (verification_state = 'rejected') AS rejected, count(*) FILTER (severity = 'critical') AS critical, coalesce(sum(people_affected), 0)::BIGINT AS people_reported, count(DISTINCT CASE WHEN verification_state <> 'rejected' AND trim(location_text) <> '' THEN {place} END) AS places, coalesce(max(independent_source_count), 0) AS most_sources FROM {c()}),
-(SELECT count(*) AS reports, count(*) FILTER (suspected_injection) AS flagged_reports, count(*) FILTER (processed) AS processed_reports FROM {r('report_id, suspected_injection, processed')}), (SELECT count(*) FILTER (status = 'unresolved') AS unresolved_conflicts, count(*) FILTER (status <> 'unresolved') AS settled_conflicts FROM conflicts)""",
+count(*) FILTER (verification_state = 'rejected') AS rejected, count(*) FILTER (severity = 'critical') AS critical, coalesce(sum(people_affected), 0)::BIGINT AS people_reported, coalesce(sum(people_affected), 0)::BIGINT AS people_lower_bound, count(DISTINCT CASE WHEN verification_state <> 'rejected' AND trim(location_text) <> '' THEN {place} END) AS places, coalesce(max(independent_source_count), 0) AS most_sources FROM {c()}),
+(SELECT count(*) AS reports, count(*) FILTER (suspected_injection) AS flagged_reports, count(*) FILTER (processed) AS processed_reports FROM {r('report_id, suspected_injection, processed')}), (SELECT count(*) FILTER (status = 'unresolved') AS unresolved_conflicts, count(*) FILTER (status <> 'unresolved') AS settled_conflicts FROM conflicts), (SELECT count(*) AS duplicate_groups FROM (SELECT text_hash FROM {r('report_id, ingested_at, text_hash')} WHERE text_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1)), (SELECT 'rules' AS model_label, 'offline' AS model_used)""",
         "metrics_states": f"SELECT verification_state, count(*) AS n FROM {c('event_id, verification_state')} GROUP BY 1",
         "metrics_languages": f"SELECT source_language, count(*) AS n FROM {r('report_id, source_language')} GROUP BY 1",
     }

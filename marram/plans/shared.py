@@ -20,6 +20,11 @@ def checkpointing(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marram-checkpoint-"))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    checkpointing(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a reliable checkpoint."""
     checkpointing(df.sparkSession)

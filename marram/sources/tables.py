@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marram.plans.shared import checkpoint_folder
+
 SCHEMAS = {
     "reports": "report_id string, ingested_at timestamp, reported_at timestamp, source_type string, source_language string, raw_text string, location_hint string, reporter_id string, metadata map<string,string>, text_hash string, processed boolean, processed_at timestamp, suspected_injection boolean, injection_signals array<string>, segment_count int",
     "claims": "event_id string, report_id string, segment_index int, event_type string, description string, location_text string, resolved_location string, location_confidence double, people_affected int, severity string, time_reference string, event_timestamp timestamp, uncertainties array<string>, model_confidence double, evidence_confidence double, verification_state string, independent_source_count int, duplicate_group_id string, model_used string, model_label string, prompt_version string, grammar_version string, extraction_latency_ms int, guards_applied array<string>, created_at timestamp",
@@ -60,6 +64,19 @@ def write_scores(row: DataFrame, folder: str) -> None:
     row.write.mode("overwrite").json(folder)
 
 
+def through_json(df: DataFrame) -> DataFrame:
+    """The rows after a round through JSON lines in the shared folder, read with their schema."""
+    folder = f"{checkpoint_folder(df.sparkSession)}/json-{uuid.uuid4().hex}"
+    df.write.json(folder)
+    return df.sparkSession.read.schema(df.schema).json(folder)
+
+
+def create(spark: SparkSession, folder: str, overwrite: bool = False) -> None:
+    """Every declared table, empty, in a folder; existing ones are only replaced on demand."""
+    for table, schema in SCHEMAS.items():
+        spark.createDataFrame([], schema).write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{folder}/{table}.parquet")
+
+
 def timeline(spark: SparkSession, t0: str, offsets: DataFrame) -> DataFrame:
     """offsets (…, minutes) with reported_at, minutes after t0."""
     return offsets.withColumn("reported_at", F.to_timestamp(F.lit(t0)) + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minutes")))

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marram.operators import contradictions, evaluation, evidence, graph, ingest, metrics, orphans, rows, scoring, similar
+from marram.operators import contradictions, evaluation, evidence, extraction, graph, ingest, metrics, models, orphans, rows, scoring, similar
 from marram.operators.components import components
 from marram.plans.shared import checked, salted_join, small_rows
 
@@ -297,6 +297,50 @@ def test_place_tokens_equal_python(spark):
     assert got == [scoring.letters(t) for t in texts]
 
 
+def test_models_ask_each_question_once_and_fail_closed(spark):
+    known = spark.createDataFrame([("Pont Central",), ("Hopital Amal",)], "canonical string")
+    mentions = spark.createDataFrame([(m,) for m in ["pont-central", "le pont central nord", "vieille medina", "here", "الجسر", "nouveau lieu", "pont central x", None]], "mention string")
+    alias = spark.createDataFrame([("الجسر", "G"), ("Pont Central", "G")], "name string, group_id string")
+
+    def make():
+        answers = {"le pont central nord": "pont central", "vieille medina": "pont central", "الجسر": "Pont  Central", "nouveau lieu": "Gare Neuve"}
+        return lambda qs: [f'place:"{answers[m]}"' if (m := q.rsplit("new place: ", 1)[1]) in answers else "no" for q in qs]
+
+    got = {r.mention: (r.canonical, r.same, r.confidence, r.reason) for r in models.proposed(mentions, known, alias, make).collect()}
+    assert got == {
+        "pont-central": ("Pont Central", True, 1.0, "exact_normalized_match"), "le pont central nord": ("Pont Central", True, 0.7, "name_with_lexical_support"), "vieille medina": ("vieille medina", False, 0.0, "merge_without_lexical_support"),
+        "here": ("here", None, 0.0, "generic_or_empty"), "الجسر": ("Pont Central", True, 0.7, "name_with_lexical_support"), "nouveau lieu": ("Gare Neuve", False, 0.0, "name_is_new"), "pont central x": ("pont central x", None, 0.0, "model_unavailable"),
+    }
+    assert {r.reason for r in models.proposed(mentions.where("mention = 'nouveau lieu'"), known.limit(0), alias, make).collect()} == {"first_mention"}
+
+    def down():
+        raise OSError("unreachable")
+
+    assert {r.reason for r in models.proposed(mentions.where("mention = 'nouveau lieu'"), known, alias, down).collect()} == {"model_unavailable"}
+    assert models.health(down) == {"available": False, "error": "OSError"} and models.health(lambda: lambda qs: ["ok"])["available"]
+    k = spark.createDataFrame([("type a", "type b", "status", "by rule"), ("x", "y", "numeric", "by rule")], "side_a string, side_b string, conflict_type string, explanation string")
+    said = models.explained(k, lambda: lambda qs: ["conflict:\"one says a, the other b\"" if "status" in q else None for q in qs])
+    assert sorted(r.explanation for r in said.collect()) == ["by rule", "one says a, the other b"]
+    assert {r.answer for r in models.asked(spark.range(1000).select(F.lit("q").alias("question")), lambda: lambda qs: [str(len(qs))] * len(qs)).collect()} == {"1"}
+
+
+def test_answer_forms(spark):
+    texts = ['events:[{type:injury,location:"Pont ""A""",people:4,severity:high,time:null,desc:null}]', "events:[]", "events:[{type:nonsense,location:null,people:null,severity:high,time:null,desc:null}]", "events:[{type:injury}]", None]
+    got = [r.h for r in spark.createDataFrame(list(enumerate(texts)), "i int, w string").select("i", models.held(F.col("w"), models.wire_form()).alias("h")).orderBy("i").collect()]
+    assert got == [True, True, False, False, False]
+    assert models.PLACE_FORM.fullmatch('place:"pont central"') and not models.PLACE_FORM.fullmatch('place:""')
+    assert models.CONFLICT_FORM.fullmatch('conflict:"one report says four, the other two"') and not models.CONFLICT_FORM.fullmatch('conflict:"blocked"')
+
+
+def test_repeats_move_their_links(spark):
+    c = claims(spark, {"report_id": "r", "event_id": "a", "people_affected": 3}, {"report_id": "r", "event_id": "b"}, {"report_id": "r", "event_id": "c", "location_text": None}, {"report_id": "r", "event_id": "d", "people_affected": 9}).withColumn("segment_index", F.lit(0))
+    gone = extraction.repeats(c)
+    assert sorted(map(tuple, gone.collect())) == [("b", "d"), ("c", "d")]
+    links = spark.createDataFrame([("l1", "b"), ("l2", "a"), ("l3", None)], "link_id string, event_id string")
+    assert sorted((r.link_id, r.event_id) for r in extraction.moved_links(links, gone).collect()) == [("l1", "d"), ("l2", "a"), ("l3", None)]
+    assert sorted(r.event_id for r in extraction.collapsed(c).collect()) == ["a", "d"]
+    assert sorted(r.entity_id for r in extraction.collapse_audit(gone).collect()) == ["b", "c"]
+
 def test_metrics(spark):
     c = claims(spark, {"people_affected": 3, "verification_state": "disputed", "severity": "critical"}, {"verification_state": "rejected", "location_text": "Z"}, {"location_text": " pont a "}).withColumn("independent_source_count", F.lit(2))
     r = spark.createDataFrame([(True, False)], "suspected_injection boolean, processed boolean")
