@@ -451,14 +451,17 @@ bad AS (
 SQL: dict[str, str] = {
     "p5_found": _ORPHANS + "SELECT DISTINCT source_table, ref_field, row_id FROM bad WHERE seen IS NULL OR created_at < seen",
     "p5_report": _ORPHANS
-    + """, gone AS (
-  SELECT CASE WHEN action = 'report_deleted' THEN 'reports' ELSE 'claims' END AS target, entity_id AS key, max(logged_at) AS removed_at
-  FROM audit_log WHERE action IN ('report_deleted', 'event_deleted') GROUP BY 1, 2),
+    + """, log AS (
+  SELECT DISTINCT CASE WHEN action LIKE 'report%' THEN 'reports' ELSE 'claims' END AS target, entity_id AS key, logged_at, action LIKE '%deleted' AS gone
+  FROM audit_log WHERE action IN ('report_deleted', 'event_deleted', 'report_restored', 'event_restored')),
+turns AS (SELECT *, lag(gone) OVER (PARTITION BY target, key ORDER BY logged_at, gone) AS before FROM log),
+spans AS (SELECT target, key, gone, logged_at AS removed_at, lead(logged_at) OVER (PARTITION BY target, key ORDER BY logged_at, gone) AS restored_at FROM turns WHERE gone <> coalesce(before, false)),
+gone AS (SELECT target, key, bool_or(restored_at IS NULL) AS stands, list(struct_pack(a := removed_at, b := restored_at)) AS spans FROM spans WHERE gone GROUP BY 1, 2),
 k AS (
-  SELECT bad.*, removed_at, CASE WHEN seen IS NOT NULL THEN 'late' WHEN removed_at IS NOT NULL THEN 'deleted' ELSE 'missing' END AS kind
+  SELECT bad.*, spans, CASE WHEN seen IS NOT NULL THEN 'late' WHEN stands THEN 'deleted' ELSE 'missing' END AS kind
   FROM bad LEFT JOIN gone ON bad.seen IS NULL AND gone.target = bad.target AND gone.key = bad.key WHERE seen IS NULL OR created_at < seen)
 SELECT source_table, ref_field, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m') AS period, kind, count(*) AS refs, count(DISTINCT key) AS keys,
-  count(CASE WHEN created_at >= removed_at THEN 1 END) AS after_removal FROM k GROUP BY 1, 2, 3, 4""",
+  count(CASE WHEN len(list_filter(spans, lambda x: created_at >= x.a AND (x.b IS NULL OR created_at < x.b))) > 0 THEN 1 END) AS after_removal FROM k GROUP BY 1, 2, 3, 4""",
 }
 
 

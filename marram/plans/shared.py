@@ -61,6 +61,23 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how:
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+#: Rows of one key that a task may get.
+ROWS_A_TASK = 1_000_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, per: int = ROWS_A_TASK) -> DataFrame:
+    """left join right on a key whose rows in left are counted (right's column n), each key over as many tasks as it needs.
+
+    The keys that need more than one task are broadcast: there are at most
+    rows / per of them, a few bytes each.
+    """
+    right = right.withColumn("_tasks", F.ceil(F.col("n") / F.lit(per)).cast("int"))
+    hot = right.where("_tasks > 1").select(on, F.col("_tasks").alias("_spread"))
+    left = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_spread", F.lit(1))).cast("int"))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)))
+    return left.join(right, [on, "_salt"]).drop("_salt", "_tasks", "_spread", "n")
+
+
 #: Bytes of rows that a broadcast may hold.
 MOST_BROADCAST = 32_000_000
 

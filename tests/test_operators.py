@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marram.operators import contradictions, evaluation, evidence, extraction, graph, ingest, metrics, models, orphans, rows, scoring, similar
 from marram.operators.components import components
-from marram.plans.shared import checked, salted_join, small_rows
+from marram.plans.shared import checked, salted_join, small_rows, spread_join
 
 T0 = dt.datetime(2031, 3, 1, 8)
 at = lambda m: T0 + dt.timedelta(minutes=m)
@@ -182,6 +182,24 @@ def test_orphans(spark):
     assert orphans.found(reports, cl.limit(0), links.limit(0)).count() == 0
 
 
+def test_removed_and_restored_parents(spark):
+    log = [("report_deleted", "k", at(1)), ("report_restored", "k", at(5)), ("report_deleted", "g", at(1)), ("report_deleted", "g", at(2)), ("report_restored", "h", at(1)), ("other", "k", at(9))]
+    audit = spark.createDataFrame([*log, log[0]], "action string, entity_id string, logged_at timestamp")
+    assert sorted((r.key, r.removed_at, r.restored_at) for r in orphans.removals(audit).collect()) == [("g", at(1), None), ("k", at(1), at(5))]
+    links = spark.createDataFrame([("L1", None, "k", at(0)), ("L2", None, "k", at(3)), ("L3", None, "k", at(7)), ("L4", None, "g", at(3)), ("L5", None, "h", at(3))], "link_id string, event_id string, report_id string, created_at timestamp")
+    reports = spark.createDataFrame([], "report_id string, ingested_at timestamp")
+    cl = spark.createDataFrame([], "event_id string, report_id string, created_at timestamp")
+    got = {r.kind: (r.refs, r["keys"], r.after_removal) for r in orphans.report(reports, cl, links, audit).collect()}
+    assert got == {"missing": (4, 2, 1), "deleted": (1, 1, 1)}
+
+
+def test_spread_join_splits_hot_keys(spark):
+    left = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("key"), F.col("id").cast("string").alias("row"))
+    right = left.groupBy("key").agg(F.count("*").alias("n")).where("key <> 'k950'")
+    out = spread_join(left, right, "key", "row", per=100)
+    assert out.count() == 999 and out.columns == ["key", "row"]
+
+
 def test_hot_orphan_key(spark):
     refs = spark.range(5000).select(F.concat(F.lit("L"), "id").alias("row_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("key"), F.lit(at(0)).alias("created_at"))
     parents = refs.where("key <> 'hot'").select("key", F.col("created_at").alias("first_at"))
