@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from marram.functions import text as X
 from marram.functions import vocab as V
+from marram.plans.shared import cut
 
 _KEY = ["branch", "place"]
 _SAID = ["known", "event_type", "people_affected", "clock"]
@@ -101,17 +102,19 @@ def contradictions(claims: DataFrame, compatibility: bool = True) -> DataFrame:
     for each order that occurs, a then being the class of the earlier claims;
     elsewhere a is the class with the earlier first claim.
     """
-    rows = placed(claims, compatibility)
-    pairs = _pairs(claim_classes(claims, compatibility))
+    # both tables are small beside the claims and are read several times
+    pairs = cut(_pairs(cut(claim_classes(claims, compatibility))))
     key = [*_KEY, *[f"{s}_{x}" for s in "ab" for x in _SAID]]
     split = pairs.where("split")
-    counted = split.alias("l").join(_ordered(split, rows).alias("r"), _all_equal(key)).select("l.*", "r.forward")
     names = ["branch", "place", "conflict_type", "split", *[f"{s}_{x}" for s in "ab" for x in ["event_type", "people_affected", "clock", "first"]]]
     turn = lambda n: {"a": "b", "b": "a"}[n[0]] + n[1:] if n[1] == "_" else n
     whole = F.col("a_n") * F.col("b_n")
     out = pairs.where("NOT split").select(*names, whole.alias("pairs"))
-    out = out.unionByName(counted.where("forward > 0").select(*names, F.col("forward").alias("pairs")))
-    out = out.unionByName(counted.where(F.col("forward") < whole).select(*[F.col(turn(n)).alias(n) for n in names], (whole - F.col("forward")).alias("pairs")))
+    if not split.isEmpty():
+        counted = split.alias("l").join(_ordered(split, placed(claims, compatibility)).alias("r"), _all_equal(key)).select("l.*", "r.forward")
+        orders = F.array(F.struct(F.lit(False).alias("turn"), F.col("forward").alias("pairs")), F.struct(F.lit(True).alias("turn"), (whole - F.col("forward")).alias("pairs")))
+        counted = counted.withColumn("o", F.explode(orders)).where("o.pairs > 0")
+        out = out.unionByName(counted.select(*[F.when(F.col("o.turn"), F.col(turn(n))).otherwise(F.col(n)).alias(n) for n in names], "o.pairs"))
     later = F.col("split") & (F.substring("b_clock", 1, 5) > F.substring("a_clock", 1, 5))
     delta = F.abs(F.col("a_people_affected") - F.col("b_people_affected"))
     rule = F.when((F.col("conflict_type") == "status") & later, "status_pair_with_temporal_order").when(F.col("conflict_type") == "status", "status_pair_same_location").when(F.col("conflict_type") == "numeric", "count_mismatch_same_event").otherwise("clock_time_mismatch")
@@ -147,7 +150,7 @@ def contested(claims: DataFrame, compatibility: bool = True) -> DataFrame:
     key = [*_KEY, *_SAID]
     pairs = _pairs(claim_classes(claims, compatibility))
     sides = [pairs.select(*_KEY, *[F.col(f"{s}_{x}").alias(x) for x in _SAID]) for s in "ab"]
-    bad = sides[0].unionByName(sides[1]).distinct()
+    bad = cut(sides[0].unionByName(sides[1]).distinct())
     return placed(claims, compatibility).alias("l").join(bad.alias("r"), _all_equal(key), "left_semi").select("event_id").distinct()
 
 

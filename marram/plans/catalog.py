@@ -38,7 +38,7 @@ def _claims(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return once(_t(spark, d, "reports"), "report_id", *(columns or _REPORT))
+    return once(_t(spark, d, "reports"), "report_id", *(columns or _REPORT), wide="raw_text")
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:

@@ -61,6 +61,16 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how:
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def few_splits(df: DataFrame) -> bool:
+    """Does a table come in fewer splits than there are cores? For tables as they are read: a plan with shuffles would run them to tell."""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that is read in few splits, over all cores; others as they are."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few_splits(df) else df
+
+
 #: Rows of one key that a task may get.
 ROWS_A_TASK = 1_000_000
 

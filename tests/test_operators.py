@@ -157,6 +157,16 @@ def test_ingest(spark):
     assert [got[f"r{i}"].reject_reason for i in (2, 3, 4)] == ["blank text", "text too long", "unknown source type"]
 
 
+def test_copies_count_once_without_shuffling_texts(spark):
+    r = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("b", "x", 1), ("b", "y", 1), ("c", None, 1), (None, "z", 1), ("d", "w" * 5000, 1)], "report_id string, raw_text string, n int")
+    want = [("a", "x"), ("b", "x"), ("b", "y"), ("c", None), ("d", "w" * 5000)]
+    for df, wide in ((r, None), (r.repartition(1), "raw_text"), (r.repartition(16), "raw_text")):
+        assert sorted(map(tuple, rows.once(df, "report_id", "raw_text", wide=wide).collect()), key=str) == sorted(want, key=str)
+    plan = rows.once(r.repartition(16), "report_id", "raw_text", wide="raw_text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan
+    assert rows.once(r.limit(0), "report_id", "raw_text", wide="raw_text").count() == 0
+
+
 def test_append_is_idempotent(spark):
     new = spark.createDataFrame([("r1", 2), ("r1", 1), ("r2", 1)], "report_id string, n int")
     assert sorted(map(tuple, rows.accept_new(new, new.where("report_id = 'r2'"), "report_id", "n").collect())) == [("r1", 1)]
