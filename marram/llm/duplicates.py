@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from marram.llm import forms, sentences
 from marram.operators.components import components
-from marram.plans.shared import Kept, checked, salted_join
+from marram.plans.shared import Kept, checked, salted_join, spread
 
 _STRIPPED = r"regexp_replace(lower(s4), '[^\p{L}\p{M}\p{N}]+', '', 'g')"
 
@@ -112,7 +112,7 @@ def _refined(reports: DataFrame, keep: Kept) -> tuple[DataFrame, DataFrame, Data
     each form once.
     """
     rec = reports.select(F.col("report_id").alias("row_id"), F.col("raw_text").alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL")
-    inv = keep(invariants(rec))
+    inv = keep(invariants(spread(rec)))
     several = checked(keep(_classes(inv, "row_id")))
     held = keep(rec.join(checked(keep(inv.join(several, ["len", "hist"], "left_semi").select("row_id").distinct())), "row_id", "left_semi"))
     keys = keep(held.mapInArrow(_ordered, "row_id string, len int, hist long, k1 string, f long").join(several, ["len", "hist"], "left_semi"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marram.llm import forms, sentences
+from marram.plans.shared import spread
 
 PER_LANGUAGE, WINDOW, EMBED, FILTERS, WIDTHS = 400, 64, 8, 16, (2, 4, 6)
 EPOCHS, RATE, SURE = 5, 0.01, 0.7
@@ -242,7 +243,7 @@ def segments(reports: DataFrame, net: Net) -> DataFrame:
                 )
 
     src = reports.select("report_id", F.col("source_language").alias("label"), F.xxhash64("raw_text").alias("h"), F.col("raw_text").alias("text")).where("report_id IS NOT NULL AND text IS NOT NULL")
-    return src.mapInArrow(run, "report_id string, source_language string, h long, part int, language string, confidence double")
+    return spread(src).mapInArrow(run, "report_id string, source_language string, h long, part int, language string, confidence double")
 
 
 def _segments(reports: DataFrame) -> DataFrame:

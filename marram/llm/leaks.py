@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.plans.shared import small_rows
+from marram.plans.shared import small_rows, spread
 
 #: Words that start a match, words by which suffixes are sorted, gap bridged, share of an item that counts as a leak.
 SEED, DEPTH, GAP, SHARE = 4, 24, 4, 0.5
@@ -206,7 +206,7 @@ def test_items(items: DataFrame, ordinary: DataFrame | None = None) -> Items:
         yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], pa.int64()) for i in range(2)], names=["key", "h"])
 
     # at most two rows for each phrase of the test set and partition, one in the end; the set's size was checked
-    common = ordinary.mapInArrow(used, "key long, h long").groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x < y").select("key")
+    common = spread(ordinary).mapInArrow(used, "key long, h long").groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x < y").select("key")
     return Items(rows, {r.key % 2**64 for r in common.collect()})
 
 
@@ -237,7 +237,7 @@ def overlaps(docs: DataFrame, tests: Items) -> DataFrame:
         if ids:
             yield shard()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").mapInArrow(run, "doc_id long, item_id long, words int, share double, longest int, word_at int")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")).mapInArrow(run, "doc_id long, item_id long, words int, share double, longest int, word_at int")
 
 
 def every(docs: DataFrame, items: DataFrame, reports: DataFrame | None = None) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marram.plans.shared import Kept
+from marram.plans.shared import Kept, spread
 
 #: Shares of a language's documents, by mean word length, whose frequent words make the lists.
 EASY, GENERAL = 0.25, 0.6
@@ -127,7 +127,7 @@ def _lists(counts: DataFrame) -> dict[str, dict[str, int]]:
 def familiar(docs: DataFrame) -> Lists:
     """The lists, after every document has voted."""
     keep = Kept()
-    src = docs.where("text IS NOT NULL").select(F.lower(F.substring("lang", 1, 2)).alias("lang"), "text")
+    src = spread(docs.where("text IS NOT NULL").select(F.lower(F.substring("lang", 1, 2)).alias("lang"), "text"))
     counts = keep(src.where("lang IS NOT NULL").mapInArrow(_count(), _COUNTS).groupBy("lang", "size", "word").agg(F.sum("n").alias("n")))
     by = _lists(counts)
     if not by:
@@ -211,7 +211,7 @@ def profile(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, level, score, share of unfamiliar words and words a sentence of every document."""
     lists = familiar(docs)
     low, high = cut_points(docs, labels, lists)
-    return scored(docs, lists).withColumn("level", F.when(F.col("score") < low, 1).when(F.col("score") < high, 2).otherwise(3))
+    return scored(spread(docs.select("doc_id", "text")), lists).withColumn("level", F.when(F.col("score") < low, 1).when(F.col("score") < high, 2).otherwise(3))
 
 
 def found(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from marram.llm import forms
 from marram.llm.duplicates import _STRIPPED, _hash, _pieces, _stars, _unit_key, letters
 from marram.operators.components import components
-from marram.plans.shared import Kept, checked, cut, salted_join
+from marram.plans.shared import Kept, checked, cut, salted_join, spread
 
 THRESHOLD = 0.72
 #: 64 bands of 8 lanes find 98.7 % of the pairs at the threshold by themselves, 99.7 % at 0.75, all but one in 10,000 at 0.8.
@@ -443,7 +443,7 @@ def near_groups(reports: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bits = min(62, max(32, math.ceil(math.log2(bands)) + 12))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     targets = tasks * math.ceil(bands / (tasks * TARGET))
-    base = keep(src.mapInArrow(_near_base, _BASE))
+    base = keep(spread(src).mapInArrow(_near_base, _BASE))
     signed = keep(base.where("form IS NOT NULL").select("id", "form").repartition(tasks, "id").sortWithinPartitions("id").mapInArrow(_sign(bits, targets), _SIGNED))
     blocks = signed.where("block IS NOT NULL").select("target", "block").repartitionById(tasks, F.pmod("target", F.lit(tasks)).cast("int"))
     met = keep(blocks.sortWithinPartitions("target").mapInArrow(_meet, "key long, a long, b long"))

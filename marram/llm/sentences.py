@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marram.plans.shared import spread
+
 END = ".!?؟。！？।॥…｡"
 CLOSE = "\"'»”’)\\]」』"
 
@@ -270,7 +272,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).cast("string").alias("row_id"), F.col(text).alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL")
+    return spread(df.select(F.col(key).cast("string").alias("row_id"), F.col(text).alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL"))
 
 
 def split(df: DataFrame, key: str, text: str) -> DataFrame:
