@@ -202,6 +202,29 @@ def test_mix(spark):
     assert one == two
 
 
+def test_more_patterns_than_the_flow_holds(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 3)
+    rows, n = [], 0
+    for i in range(300):
+        for s in {f"s{i % 5}", f"s{(i * 7 + i // 5) % 5}"}:
+            n += 1
+            rows.append((n, s, f"shared text number {i} with some words in it"))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([(f"s{k}", 0.2, 1 + k % 2) for k in range(5)], "source string, target_share double, max_repeats int")
+    chosen = mixing.select(docs, targets).collect()
+    held = {}
+    for d, s, t in rows:
+        held.setdefault(t, set()).add(s)
+    text = {d: t for d, _, t in rows}
+    uses = {}
+    for r in chosen:
+        assert r.source in held[text[r.doc_id]]
+        uses[text[r.doc_id]] = uses.get(text[r.doc_id], 0) + r.uses
+    assert all(n <= min(1 + int(s[1]) % 2 for s in held[t]) for t, n in uses.items())
+    shares = [x.actual_share for x in mixing.mix(docs, targets).collect()]
+    assert all(abs(x - 0.2) < 0.03 for x in shares)
+
+
 def test_levels(spark):
     r = random.Random(1)
     easy, news, hard = "dog ran mud cold bread cat sun big red home".split(), "council repaired damaged bridges announced shelters residents weekend district officials".split(), "heteroscedasticity epistemological jurisprudential commensurability instrumentation extrapolation promulgation circumspection asymmetry substrata".split()
