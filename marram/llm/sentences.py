@@ -2,10 +2,13 @@
 
 Cascading segmentation rule tables: every possible boundary of a text is held
 against ordered (break?, before, after) regular-expression pairs; the first
-pair that fits decides. The table of the script around the position comes
-first, the common table after it. Three things are settled before the cascade,
-because no pair of neighbouring characters shows them: quoted spans, the layout
-of forms, and whether line breaks wrap running sentences.
+pair that fits decides. A cascade is made of the tables of the languages that
+the text shows, then of the script around the boundary, then of all scripts.
+Line breaks and marks that close a quotation have cascades of their own. Two
+things are told beforehand, because no pair of neighbouring characters shows
+them: where quotations and the fields of forms lie. A line break that no pair
+decides either wraps running sentences or is one of the layout; that is told
+from all such line breaks of the text together.
 
 Defined results: null text gives no unit; text without letters, empty or blank
 included, gives one unit over its stripped extent (none if nothing is left);
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +32,21 @@ from marram.plans.shared import spread
 END = ".!?؟。！？।॥…｡"
 CLOSE = "\"'»”’)\\]」』"
 
-# Words that a full stop shortens, per script.
+# Words that a full stop shortens, per language.
 ABBREVIATIONS = {
-    "latin": "dr dra mr mrs ms mme mlle mgr sr sra srta st ste sgt cpt capt lt col gen prof av bd blvd rd ave e.g i.e p.ex p.ej c.-à-d cf env approx aprox vs ver vol fig tel tél art núm num ud uds ej ex c.à.d ing lic depto dpto dept jr resp".split(),
-    "arabic": "د م أ ص ت".split(),
-    "devanagari": "डॉ प्रो श्री कु सु पं".split(),
-    "thai": "น พ.ศ ค.ศ กม ม ดร ถ ซ ต อ จ รพ".split(),
+    "en": "dr mr mrs ms st sgt capt cpt lt col gen prof ave av blvd rd e.g i.e approx vs ver vol fig tel art num ex dept est jr resp cf".split(),
+    "fr": "dr mr ms mme mlle mgr st ste sgt cpt capt lt col gen prof av bd blvd ave p.ex c.-à-d c.à.d cf env approx vs ver vol fig tel tél art num ex ing dpt dept resp".split(),
+    "es": "dr dra sr sra srta st sgt cpt capt lt col gen prof av avda blvd p.ej ej aprox vs ver vol fig tel tél art núm num ud uds ex lic ing depto dpto".split(),
+    "ar": "د م أ ص ت".split(),
+    "dar": "د م أ ص ت".split(),
+    "hi": "डॉ प्रो श्री कु सु पं".split(),
+    "th": "น พ.ศ ค.ศ กม ม ดร ถ ซ ต อ จ รพ".split(),
+}
+# Words by which a text shows that it is, also, in a language of the Latin script.
+SHOWN_BY = {
+    "en": "the of and is are at to from with for we has have was not near please".split(),
+    "fr": "le les des du est et à au aux dans pour avec sur une nous pas qui sont près il elle ce cette par vers depuis selon".split(),
+    "es": "el los las del y en que una por con para está hay no se junto son".split(),
 }
 # Thai words that carry a sentence on, and polite particles that close one.
 THAI_ON = "เมตร คน หลัง ไม่ ไป ต้องการ กับ และ ได้ ด้วย บ้าง แล้ว จาก ที่ ถึง ซึ่ง เพราะ หรือ แต่ โดย ของ ใน บน ใกล้ ตรง กิโล กม ลิตร น. ทุก เวลา ตั้งแต่ ก่อน จน ให้ เพื่อ อยู่ เมื่อ ว่า พา ๆ".split()
@@ -45,35 +58,29 @@ def _any(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
 
 
-def _table(*rows: tuple[bool, str, str]) -> list[tuple[bool, re.Pattern | None, re.Pattern | None]]:
+Rows = list[tuple["bool | None", "re.Pattern | None", "re.Pattern | None"]]
+
+
+def _table(*rows: tuple[bool | None, str, str]) -> Rows:
     return [(br, re.compile(f"(?:{b})$", re.I) if b else None, re.compile(a) if a else None) for br, b, a in rows]
 
 
+_ALONE = r"(?<!\d )(?<!\d)(?<![\w.'’\u0300-\u036f\u200b-\u200d\u2060\ufeff\u00ad])"
+_LOWER = r"[a-zà-ÿ]"
+
 #: First fitting pair decides. before ends at the possible boundary, after begins behind its white space.
-TABLES = {
-    "latin": _table(
-        (False, rf"(?<![\w.])(?:{_any(ABBREVIATIONS['latin'])})\.", r""),
-        (False, r"(?<![\w.])n[o°]\.", r"\d"),
-        (False, r"(?<![\w.])p\.", r"(?i:ex|ej)\."),
-        (False, r"(?<!\d )(?<!\d)(?<![\w.'’\u0300-\u036f\u200b-\u200d\u2060\ufeff\u00ad])(?-i:[A-ZÀ-Ý])\.", r"[^\W\d_]"),
-        (False, r"(?<!\d )(?<!\d)(?<![\w.'’\u0300-\u036f\u200b-\u200d\u2060\ufeff\u00ad])(?-i:[a-zà-ÿ])\.", r"[a-zà-ÿ]"),
-        (False, r"(?<!\w)[ap]\.\s?m\.|(?<!\w)etc\.", r"[^A-ZÀ-Ý]"),
-        (False, r"…|\.\.\.", r"[a-zà-ÿ]"),
-        (True, rf"[{END}][{CLOSE}]*", r""),
-    ),
-    "arabic": _table(
-        (False, rf"(?<!\w)(?:{_any(ABBREVIATIONS['arabic'])})\.", r"\w"),
-        (True, rf"[{END}][{CLOSE}]*", r""),
-    ),
-    "devanagari": _table(
-        (False, rf"(?<!\w)(?:{_any(ABBREVIATIONS['devanagari'])})\.", r""),
-        (True, rf"[{END}][{CLOSE}]*", r""),
-    ),
-    "han": _table((True, rf"[{END}][{CLOSE}]*", r"")),
-    "thai": _table(
+LANGUAGES = {
+    "en": _table((False, rf"(?<![\w.])(?:{_any(ABBREVIATIONS['en'])})\.", r""), (False, r"(?<![\w.])no\.", r"\d")),
+    "fr": _table((False, rf"(?<![\w.])(?:{_any(ABBREVIATIONS['fr'])})\.", r""), (False, r"(?<![\w.])n[o°]\.", r"\d"), (False, r"(?<![\w.])p\.", r"(?i:ex)\.")),
+    "es": _table((False, rf"(?<![\w.])(?:{_any(ABBREVIATIONS['es'])})\.", r""), (False, r"(?<![\w.])n[o°]\.", r"\d"), (False, r"(?<![\w.])p\.", r"(?i:ej)\.")),
+    "ar": _table((False, rf"(?<!\w)(?:{_any(ABBREVIATIONS['ar'])})\.", r"\w")),
+    "dar": _table((False, rf"(?<!\w)(?:{_any(ABBREVIATIONS['dar'])})\.", r"\w")),
+    "hi": _table((False, rf"(?<!\w)(?:{_any(ABBREVIATIONS['hi'])})\.", r"")),
+    "zh": _table(),
+    "th": _table(
         (False, r"", rf"(?:{_any(THAI_PARTICLES)})(?![฀-๿])"),
         (True, r"[!?！？]+", r""),
-        (False, rf"(?<![฀-๿.])(?:{_any(ABBREVIATIONS['thai'])})\.", r""),
+        (False, rf"(?<![฀-๿.])(?:{_any(ABBREVIATIONS['th'])})\.", r""),
         (True, rf"(?:^|[\s\d฀-๿])(?:{_any(THAI_PARTICLES)})", r""),
         (False, r"", rf"(?:{_any(THAI_ON)}|(?:{_any(THAI_TAILS)})(?![฀-๿]))"),
         (False, r"[฀-๿,:(]", r"[\d(]"),
@@ -81,33 +88,73 @@ TABLES = {
         (True, r"[฀-๿\d)]", r"[^\W\d_]"),
     ),
 }
-COMMON = _table((False, r"[:：\-–—]\s*", r""))
+#: The languages of each script; a text shows which of the Latin ones are its own.
+OF_SCRIPT = {"latin": ["en", "fr", "es"], "arabic": ["ar", "dar"], "devanagari": ["hi"], "han": ["zh"], "thai": ["th"]}
+SCRIPTS = {
+    "latin": _table((False, rf"{_ALONE}(?-i:[A-ZÀ-Ý])\.", r"[^\W\d_]"), (False, rf"{_ALONE}(?-i:{_LOWER})\.", _LOWER), (False, r"(?<!\w)[ap]\.\s?m\.|(?<!\w)etc\.", r"[^A-ZÀ-Ý]"), (False, r"…|\.\.\.", _LOWER)),
+    "arabic": _table(),
+    "devanagari": _table(),
+    "han": _table(),
+    "thai": _table(),
+}
+#: Text in capitals, whose next letter shows no beginning.
+LOUD = _table((False, r"(?<!\w)(?-i:[AP]\.\s?M|ETC)\.", r""))
+COMMON = _table((True, rf"[{END}][{CLOSE}]*", r""))
+#: Line breaks; after begins at the line break. None: the line breaks of the text decide together.
+LINES = _table(
+    (False, rf"[{END}][{CLOSE}]+", r"\s*(?-i:[^\W\dA-ZÀ-Ý_])(?<=[a-zà-ÿ])"),
+    (True, rf"[{END}][{CLOSE}]+", r""),
+    (False, r"[:：\-–—]", r""),
+    (True, r"", r"[^\S\n]*\n\s*\n|\n[^\S\n]*\n|\s*\Z"),
+)
+#: Marks that close a quotation, which goes on unless a beginning is clear; after begins behind the quotation.
+QUOTED = _table((True, r"", r"\n\s*(?![a-zà-ÿ])"), (True, r"", r"\s+[A-ZÀ-Ý¿¡]"))
+QUOTED_LOUD = QUOTED[:1]
+#: Columns that wrapped text keeps to, and those that show it even where no sentence ends inside a line.
+COLUMNS, NARROW = 75, 50
+#: No pair looks farther back.
+LOOK = max(len(w) for words in [*ABBREVIATIONS.values(), THAI_PARTICLES] for w in words) + 12
+
+
+def shown(text: str) -> tuple[str, ...]:
+    """The Latin-script languages that a word of theirs shows; all of them where none does."""
+    words = set(_TOKEN.findall(text.lower()))
+    return tuple(k for k, v in SHOWN_BY.items() if not words.isdisjoint(v)) or tuple(SHOWN_BY)
+
+
+@lru_cache(256)
+def cascade(script: str, languages: tuple[str, ...], loud: bool) -> Rows:
+    """The pairs for a boundary, in order."""
+    own = [k for k in OF_SCRIPT[script] if script != "latin" or k in languages]
+    return [*(LOUD if loud else []), *(row for k in own for row in LANGUAGES[k]), *SCRIPTS[script], *([] if script == "thai" else COMMON)]
+
 
 _QUOTES = re.compile(r"«[^«»]*»|“[^“”]*”|\"[^\"]*\"|「[^「」]*」|『[^『』]*』|„[^„“]*“")
 _HAS_QUOTE = re.compile(r"[«“\"「『„]")
 #: A mark with what closes it and white space behind; a mark of scripts without spaces; a line break; a space in Thai.
 _MARK = rf"[{END}\n](?:(?<=\n)|(?:[{END}]|\s(?=[!?]))*[{CLOSE}]*(?=\s|$)|(?<=[。！？｡।!?؟])[。！？｡।!?؟]*[{CLOSE}]*(?=[\w“「『«])|(?<=[^\W\d_][^\W_]\.)(?=[^\W\d_])|(?<=[\d\s̀-ͯ]\.)(?=[^\W\d_])|(?<=\s[a-zà-ÿ]\.)(?=[A-ZÀ-Ý][a-zà-ÿ]))"
 _POSSIBLE = re.compile(_MARK)
-_MAY_END = re.compile(r"(?<!\w)(?:[AP]\.\s?M|ETC)\.$")
 _POSSIBLE_THAI = re.compile(rf"{_MARK}|(?<=[ะบ])[^\S\n]+(?=\d)|(?<=[฀-๿\d).])[^\S\n]+(?=[฀-๿A-Za-zÀ-ÿ؀-ۿऀ-ॿ一-鿿])")
 _THAI = re.compile(r"[฀-๿]")
 _LETTER = re.compile(r"[^\W\d_]")
+_TOKEN = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\s*(\S*)")
 _WORDS = re.compile(r"\w")
 _FIELD = re.compile(r"\s*[^\W\d_][^:：.!?؟。\n\d]{0,40}?\s?[:：]\s*\S")
 _SEPARATORS = [(c, re.compile(p)) for c, p in (("\n", r"\n"), ("/", r"\s+/\s+"), ("|", r"\s*\|\s*"), (";؛；", r"\s*[;؛；]\s*"), ("·•", r"\s+[·•]\s+"))]
-_SCRIPTS = [("thai", 0x0E00, 0x0E80), ("arabic", 0x0600, 0x0780), ("devanagari", 0x0900, 0x0980), ("han", 0x2E80, 0xA000)]
+_RANGES = [("thai", 0x0E00, 0x0E80), ("arabic", 0x0600, 0x0780), ("devanagari", 0x0900, 0x0980), ("han", 0x2E80, 0xA000)]
 
 
-def _script(text: str, at: int) -> str:
-    """Script of the last letter before the position."""
-    for i in range(at - 1, max(-1, at - 40), -1):
+def _script(text: str, at: int, since: int = 0, otherwise: str = "latin") -> str:
+    """Script of the last letter before the position, looked for back to `since`."""
+    for i in range(at - 1, since - 1, -1):
         if (c := text[i]).isalpha() or (0x0E00 <= ord(c) < 0x0E80 or 0x0900 <= ord(c) < 0x0980) and c != "।":
             o = ord(c)
-            for name, a, b in _SCRIPTS:
+            for name, a, b in _RANGES:
                 if a <= o < b:
                     return name
             return "latin" if o < 0x3000 else "han"
-    return "latin"
+    return otherwise
 
 
 def _form(text: str) -> list[tuple[int, int]] | None:
@@ -134,45 +181,52 @@ def _strip(text: str, a: int, b: int) -> tuple[int, int] | None:
     return (a, b) if a < b else None
 
 
-def _fits(rows, before: str, text: str, after: int) -> bool | None:
+def _fits(rows: Rows, text: str, stop: int, after: int) -> tuple[bool | None, bool]:
+    """What the first fitting pair says, and whether one fits."""
     for br, b, a in rows:
-        if (b is None or b.search(before)) and (a is None or a.match(text, after)):
-            return br
-    return None
+        if (b is None or b.search(text, max(0, stop - LOOK), stop)) and (a is None or a.match(text, after)):
+            return br, True
+    return None, False
 
 
 def _cased(c: str) -> bool:
     return c.isdigit() or c.lower() != c.upper()
 
 
+def _tight(text: str, lines: list[int]) -> list[bool]:
+    """Of each line break: would the next word have been too long for its line?"""
+    width = max(map(len, text.split("\n")))
+    return [i - text.rfind("\n", 0, i) + len(_WORD.match(text, i + 1)[1]) > width for i in lines]
+
+
 def _breaks(text: str, lines: list[int], inner: bool) -> list[int]:
-    """Those of the line breaks, none of them behind an end mark, that don't wrap a running sentence.
+    """Those of the line breaks, none of them decided by a pair, that don't wrap a running sentence.
 
-    Where sentences end inside lines, line breaks wrap them. Elsewhere a break
-    is one of the layout if the next word would still have fitted on its line.
+    Where sentences end inside lines, or lines begin in lower case, line breaks
+    wrap; where case shows nothing, they do if every line keeps to the columns that
+    text is customarily wrapped at. Among wrapped lines that hold no end, a break
+    is one of the layout if the next word would still have fitted.
     """
-    if not _wraps(text, lines, inner):
-        return lines
-    if inner:
-        return []
-    width, kept = max(map(len, text.split("\n"))), []
-    for i in lines:
-        word = re.match(r"\s*(\S*)", text[i + 1 : i + 60])[1]
-        if i - text.rfind("\n", 0, i) + len(word) <= width and not word[:1].islower():
-            kept.append(i)
-    return kept
-
-
-def _wraps(text: str, lines: list[int], inner: bool) -> bool:
-    """Do some of these line breaks wrap running sentences?"""
-    lower = upper = 0
-    for i in lines:
-        c = text[i + 1 :].lstrip()[:1] if i + 1 < len(text) and text[i + 1].isspace() else text[i + 1 : i + 2]
-        lower, upper = lower + c.islower(), upper + c.isupper()
+    tight = _tight(text, lines)
     if text.islower() or text.isupper():
-        longest = max(map(len, text.split("\n")))
-        return longest < 75 and (inner or longest < 50)
-    return lower > 0 or inner
+        wraps = max(map(len, text.split("\n"))) < (COLUMNS if inner else NARROW)
+    else:
+        wraps = inner or any(_WORD.match(text, i + 1)[1][:1].islower() for i in lines)
+    if not wraps:
+        return lines
+    return [] if inner else [i for i, t in zip(lines, tight, strict=True) if not t and not _WORD.match(text, i + 1)[1][:1].islower()]
+
+
+def _line(text: str, at: int, k: int, rows: Rows, script: str) -> bool | None:
+    """Is the line break at `at`, behind text that ends at k, a boundary? None if all such line breaks have to tell."""
+    said, fits = _fits(LINES, text, k, at)
+    if fits:
+        return said
+    if text[k - 1] in END:
+        return _fits(rows, text, k, at + 1)[0] is not False
+    j = _WORD.match(text, at + 1).start(1)
+    running = (_cased(text[k - 1]) or text[k - 1] in ",;)'’%°\"»”") and (_cased(text[j]) or text[j] in "«\"(“") and script == "latin"
+    return None if running else True
 
 
 def units(text: str) -> list[tuple[int, int]]:
@@ -182,57 +236,52 @@ def units(text: str) -> list[tuple[int, int]]:
     if (fields := _form(text)) is not None:
         return fields
     quotes = [m.span() for m in _QUOTES.finditer(text)] if _HAS_QUOTE.search(text) else []
-    loud = text.isupper()
+    loud, languages = text.isupper(), None
     cuts: list[int] = []
     lines: list[int] = []
     inner = False
+    script, since, q = "latin", 0, 0
     for m in (_POSSIBLE_THAI if _THAI.search(text) else _POSSIBLE).finditer(text):
         at, end = m.start(), m.end()
-        line = text[at] == "\n"
-        quote = next(((a, b) for a, b in quotes if a < at < b), None)
-        if quote and end < quote[1]:
+        while q < len(quotes) and quotes[q][1] <= at:
+            q += 1
+        quote = quotes[q] if q < len(quotes) and quotes[q][0] < at < quotes[q][1] else None
+        if quote and (end < quote[1] or text[at] == "\n"):
             continue
-        if line:
-            if any(a < at < b for a, b in quotes):
-                continue
+        script, since = _script(text, at, since, script), at
+        if text[at] == "\n":
             k = at
             while k and text[k - 1].isspace():
                 k -= 1
-            before = text[max(0, k - 24) : k]
-            if not before or before[-1] in END or before[-1] in CLOSE and len(before) > 1 and before[-2] in END:
-                on = text[at + 1 :].lstrip()[:1].islower()
-                if before and (not on if before[-1] in CLOSE else _fits(TABLES[_script(text, k)], before, text, at + 1) is not False):
-                    cuts.append(at)
+            if not k:
                 continue
-            if COMMON[0][1].search(before):
-                continue
-            j = at + 1
-            while j < len(text) and text[j].isspace():
-                j += 1
-            blank = "\n" in text[at + 1 : j]
-            if blank or j >= len(text) or not (_cased(before[-1]) or before[-1] in ",;)'’%°\"»”") or not (_cased(text[j]) or text[j] in "«\"(“") or _script(text, k) != "latin":
-                cuts.append(at)
-            else:
+            languages = languages or shown(text)
+            said = _line(text, at, k, cascade(script, languages, loud), script)
+            if said is None:
                 lines.append(at)
+            elif said:
+                cuts.append(at)
             continue
         mark = text[at] in END
-        if mark and quote:  # the mark closes a quotation: a boundary only before a clear beginning
-            if end < len(text) and (text[end] == "\n" and not text[end:].lstrip()[:1].islower() or re.match(r"\s+[A-ZÀ-Ý¿¡]", text[end : end + 4]) and not loud):
+        if mark and quote:
+            if _fits(QUOTED_LOUD if loud else QUOTED, text, end, end)[0]:
                 cuts.append(end)
             continue
-        script = "thai" if not mark and text[at].isspace() else _script(text, at)
-        if script == "thai" and mark and text[at] == "." and end < len(text) and text[end] != "\n":
+        own = "thai" if not mark and text[at].isspace() else script
+        if own == "thai" and mark and text[at] == "." and end < len(text) and text[end] != "\n":
             continue  # the space behind it is held against the table
         j = end
         while j < len(text) and text[j].isspace():
             j += 1
-        if not mark and script == "thai" and not _THAI.search(text, max(0, at - 12), at):
+        if not mark and own == "thai" and not _THAI.search(text, max(0, at - 12), at):
             continue
         stop = at if not mark else end
-        if loud and _MAY_END.search(text[max(0, stop - 6) : stop]):  # capitals show no beginning here
-            continue
-        plain = mark and text[at] not in ".…" and script != "thai"  # only the last pair of a table can fit
-        if plain or _fits(TABLES[script], text[max(0, stop - 14) : stop], text, j):
+        if mark and text[at] not in ".…" and own != "thai":
+            said = True  # only the last pair can fit
+        else:
+            languages = languages or shown(text)
+            said = _fits(cascade(own, languages, loud), text, stop, j)[0]
+        if said:
             cuts.append(stop)
             if j < len(text) and "\n" not in text[end:j]:
                 inner = True

@@ -96,3 +96,19 @@ def test_every_text_of_a_repeated_id_counts(spark):
     df = spark.createDataFrame(rows, "report_id string, raw_text string")
     assert sorted(map(tuple, sentences.found(df).collect())) == [("r1", 1, 9), ("r1", 1, 25), ("r1", 11, 20), ("r1", 27, 30)]
     assert sorted(map(tuple, sentences.counts(df).collect())) == [("r1", 2)]
+
+
+def test_each_language_has_its_own_table():
+    assert parts("The men saw the ud. We left the place.") == ["The men saw the ud.", "We left the place."]  # an abbreviation of another language
+    assert parts("Quedan 3 ud. de agua en la calle.") == ["Quedan 3 ud. de agua en la calle."]
+    assert parts("Il y a du monde bd. Kel. The gate is shut by Mr. Lo.") == ["Il y a du monde bd. Kel.", "The gate is shut by Mr. Lo."]
+    assert sentences.shown("the gate is shut, la porte est là") == ("en", "fr") and sentences.shown("xyz") == ("en", "fr", "es")
+    assert sentences.cascade("arabic", ("en",), False)[-1] == sentences.COMMON[-1]
+
+
+def test_script_is_looked_for_however_far_back():
+    gap = " 12" * 60
+    assert parts(f"水位上涨{gap}。好。") == [f"水位上涨{gap}。", "好。"]
+    assert parts("جاء د" + " " * 50 + ". ثم") == parts("جاء د" + " " * 50 + ". ثم")
+    long = "word " * 40_000
+    assert parts(f"{long}end. Next one.")[-1] == "Next one." and len(parts(f"{long}end. Next one.")) == 2
