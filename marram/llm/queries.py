@@ -141,5 +141,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+def _p6_sql(outs: str, where: str) -> str:
+    """The embedded SQL of the consistent form over whole tables instead of Arrow batches."""
+    from marram.llm import forms
+
+    both = "(SELECT 'reports' AS source_table, report_id AS row_id, raw_text AS text FROM reports UNION SELECT 'claims', event_id, location_text FROM claims)"
+    return f"SELECT DISTINCT {outs} FROM ({forms.form_sql('text', both, 'source_table, row_id', 'source_table, row_id, s0, s4')}) WHERE row_id IS NOT NULL AND s4 IS NOT NULL{where}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Statements for what SQL can say; the other operators are tested against brute force and held-out accuracy."""
+    return {"p6_found": _p6_sql("source_table, row_id", " AND s4 <> s0"), "p6_forms": _p6_sql("source_table, row_id, s4 AS form", "")}
