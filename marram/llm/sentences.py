@@ -112,6 +112,8 @@ QUOTED = _table((True, r"", r"\n\s*(?![a-zà-ÿ])"), (True, r"", r"\s+[A-ZÀ-Ý
 QUOTED_LOUD = QUOTED[:1]
 #: Columns that wrapped text keeps to, and those that show it even where no sentence ends inside a line.
 COLUMNS, NARROW = 75, 50
+#: Letters of a word that no language shortens by a stop.
+PLAIN = 1 + max(len(part) for k in SHOWN_BY for w in [*ABBREVIATIONS[k], "etc"] for part in re.split(r"\W", w))
 #: No pair looks farther back.
 LOOK = max(len(w) for words in [*ABBREVIATIONS.values(), THAI_PARTICLES] for w in words) + 12
 
@@ -276,8 +278,8 @@ def units(text: str) -> list[tuple[int, int]]:
         if not mark and own == "thai" and not _THAI.search(text, max(0, at - 12), at):
             continue
         stop = at if not mark else end
-        if mark and text[at] not in ".…" and own != "thai":
-            said = True  # only the last pair can fit
+        if own != "thai" and mark and (text[at] not in ".…" or own == "latin" and at >= PLAIN and text[at - PLAIN : at].isalpha()):
+            said = True  # only the last pair can fit: another mark, or a word longer than any that a stop shortens
         else:
             languages = languages or shown(text)
             said = _fits(cascade(own, languages, loud), text, stop, j)[0]
