@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from marram.functions import vocab as V
 
+# What separates words, a clock time, the end of a sentence, an event of the wire text.
 NON_WORD = r"[^\p{L}\p{N}_؀-ۿ]+"
 CLOCK = r"(?<![\p{L}\p{N}_])(?:[01]?\d|2[0-3]):[0-5]\d(?![\p{L}\p{N}_])"
 SENTENCE = r"(?<=[.!?؟。；])\s+|\n+"

@@ -23,7 +23,7 @@ def group_members(reports: DataFrame) -> DataFrame:
 
 
 def confidence(groups: Column, languages: Column, weight: Column) -> Column:
-    """Evidence confidence from independent sources, distinct languages and mean weight."""
+    """Evidence confidence from independent sources, distinct languages and mean weight; its constants are fixed values."""
     base = F.least(F.lit(1.0), F.lit(1.6) * F.log(F.lit(1.0) + groups) / F.log(F.lit(5.0)))
     return F.when(groups <= 0, 0.0).otherwise(F.round(F.least(F.lit(0.97), base * (F.lit(1.0) + F.lit(0.08) * (languages - 1)) * weight), 3))
 
@@ -33,6 +33,7 @@ def source_key(reporter: Column, text_hash: Column) -> Column:
 
 
 def report_weight(reporter: Column, flagged: Column) -> Column:
+    """Weight of a report: less without a reporter, least where flagged; fixed values."""
     return F.when(reporter.isNull() | (reporter == ""), 0.7).otherwise(1.0) * F.when(flagged, 0.3).otherwise(1.0)
 
 

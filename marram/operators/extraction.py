@@ -44,6 +44,7 @@ def guarded(rows: DataFrame) -> DataFrame:
     n = F.col("people_affected").try_cast("bigint")
     tag = lambda cond, what: F.when(cond, what)
     said = F.col("people_affected").isNotNull() & (F.col("people_affected") != "null")
+    # fixed values: the names of the guards that acted
     acted = F.array_compact(
         F.array(
             tag(kind.isNotNull() & ~kind.isin(V.EVENT_TYPES), F.concat(F.lit("event_type_out_of_taxonomy("), kind, F.lit(")->other"))), tag(X.is_echo(place), F.lit("location_delimiter_echo->null")),
