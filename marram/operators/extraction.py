@@ -12,30 +12,28 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marram.functions import text as X
 from marram.functions import vocab as V
-from marram.operators.ingest import segmented
+from marram.operators.evidence import unpivoted
+from marram.operators.ingest import audit_rows, segmented
 
 Extractor = Callable[[list[str]], list[str]]
 
 
 def wires(segments: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
-    """segments (report_id, segment_index, segment) with the extractor's wire text; equal segments of a batch are asked once."""
+    """segments (report_id, segment_index, segment) with the extractor's wire text; each different segment is asked once over the whole table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extract = make()
         for b in batches:
-            texts = b.column("segment").to_pylist()
-            asked = list(dict.fromkeys(texts))
-            said = dict(zip(asked, extract(asked), strict=True))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([said[t] for t in texts], pa.string())], names=[*b.schema.names, "wire"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(extract(b.column(0).to_pylist()), pa.string())], names=["segment", "wire"])
 
-    return segments.select("report_id", "segment_index", "segment").mapInArrow(run, "report_id string, segment_index int, segment string, wire string")
+    said = segments.select("segment").distinct().mapInArrow(run, "segment string, wire string")
+    return segments.select("report_id", "segment_index", "segment").join(said, "segment")
 
 
-def guarded(rows: DataFrame) -> DataFrame:
+def guarded(rows: DataFrame, *more: str) -> DataFrame:
     """Raw claims (event fields, segment, suspected_injection) after all guards, with the guards that acted in guards_applied."""
     kind, place, time, desc = (X.cleaned(F.col(c)) for c in ("event_type", "location_text", "time_reference", "description"))
     people = X.grounded_count(F.col("people_affected"), F.col("segment"))
@@ -55,7 +53,7 @@ def guarded(rows: DataFrame) -> DataFrame:
     )
     return rows.select(
         "report_id", "segment_index", F.when(kind.isin(V.EVENT_TYPES), kind).otherwise("other").alias("event_type"), F.when(~X.is_echo(place), place).alias("location_text"), people.alias("people_affected"),
-        X.capped_severity(claimed, licensed, F.col("suspected_injection")).alias("severity"), F.when(~time.contains("UNTRUSTED_REPORT"), time).alias("time_reference"), F.when(~desc.contains("UNTRUSTED_REPORT"), desc).alias("description"), acted.alias("guards_applied"),
+        X.capped_severity(claimed, licensed, F.col("suspected_injection")).alias("severity"), F.when(~time.contains("UNTRUSTED_REPORT"), time).alias("time_reference"), F.when(~desc.contains("UNTRUSTED_REPORT"), desc).alias("description"), acted.alias("guards_applied"), *more,
     )
 
 
@@ -64,12 +62,22 @@ def extracted(reports: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
     view = reports.select("report_id", "suspected_injection", X.model_view(F.col("raw_text")).alias("raw_text"))
     said = wires(segmented(view), make).join(view.select("report_id", "suspected_injection"), "report_id")
     raw = said.select("report_id", "segment_index", "segment", "suspected_injection", F.posexplode(X.wire_events(F.col("wire"))).alias("k", "e")).select("*", "e.*")
-    out = guarded(raw).withColumn("k", F.row_number().over(_in_segment()) - 1)
-    return out.withColumn("event_id", F.concat(F.lit("EVT-"), F.upper(F.substring(F.sha2(F.concat_ws("|", "report_id", "segment_index", "k"), 256), 1, 10)))).drop("k")
+    ident = F.concat(F.lit("EVT-"), F.upper(F.substring(F.sha2(F.concat_ws("|", "report_id", "segment_index", "k"), 256), 1, 10)))
+    return guarded(raw, "k").withColumn("event_id", ident).drop("k")
 
 
-def _in_segment():
-    return Window.partitionBy("report_id", "segment_index").orderBy("event_type", "location_text", "people_affected", "time_reference")
+def processed(reports: DataFrame, make: Callable[[], Extractor]) -> dict[str, DataFrame]:
+    """A batch of reports (report_id, raw_text, suspected_injection, ingested_at) end to end: claims, links, report states and audit rows, each to be appended or stored as it is.
+
+    Every claim is grounded by a link for each field it states. A report counts
+    its segments even where nothing is claimed.
+    """
+    claims = extracted(reports, make)
+    links = unpivoted(claims).withColumn("link_id", F.concat(F.lit("LNK-"), F.upper(F.substring(F.sha2(F.concat_ws("|", "event_id", "field_path"), 256), 1, 10)))).select("link_id", "event_id", "report_id", "field_path")
+    counted = claims.groupBy("report_id").agg(F.count("*").alias("claims"))
+    states = reports.select("report_id", F.size(X.segments(X.model_view(F.col("raw_text")))).alias("segment_count"), F.lit(True).alias("processed"))
+    states = states.join(counted, "report_id", "left").select("report_id", "segment_count", "processed", F.coalesce("claims", F.lit(0)).alias("claims"))
+    return {"claims": claims, "links": links, "reports": states, "audit_log": audit_rows(reports, "extracted")}
 
 
 def resolution(mentions: DataFrame, known: DataFrame, aliases: DataFrame, enabled: bool = True, compatibility: bool = True) -> DataFrame:

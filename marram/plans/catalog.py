@@ -259,16 +259,25 @@ def claims_collapsed(spark, d):
     return extraction.collapsed(_claims(spark, d), compatibility=False).select("event_id")
 
 
-def claims_extracted(spark, d):
-    def make():
-        import re
+def _rules():
+    """A stand-in for a model: a few words and the first number of a segment."""
+    import re
+
+    def rules(texts: list[str]) -> list[str]:
+        return ["events:[{type:" + ("injury" if "hurt" in t or "bless" in t else "other") + ",location:null,people:" + next((w for w in re.split(r"\s+", t, flags=re.ASCII) if w.isascii() and w.isdigit() and len(w) < 9), "null") + ",severity:high,time:null,desc:null}]" for t in texts]
+
+    return rules
 
-        def rules(texts: list[str]) -> list[str]:
-            return ["events:[{type:" + ("injury" if "hurt" in t or "bless" in t else "other") + ",location:null,people:" + next((w for w in re.split(r"\s+", t, flags=re.ASCII) if w.isascii() and w.isdigit() and len(w) < 9), "null") + ",severity:high,time:null,desc:null}]" for t in texts]
 
-        return rules
+def claims_extracted(spark, d):
+    return extraction.extracted(_reports(spark, d, "raw_text", "suspected_injection"), _rules).select("report_id", "segment_index", "event_type", "people_affected", "severity", F.array_join("guards_applied", "|").alias("guards"))
+
 
-    return extraction.extracted(_reports(spark, d, "raw_text", "suspected_injection"), make).select("report_id", "segment_index", "event_type", "people_affected", "severity", F.array_join("guards_applied", "|").alias("guards"))
+def reports_processed(spark, d):
+    """What processing leaves of every report: its segments, claims and links."""
+    out = extraction.processed(_reports(spark, d, "raw_text", "suspected_injection", "ingested_at"), _rules)
+    links = out["links"].groupBy("report_id").agg(F.count("*").alias("links"))
+    return out["reports"].join(links, "report_id", "left").select("report_id", "segment_count", "claims", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def duplicates_classified(spark, d):
@@ -431,7 +440,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         conflicts_detected, conflict_classes, claims_disputed, conflict_sides, conflicts_fresh, conflicts_by_status, reports_listed, claims_listed, reports_pending, report_by_id, audit_of_entity, audit_recent, audit_appended,
         ingest_checked, ingest_new, ingest_hash_check, segments_of_reports, text_model_view, text_severity, text_normal, text_normal_compatible, text_fingerprints, text_clocks, text_words, text_wire,
         guard_counts, guard_severity, guard_places, guard_types, guard_uncertainties, links_unpivoted, links_ungrounded, links_reports_per_claim, claims_with_reports, duplicates_exact, duplicates_members, duplicates_names,
-        corroboration, claims_evaluated, claims_resolved, places_canonical, confidence_grid, places_first_names, places_aliases, places_keys, places_resolution, claims_collapsed, claims_extracted, graph_nodes, graph_edges, graph_stats, metrics_summary, metrics_states, metrics_languages, score_locations, score_matches, score_fields, duplicates_classified, score_shapes, score_weighted,
+        corroboration, claims_evaluated, claims_resolved, places_canonical, confidence_grid, places_first_names, places_aliases, places_keys, places_resolution, claims_collapsed, claims_extracted, reports_processed, graph_nodes, graph_edges, graph_stats, metrics_summary, metrics_states, metrics_languages, score_locations, score_matches, score_fields, duplicates_classified, score_shapes, score_weighted,
         duplicates_fresh, duplicates_claims, claims_detail, links_report_sets, links_moved, claims_keys, places_count, metrics_latency, metrics_pairs, graph_colours, graph_written, guard_placeholders, p5_found, p5_report,
     ]
 }

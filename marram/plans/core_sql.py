@@ -140,6 +140,13 @@ UNION SELECT 'place:' || {place}, 'place', {place} FROM {c('event_id, location_t
     words = lambda n: f"list_distinct(list_filter(string_split({n}, ' '), lambda w: length(w) > 1 AND NOT list_contains({_list(V.PLACE_STOPWORDS)}, w)))"
     rich = "row((p <> '')::INT, (people_affected IS NOT NULL)::INT, (time_reference IS NOT NULL)::INT, -segment_index, event_id)"
     folded = r"trim(regexp_replace(lower(location_text), '\s+', ' ', 'g'))"
+    extracted = f"""WITH r AS (SELECT report_id, suspected_injection, CASE WHEN len({kept}) > 0 THEN array_to_string({kept}, ' ') ELSE {_strip('raw_text')} END AS raw_text FROM {r('report_id, raw_text, suspected_injection')}),
+s AS (SELECT report_id, suspected_injection, unnest(range(len(s)))::INT AS segment_index, unnest(s) AS segment FROM (SELECT *, {_segments('raw_text')} AS s FROM r)),
+e AS (SELECT *, list_filter(regexp_split_to_array(trim(segment), '\\s+'), lambda w: regexp_full_match(w, '[0-9]{{1,8}}'))[1] AS said, {_words('segment')} AS w FROM s),
+g AS (SELECT *, {_severity('w')} AS licensed, CASE WHEN said::BIGINT > 0 AND list_contains(regexp_extract_all(segment, '\\p{{Nd}}+'), CAST(said::BIGINT AS VARCHAR)) THEN said::INT END AS people FROM e)
+SELECT report_id, segment_index, CASE WHEN contains(segment, 'hurt') OR contains(segment, 'bless') THEN 'injury' ELSE 'other' END AS event_type, people AS people_affected,
+  CASE WHEN suspected_injection OR licensed = 'unknown' THEN 'unknown' WHEN {rank("'high'")} <= {rank('licensed')} THEN 'high' ELSE licensed END AS severity,
+  concat_ws('|', CASE WHEN said::BIGINT <= 0 THEN 'people_nonpositive->null' END, CASE WHEN said::BIGINT > 0 AND people IS NULL THEN 'people_not_in_source->null' END, CASE WHEN suspected_injection THEN 'injection_flagged->severity_forced_unknown' WHEN licensed = 'unknown' THEN 'severity_unlicensed(high)->unknown' END) AS guards FROM g"""
     return {
         "conflict_classes": f"WITH {_CLASSES} SELECT branch, place, known, event_type, people_affected, clock, event_id AS first_event_id, n FROM c WHERE rn = 1",
         "conflicts_detected": f"""WITH {_CONFLICTS},
@@ -251,13 +258,9 @@ j AS (SELECT *, CASE WHEN key = '' OR list_contains({_list(V.GENERIC_PLACES)}, k
 SELECT mention, CASE reason WHEN 'exact_normalized_match' THEN exact WHEN 'known_alias' THEN alias WHEN 'shared_content_word' THEN shared ELSE mention END AS canonical, CASE WHEN reason <> 'generic_or_empty' THEN reason <> 'name_is_new' END AS same, CASE reason WHEN 'exact_normalized_match' THEN 1.0::DOUBLE WHEN 'known_alias' THEN 0.7::DOUBLE WHEN 'shared_content_word' THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS confidence, reason FROM j""",
         "claims_collapsed": f"""WITH c AS (SELECT *, {_key('location_text')} AS p FROM {c()}), d AS (SELECT *, {rich} AS rich FROM c)
 SELECT event_id FROM d WHERE NOT EXISTS (SELECT 1 FROM d r WHERE r.report_id = d.report_id AND r.event_type = d.event_type AND d.rich < r.rich AND (d.p = r.p OR (d.p = '') <> (r.p = '')) AND (d.people_affected IS NULL OR d.people_affected = r.people_affected) AND (d.time_reference IS NULL OR d.time_reference = r.time_reference))""",
-        "claims_extracted": f"""WITH r AS (SELECT report_id, suspected_injection, CASE WHEN len({kept}) > 0 THEN array_to_string({kept}, ' ') ELSE {_strip('raw_text')} END AS raw_text FROM {r('report_id, raw_text, suspected_injection')}),
-s AS (SELECT report_id, suspected_injection, unnest(range(len(s)))::INT AS segment_index, unnest(s) AS segment FROM (SELECT *, {_segments('raw_text')} AS s FROM r)),
-e AS (SELECT *, list_filter(regexp_split_to_array(trim(segment), '\\s+'), lambda w: regexp_full_match(w, '[0-9]{{1,8}}'))[1] AS said, {_words('segment')} AS w FROM s),
-g AS (SELECT *, {_severity('w')} AS licensed, CASE WHEN said::BIGINT > 0 AND list_contains(regexp_extract_all(segment, '\\p{{Nd}}+'), CAST(said::BIGINT AS VARCHAR)) THEN said::INT END AS people FROM e)
-SELECT report_id, segment_index, CASE WHEN contains(segment, 'hurt') OR contains(segment, 'bless') THEN 'injury' ELSE 'other' END AS event_type, people AS people_affected,
-  CASE WHEN suspected_injection OR licensed = 'unknown' THEN 'unknown' WHEN {rank("'high'")} <= {rank('licensed')} THEN 'high' ELSE licensed END AS severity,
-  concat_ws('|', CASE WHEN said::BIGINT <= 0 THEN 'people_nonpositive->null' END, CASE WHEN said::BIGINT > 0 AND people IS NULL THEN 'people_not_in_source->null' END, CASE WHEN suspected_injection THEN 'injection_flagged->severity_forced_unknown' WHEN licensed = 'unknown' THEN 'severity_unlicensed(high)->unknown' END) AS guards FROM g""",
+        "claims_extracted": extracted,
+        "reports_processed": f"""WITH x AS ({extracted}), y AS (SELECT report_id, count(*) AS claims, 2 * count(*) + count(people_affected) AS links FROM x GROUP BY 1)
+SELECT r.report_id, len({_segments('v')})::INT AS segment_count, coalesce(y.claims, 0) AS claims, coalesce(y.links, 0) AS links FROM (SELECT report_id, CASE WHEN len({kept}) > 0 THEN array_to_string({kept}, ' ') ELSE {_strip('raw_text')} END AS v FROM {r('report_id, raw_text, suspected_injection, ingested_at')}) r LEFT JOIN y ON y.report_id = r.report_id""",
         "duplicates_classified": f"""WITH t AS (SELECT report_id, {_normal('raw_text')} AS form, sha256(array_to_string(list_sort(list_transform({_segments('raw_text')}, lambda s: {_normal('s')})), ' || ')) AS p FROM {r('report_id, raw_text')}), k AS {c('event_id, report_id')},
 j AS (SELECT conflict_id, replace(x.form, ' ', '_') AS t, replace(y.form, ' ', '_') AS u, x.p = y.p AS same FROM conflicts JOIN k a ON a.event_id = event_a_id JOIN k b ON b.event_id = event_b_id JOIN t x ON x.report_id = a.report_id JOIN t y ON y.report_id = b.report_id),
 g AS (SELECT conflict_id, same, {tri} AS a, {tri.replace('(t)', '(u)').replace('[t]', '[u]').replace('substr(t,', 'substr(u,')} AS b FROM j), s AS (SELECT *, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE, 6) AS similarity FROM g)

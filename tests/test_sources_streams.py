@@ -56,6 +56,26 @@ def test_extraction(spark):
         extraction.extracted(reports, broken).collect()
 
 
+def test_processing_a_batch(spark):
+    reports = spark.createDataFrame([("r1", "Three people were hurt near the bridge. Three people were hurt near the bridge.", False, None), ("r2", "Short", True, None)], "report_id string, raw_text string, suspected_injection boolean, ingested_at timestamp")
+    asked = spark.sparkContext.accumulator(0)
+
+    def make():
+        def rules(texts):
+            asked.add(len(texts))
+            return ['events:[{type:injury,location:"bridge",people:null,severity:high,time:null,desc:null},{type:fire,location:null,people:null,severity:high,time:null,desc:null}]' if "hurt" in t else "events:[]" for t in texts]
+
+        return rules
+
+    out = extraction.processed(reports, make)
+    rows = sorted(out["claims"].collect(), key=lambda r: (r.segment_index, r.event_type))
+    assert [(r.segment_index, r.event_type) for r in rows] == [(0, "fire"), (0, "injury"), (1, "fire"), (1, "injury")] and len({r.event_id for r in rows}) == 4
+    assert asked.value == 2  # equal segments once
+    assert out["links"].count() == 2 * (2 + 3) and out["links"].select("link_id").distinct().count() == 10
+    assert sorted((r.report_id, r.segment_count, r.claims) for r in out["reports"].collect()) == [("r1", 2, 4), ("r2", 1, 0)]
+    assert out["audit_log"].count() == 2
+
+
 def test_resolution(spark):
     m = spark.createDataFrame([("the road",), ("PONT central",), ("vieux pont central nord",), ("جسر المركزي",), ("gare Miz",), (None,)], "mention string")
     known = spark.createDataFrame([("Pont Central",), ("hôpital Al-Amal",)], "canonical string")
