@@ -99,3 +99,55 @@ def test_signatures_agree_with_similarity():
     sig = N.superminhash([a, a + " again", "zzz", a])
     same = (sig[0] == sig[1]).mean()
     assert abs(same - N.jaccard(a, a + " again")) < 0.12 and (sig[0] == sig[3]).all() and (sig[0] == sig[2]).mean() < 0.05
+
+
+def test_blocks_round_trip():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for n, bits in ((1, 36), (4096, 36), (777, 60)):
+        key = np.sort(r.integers(0, 2**bits, n).astype(np.uint64))
+        text, flag = r.integers(0, 1 << 15, n).astype(np.uint64), r.integers(0, 2, n).astype(np.uint64)
+        k, x, f = N.unpack(N.pack(7 << 32, key, text << np.uint64(1) | flag))
+        assert (k == key).all() and (x == text.astype(np.int64) + (7 << 32)).all() and (f == flag.astype(bool)).all()
+
+
+def test_one_text_a_hundred_thousand_times(spark):
+    from pyspark.sql import functions as F
+
+    many = spark.range(100_000).select(F.format_string("C%06d", "id").alias("report_id"), F.lit("The very same text comes again and again.").alias("raw_text"))
+    rest = spark.createDataFrame([("A1", "Another text that nobody repeats at all."), ("B1", "the very same text comes again and again!")], "report_id string, raw_text string")
+    got = N.near_found(many.union(rest))
+    assert got.count() == 100_000 and got.select("first_report_id").distinct().count() == 1
+
+
+def test_many_unlike_members_of_one_bucket(spark, monkeypatch):
+    """Every likely pair of a divided bucket is emitted once, in units of bounded size."""
+    import numpy as np
+
+    from marram.plans.shared import Kept
+
+    monkeypatch.setattr(N, "UNIT", 700)
+    r = np.random.default_rng(4)
+    n = 5000
+    sketch = r.integers(-(2**63), 2**63 - 1, (n, 4))
+    for i in range(0, 300, 2):
+        sketch[i + 1] = sketch[i] ^ (1 << (i % 60))  # likely pairs
+    root = np.arange(n)
+    root[1000:2500] = 1000  # the largest component
+    sketch[10] = sketch[1500] ^ 1
+    sketch[2001] = sketch[2000]  # of one component: no pair
+    places = spark.createDataFrame([(i, i, *map(int, sketch[i])) for i in range(n)], "loc long, id long, s0 long, s1 long, s2 long, s3 long")
+    wide = spark.createDataFrame([(7, i) for i in range(n)] + [(8, 0), (8, 1)], "key long, loc long")
+    found = spark.createDataFrame([(i, 1000) for i in range(1000, 2500)], "node long, root long")
+    got = sorted(map(tuple, N._across(wide, places, found, N.THRESHOLD, Kept()).collect()))
+    most = 256 - N.least_bits(N.THRESHOLD)
+    u = sketch.view(np.uint64)
+    want = sorted((i, int(j)) for i in range(n) for j in np.flatnonzero(np.bitwise_count(u[i] ^ u[i + 1 :]).sum(1, dtype=int) <= most) + i + 1 if root[i] != root[j])
+    assert got == want and len(got) >= 150
+
+
+def test_buckets_large_in_one_task_meet_the_others(spark, monkeypatch):
+    """A template's texts share bands in several flushes; small flushes, same groups as brute force."""
+    monkeypatch.setattr(N, "FLUSH", 1020)
+    test_wide_buckets_lose_no_link(spark)
