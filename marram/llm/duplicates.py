@@ -5,7 +5,9 @@ The operator refines partitions progressively: cheap invariants of every text
 hash of the letters and digits in order; inside classes that still hold several
 of those the costliest key, the sorted sentence units of every distinct
 consistent form. Sequences that share the
-units of any of their forms are one text, and so are those that others join.
+units of any of their forms are one text, and so are those that others join. A
+form may hide a boundary that its reordered copy shows: sequences of the same
+words are also one text if one is made of the other's units in another order.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +31,11 @@ from marram.plans.shared import Kept, checked, salted_join, spread
 _STRIPPED = r"regexp_replace(lower(s4), '[^\p{L}\p{M}\p{N}]+', '', 'g')"
 
 
+#: Words, or single characters in scripts without spaces; sequences, and units, of one bag that meet in a block.
+_BAG = re.compile(r"[฀-๿⺀-鿿]|[^\W_]+")
+MEETING = 500
+
+
 def _hash(value: str) -> str:
     """SQL of 64 bits of a text's hash."""
     return f"(md5_number_lower({value})::HUGEINT - 9223372036854775808)::BIGINT"
@@ -80,16 +88,89 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(size, pa.int32()), pa.array(hist), b.column("k1"), b.column("f")], names=["row_id", "len", "hist", "k1", "f"])
 
 
-def _unit_key(text: str) -> str:
-    """Hash of the letters and digits of the sentence units, sorted."""
-    parts = sorted(k for x, y in sentences.units(text) if (k := re.sub(r"[\W_]+", "", text[x:y].lower())))
-    return hashlib.md5("\n".join(parts).encode()).hexdigest()
+def _hash64(text: str) -> int:
+    return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "little", signed=True)
+
+
+def _unit_keys(texts: list[str]) -> list[pa.Array]:
+    """Of each consistent form: k2, the hash of its units' letters, sorted; bag, that of its words, sorted; its letters in order; its units' letters."""
+    whole = [re.sub(r"[\W_]+", "", t.lower()) for t in texts]
+    parts = [sorted(k for x, y in sentences.units(t) if (k := re.sub(r"[\W_]+", "", t[x:y].lower()))) for t in texts]
+    bags = [_hash64("\n".join(sorted(_BAG.findall(t.lower())))) for t in texts]
+    return [pa.array(x, kind) for x, kind in ((map(_hash64, map("\n".join, parts)), pa.int64()), (bags, pa.int64()), (whole, pa.string()), (parts, pa.list_(pa.string())))]
+
+
+_KEYED = "k2 long, bag long, seq string, units array<string>"
 
 
 def _sorted_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sql = forms.form_sql("text", keep="text", outs=f"s4, md5({_STRIPPED}) AS k1")
-    for b in forms.run_sql(batches, sql):
-        yield pa.RecordBatch.from_arrays([b.column("k1"), pa.array([_unit_key(t) for t in b.column("s4").to_pylist()], pa.string())], names=["k1", "k2"])
+    for b in _pieces(batches, sql):
+        yield pa.RecordBatch.from_arrays([b.column("k1"), *_unit_keys(b.column("s4").to_pylist())], names=["k1", "k2", "bag", "seq", "units"])
+
+
+def tiles(seq: str, units: list[str]) -> bool:
+    """Is the sequence made of these units in some order? What was taken up to a place is tried once from there."""
+    if len(seq) != sum(map(len, units)):
+        return False
+    left, kinds = Counter(units), sorted(set(units))
+    steps, taken, sums, tried = [(0, iter(kinds))], [], [0], set()
+    while steps:
+        at, rest = steps[-1]
+        if at == len(seq):
+            return True
+        for u in rest:
+            if left[u] and seq.startswith(u, at):
+                state = (at + len(u), sums[-1] + hash(u))
+                if state in tried:
+                    continue
+                tried.add(state)
+                left[u] -= 1
+                taken.append(u)
+                sums.append(state[1])
+                steps.append((state[0], iter(kinds)))
+                break
+        else:
+            steps.pop()
+            if taken:
+                left[taken.pop()] += 1
+                sums.pop()
+    return False
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges between nodes of one meeting (bag, u, v): a sequence (units null) and units that it is made of."""
+    at, held = None, ([], [])
+
+    def edges() -> pa.RecordBatch:
+        pairs = {(min(m, n), max(m, n)) for m, units in held[1] for n, seq in held[0] if m != n and tiles(seq, units)}
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    for batch in batches:
+        for bag, u, v, node, seq, units in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (bag, u, v) != at:
+                if held[0] and held[1]:
+                    yield edges()
+                at, held = (bag, u, v), ([], [])
+            held[units is not None].append((node, seq if units is None else units))
+    if held[0] and held[1]:
+        yield edges()
+
+
+def retiled(keys: DataFrame, node: str, keep: Kept) -> DataFrame:
+    """Edges a, b between nodes whose letters are the other's units in another order, though no form of both shows the same units.
+
+    Asked within bags: texts of the same words. keys: node, k2, bag, seq, units.
+    Members of a large bag meet in blocks of MEETING each.
+    """
+    ends = [f(c).alias(f"{n}{c}") for c in (node, "k2") for n, f in (("l_", F.min), ("g_", F.max))]
+    bags = keys.groupBy("bag").agg(*ends, F.count("*").alias("n")).where(f"l_{node} < g_{node} AND l_k2 < g_k2").select("bag", F.ceil(F.col("n") / MEETING).cast("int").alias("c"))
+    rows = keys.join(checked(keep(bags)), "bag").select("bag", "c", F.col(node).alias("node"), "k2", "seq", "units")
+    blocks, every = lambda x: F.pmod(F.xxhash64(x), F.col("c")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("c") - 1))
+    sequences = rows.groupBy("bag", "c", "node").agg(F.min("seq").alias("seq")).select("bag", blocks("node").alias("u"), every.alias("v"), "node", "seq", F.lit(None).cast("array<string>").alias("units"))
+    units = rows.where(F.size("units") > 1).groupBy("bag", "c", "k2").agg(F.min("node").alias("node"), F.first("units").alias("units")).select("bag", every.alias("u"), blocks("k2").alias("v"), "node", F.lit(None).cast("string").alias("seq"), "units")
+    both = sequences.unionByName(units).select("bag", "u", "v", "node", "seq", "units").repartition("bag", "u", "v").sortWithinPartitions("bag", "u", "v")
+    return both.mapInArrow(_meetings, "a long, b long")
 
 
 def _stars(keys: DataFrame, by: str, node: str) -> DataFrame:
@@ -118,8 +199,8 @@ def _refined(reports: DataFrame, keep: Kept) -> tuple[DataFrame, DataFrame, Data
     keys = keep(held.mapInArrow(_ordered, "row_id string, len int, hist long, k1 string, f long").join(several, ["len", "hist"], "left_semi"))
     sizes = keep(keys.groupBy("len", "hist", "k1").agg(F.min("row_id").alias("first_id"), F.countDistinct("row_id").alias("n")))
     asked = keys.join(checked(keep(_classes(sizes, "k1"))), ["len", "hist"], "left_semi").groupBy("k1", "f").agg(F.min("row_id").alias("row_id")).select("row_id").distinct()
-    units = keep(held.join(checked(keep(asked)), "row_id", "left_semi").select("text").mapInArrow(_sorted_units, "k1 string, k2 string").select(F.xxhash64("k1").alias("node"), "k2").distinct())
-    same = components(_stars(units, "k2", "node")).select("node", F.col("root").cast("string").alias("root"))
+    units = keep(held.join(checked(keep(asked)), "row_id", "left_semi").select("text").mapInArrow(_sorted_units, f"k1 string, {_KEYED}").withColumn("node", F.xxhash64("k1")))
+    same = components(_stars(units.select("node", "k2").distinct(), "k2", "node").union(retiled(units, "node", keep))).select("node", F.col("root").cast("string").alias("root"))
     per = sizes.withColumn("node", F.xxhash64("k1")).join(checked(keep(same)), "node", "left").select("k1", "first_id", "n", F.coalesce("root", "k1").alias("k3"))
     return inv, keys.select("row_id", "k1"), per
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.llm import forms
-from marram.llm.duplicates import _STRIPPED, _hash, _pieces, _stars, _unit_key, letters
+from marram.llm.duplicates import _KEYED, _STRIPPED, _hash, _pieces, _stars, _unit_keys, letters, retiled
 from marram.operators.components import components
 from marram.plans.shared import Kept, checked, cut, salted_join, spread
 
@@ -421,18 +421,18 @@ def _links(close: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "fa", "fb").mapInArrow(_verify(threshold), "a long, b long")
 
 
-def _unit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sql = forms.form_sql("text", keep="text", outs=f"s4, {_NORMAL} AS n, md5({_STRIPPED}) AS k1")
-    for b in forms.run_sql(batches, f"SELECT s4, {_hash('n')} AS id, k1 FROM ({sql})"):
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k1"), pa.array([_unit_key(t) for t in b.column("s4").to_pylist()], pa.string())], names=["id", "k1", "k2"])
+    for b in _pieces(batches, f"SELECT s4, {_hash('n')} AS id, k1 FROM ({sql})"):
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k1"), *_unit_keys(b.column("s4").to_pylist())], names=["id", "k1", "k2", "bag", "seq", "units"])
 
 
 def _same_units(src: DataFrame, rows: DataFrame, keep: Kept) -> DataFrame:
     """Edges between normal forms that are one text apart from formatting and order: every consistent form of those with the same letters is asked."""
     several = rows.groupBy("hist").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("hist")
     asked = rows.join(several, "hist", "left_semi").groupBy("id", "f").agg(F.min("row_id").alias("row_id")).select("row_id").distinct()
-    keys = keep(src.join(checked(keep(asked)), "row_id").select("text").mapInArrow(_unit_keys, "id long, k1 string, k2 string").distinct())
-    return _stars(keys, "k1", "id").union(_stars(keys, "k2", "id"))
+    keys = keep(src.join(checked(keep(asked)), "row_id").select("text").mapInArrow(_keyed, f"id long, k1 string, {_KEYED}"))
+    return _stars(keys.select("k1", "id").distinct(), "k1", "id").union(_stars(keys.select("k2", "id").distinct(), "k2", "id")).union(retiled(keys, "id", keep))
 
 
 def near_groups(reports: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

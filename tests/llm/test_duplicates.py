@@ -88,6 +88,16 @@ def test_every_layout_of_a_contested_sequence_counts(spark):
     assert sorted(map(tuple, N.near_found(df).collect())) == want
 
 
+def test_copies_whose_every_form_hides_a_boundary(spark, monkeypatch):
+    rows = [("a1", "Red boat left.St. Kel shut. Old mill."), ("a2", "Old mill. Red boat left. St. Kel shut."), ("a3", "Old mill. Boat red left. St. Kel shut."), ("b1", "Xx yy. Yy xx. Zz zz."), ("b2", "Zz zz. Yy xx. Xx yy.")]
+    df = spark.createDataFrame(rows, "report_id string, raw_text string")
+    for size in (500, 1):
+        monkeypatch.setattr(D, "MEETING", size)
+        assert sorted(map(tuple, D.format_found(df).collect())) == [("a1", "a2"), ("b1", "b2")]
+    assert ("a1", "a2") in set(map(tuple, N.near_found(df).collect()))
+    assert D.tiles("abab", ["ab", "ab"]) and D.tiles("aaab", ["a", "aab"]) and D.tiles("aabaa", ["aa", "aab"]) and not D.tiles("abba", ["ab", "ab"]) and not D.tiles("ab", ["ab", "ab"]) and D.tiles("", []) and D.tiles("ok" * 300 + "x", ["ok", "okok"] * 100 + ["x"]) and not D.tiles("ok" * 300 + "y", ["ok", "okok"] * 100 + ["x"]) and not D.tiles("a" * 60 + "b", ["a", "aa", "aaa"] * 10 + ["c"])
+
+
 def test_near_links_copies_that_differ_in_arabic_marks(spark):
     df = spark.createDataFrame([("a1", "جسر؛ باب؛ دار"), ("a2", "جسر\nباب\nدار"), ("a3", "دار، باب")], "report_id string, raw_text string")
     assert sorted(map(tuple, D.format_found(df).collect())) == [("a1", "a2")]
