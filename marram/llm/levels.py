@@ -2,7 +2,7 @@
 
 Familiar-word formula: the share of words outside high-frequency lists that
 come from the corpus's own document frequencies, plus average sentence length.
-One list can't tell three levels apart (README), so there are two. Documents
+With one list fewer levels came out right (README), so there are two. Documents
 vote by word length: a word is familiar to everybody if it is frequent in the
 quarter of a language's documents with the shortest words, and familiar to the
 general reader if it is frequent in their shorter-worded 60 %; the share is the
