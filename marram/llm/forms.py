@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marram.plans.shared import spread
+
 # Letters of other alphabets and the Latin letters they look like.
 CYRILLIC = "аеорсухіјѕһԁԛԝАВЕЗКМНОРСТУХІЈЅԌ"
 CYRILLIC_AS = "aeopcyxijshdqwABE3KMHOPCTYXIJSG"
@@ -173,23 +175,23 @@ def lookalikes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "original", "form")
 
 
-def _records(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per key and text; redelivered copies count once."""
-    return df.select(F.col(key).alias("row_id"), F.col(text).alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL").distinct()
+def _records(df: DataFrame, table: str, key: str, text: str) -> DataFrame:
+    return spread(df.select(F.lit(table).alias("source_table"), F.col(key).alias("row_id"), F.col(text).alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL"))
 
 
 def _both(reports: DataFrame, claims: DataFrame) -> DataFrame:
-    return _records(reports, "report_id", "raw_text").withColumn("source_table", F.lit("reports")).unionByName(_records(claims, "event_id", "location_text").withColumn("source_table", F.lit("claims")))
+    return _records(reports, "reports", "report_id", "raw_text").unionByName(_records(claims, "claims", "event_id", "location_text"))
 
 
 def all_forms(reports: DataFrame, claims: DataFrame) -> DataFrame:
-    """source_table, row_id and the consistent form of every raw_text and location_text."""
-    return consistent(_both(reports, claims), ["source_table", "row_id"], "text")
+    """source_table, row_id and the consistent form of every raw_text and location_text; copies count once."""
+    return consistent(_both(reports, claims), ["source_table", "row_id"], "text").distinct()
 
 
 def found(reports: DataFrame, claims: DataFrame) -> DataFrame:
     """p6_found: records whose raw_text or location_text holds look-alike characters.
 
-    Null keys or texts give no row; a key whose copies differ gives one row.
+    Null keys or texts give no row; a key whose copies differ gives one row. Copies
+    fall away among the keys found, so no text is shuffled.
     """
     return lookalikes(_both(reports, claims), ["source_table", "row_id"], "text").select("source_table", "row_id").distinct()
