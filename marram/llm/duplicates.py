@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from marram.llm import forms, sentences
 from marram.operators.components import components
-from marram.plans.shared import Kept, checked, salted_join, spread
+from marram.plans.shared import Kept, checked, cut, salted_join, spread
 
 _STRIPPED = r"regexp_replace(lower(s4), '[^\p{L}\p{M}\p{N}]+', '', 'g')"
 
@@ -197,9 +197,9 @@ def _refined(reports: DataFrame, keep: Kept) -> tuple[DataFrame, DataFrame, Data
     several = checked(keep(_classes(inv, "row_id")))
     held = keep(rec.join(checked(keep(inv.join(several, ["len", "hist"], "left_semi").select("row_id").distinct())), "row_id", "left_semi"))
     keys = keep(held.mapInArrow(_ordered, "row_id string, len int, hist long, k1 string, f long").join(several, ["len", "hist"], "left_semi"))
-    sizes = keep(keys.groupBy("len", "hist", "k1").agg(F.min("row_id").alias("first_id"), F.countDistinct("row_id").alias("n")))
+    sizes = cut(keys.groupBy("len", "hist", "k1").agg(F.min("row_id").alias("first_id"), F.countDistinct("row_id").alias("n")))
     asked = keys.join(checked(keep(_classes(sizes, "k1"))), ["len", "hist"], "left_semi").groupBy("k1", "f").agg(F.min("row_id").alias("row_id")).select("row_id").distinct()
-    units = keep(held.join(checked(keep(asked)), "row_id", "left_semi").select("text").mapInArrow(_sorted_units, f"k1 string, {_KEYED}").withColumn("node", F.xxhash64("k1")))
+    units = cut(held.join(checked(keep(asked)), "row_id", "left_semi").select("text").mapInArrow(_sorted_units, f"k1 string, {_KEYED}").withColumn("node", F.xxhash64("k1")))
     same = components(_stars(units.select("node", "k2").distinct(), "k2", "node").union(retiled(units, "node", keep))).select("node", F.col("root").cast("string").alias("root"))
     per = sizes.withColumn("node", F.xxhash64("k1")).join(checked(keep(same)), "node", "left").select("k1", "first_id", "n", F.coalesce("root", "k1").alias("k3"))
     return inv, keys.select("row_id", "k1"), per

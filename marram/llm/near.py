@@ -431,7 +431,7 @@ def _same_units(src: DataFrame, rows: DataFrame, keep: Kept) -> DataFrame:
     """Edges between normal forms that are one text apart from formatting and order: every consistent form of those with the same letters is asked."""
     several = rows.groupBy("hist").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("hist")
     asked = rows.join(several, "hist", "left_semi").groupBy("id", "f").agg(F.min("row_id").alias("row_id")).select("row_id").distinct()
-    keys = keep(src.join(checked(keep(asked)), "row_id").select("text").mapInArrow(_keyed, f"id long, k1 string, {_KEYED}"))
+    keys = cut(src.join(checked(keep(asked)), "row_id").select("text").mapInArrow(_keyed, f"id long, k1 string, {_KEYED}"))
     return _stars(keys.select("k1", "id").distinct(), "k1", "id").union(_stars(keys.select("k2", "id").distinct(), "k2", "id")).union(retiled(keys, "id", keep))
 
 
