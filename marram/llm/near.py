@@ -449,7 +449,7 @@ def near_groups(reports: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = keep(blocks.sortWithinPartitions("target").mapInArrow(_meet, "key long, a long, b long"))
     wide = signed.where("key IS NOT NULL").select("key", "a", "b")
     places = keep(signed.where("loc IS NOT NULL").select("loc", "id", "s0", "s1", "s2", "s3").repartition("loc"))
-    close = keep(_close(met.unionByName(wide.where("a <> b")), places, threshold))
+    close = cut(_close(met.unionByName(wide.where("a <> b")), places, threshold))
     # first each text against its least partner; then only pairs between what that left apart
     star = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     texts = keep(_texts(base, close.select(F.col("a").alias("id")).union(close.select("b")), keep))
