@@ -71,18 +71,22 @@ def words(c: Column) -> Column:
 
 def licensed_severity(c: Column) -> Column:
     """The strongest severity whose marker no cue takes back within the words before it; unknown if none."""
-    w = words(c)
     cues = F.array(*[F.lit(x) for x in V.NEGATION_CUES])
 
-    def says(level: str) -> Column:
+    def says(w: Column, level: str) -> Column:
         marks = F.array(*[F.lit(x) for x in V.SEVERITY_MARKERS[level]])
         window = lambda i: F.slice(w, F.greatest(i - V.NEGATION_WINDOW + 1, F.lit(1)), F.least(i, F.lit(V.NEGATION_WINDOW)))
-        return F.exists(F.transform(w, lambda x, i: F.array_contains(marks, x) & ~F.arrays_overlap(window(i), cues)), lambda b: b)
+        # most texts have no marker at all: the words are gone through one by one only where one has
+        return F.arrays_overlap(w, marks) & F.exists(F.transform(w, lambda x, i: F.array_contains(marks, x) & ~F.arrays_overlap(window(i), cues)), lambda b: b)
 
-    out = F.lit("unknown")
-    for level in reversed(list(V.SEVERITY_MARKERS)):
-        out = F.when(says(level), level).otherwise(out)
-    return F.when(c.isNull(), "unknown").otherwise(out)
+    def strongest(w: Column) -> Column:
+        out = F.lit("unknown")
+        for level in reversed(list(V.SEVERITY_MARKERS)):
+            out = F.when(says(w, level), level).otherwise(out)
+        return out
+
+    # the words are cut once, inside a one-element array
+    return F.when(c.isNull(), "unknown").otherwise(F.transform(F.array(words(c)), strongest)[0])
 
 
 def severity_rank(c: Column) -> Column:

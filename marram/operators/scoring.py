@@ -8,8 +8,9 @@ people_affected, severity. One report's claims are a bounded group.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +50,28 @@ def location_score(expected: Column, typed: Column, resolved: Column, accents: b
     None expected: 1 for a claim without place, else 0. The typed place decides
     if half of it fits; else the better of typed and resolved place.
     """
-    direct = token_f1(expected, place_tokens(typed, accents))
-    other = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.trim(resolved)), "[_-]", " "), r"\s+"), lambda w: w != ""))
-    canonical = F.when(F.coalesce(F.trim(resolved), F.lit("")) != "", token_f1(expected, other)).otherwise(0.0)
+    return score_of_tokens(expected, place_tokens(typed, accents), resolved_tokens(resolved), typed, resolved)
+
+
+def resolved_tokens(resolved: Column) -> Column:
+    """Words of a resolved place."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.trim(resolved)), "[_-]", " "), r"\s+"), lambda w: w != ""))
+
+
+def score_of_tokens(expected: Column, direct: Column, other: Column, typed: Column, resolved: Column) -> Column:
+    """location_score of words that are cut already: direct those of the typed place, other those of the resolved one."""
+    first, canonical = token_f1(expected, direct), F.when(F.coalesce(F.trim(resolved), F.lit("")) != "", token_f1(expected, other)).otherwise(0.0)
     empty = (F.size(expected) == 0) | expected.isNull()
-    return F.when(empty, F.when(F.coalesce(X.strip(typed), F.lit("")) == "", 1.0).otherwise(0.0)).when(direct >= RIGHT_PLACE, direct).otherwise(F.greatest(direct, canonical))
+    return F.when(empty, F.when(F.coalesce(X.strip(typed), F.lit("")) == "", 1.0).otherwise(0.0)).when(first >= RIGHT_PLACE, first).otherwise(F.greatest(first, canonical))
+
+
+def worded(predicted: DataFrame, accents: bool) -> DataFrame:
+    """predicted with the words of its places, cut once a claim before any join: a score reads them many times."""
+    return predicted.withColumns({"_typed": place_tokens(F.col("location_text"), accents), "_resolved": resolved_tokens(F.col("resolved_location"))})
+
+
+def _place_score() -> Column:
+    return score_of_tokens(*map(F.col, ("location_tokens", "_typed", "_resolved", "location_text", "resolved_location")))
 
 
 def matched(expected: DataFrame, predicted: DataFrame, threshold: float = MATCH, accents: bool = True) -> DataFrame:
@@ -62,20 +80,26 @@ def matched(expected: DataFrame, predicted: DataFrame, threshold: float = MATCH,
     In the order of the expected claims, each takes the free claim of its type
     whose place scores best, the first of equals, if that reaches the threshold.
     """
-    pairs = expected.select("report_id", "event_type", F.col("n").alias("expected_n"), "location_tokens").join(predicted.select("report_id", "event_type", F.col("n").alias("at"), "event_id", "location_text", "resolved_location"), ["report_id", "event_type"])
-    pairs = pairs.select("report_id", "expected_n", "at", "event_id", location_score(F.col("location_tokens"), F.col("location_text"), F.col("resolved_location"), accents).alias("score")).where(F.col("score") >= threshold)
-
-    def take(g: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, own in g.sort_values(["expected_n", "score", "at", "event_id"], ascending=[True, False, True, True]).groupby("expected_n"):
-            for p in own.itertuples():
-                if p.event_id not in used:
-                    used.add(p.event_id)
-                    out.append((p.report_id, p.expected_n, p.event_id, p.score))
-                    break
-        return pd.DataFrame(out, columns=["report_id", "expected_n", "event_id", "score"])
-
-    return pairs.groupBy("report_id").applyInPandas(take, "report_id string, expected_n int, event_id string, score double")
+    pairs = expected.select("report_id", "event_type", F.col("n").alias("expected_n"), "location_tokens").join(worded(predicted, accents).select("report_id", "event_type", F.col("n").alias("at"), "event_id", "location_text", "resolved_location", "_typed", "_resolved"), ["report_id", "event_type"])
+    pairs = pairs.select("report_id", "expected_n", "at", "event_id", _place_score().alias("score")).where(F.col("score") >= threshold)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        report, done, used = None, None, set()
+        for b in batches:
+            keep = []
+            for i, (r, n, e) in enumerate(zip(*(b.column(k).to_pylist() for k in ("report_id", "expected_n", "event_id")), strict=True)):
+                if r != report:
+                    report, done, used = r, None, set()
+                if n != done and e not in used:
+                    done = n
+                    used.add(e)
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    # rows of a report in the order of the choice, so that one pass over a partition holds one report's claims
+    order = ["report_id", "expected_n", F.desc("score"), F.asc_nulls_last("at"), F.asc_nulls_last("event_id")]
+    best = pairs.where("expected_n IS NOT NULL").select("report_id", F.col("expected_n").cast("int").alias("expected_n"), "at", "event_id", "score").repartition("report_id").sortWithinPartitions(*order)
+    return best.select("report_id", "expected_n", "event_id", "score").mapInArrow(take, "report_id string, expected_n int, event_id string, score double")
 
 
 def field_counts(expected: DataFrame, predicted: DataFrame, matches: DataFrame, accents: bool = True) -> DataFrame:
@@ -85,10 +109,10 @@ def field_counts(expected: DataFrame, predicted: DataFrame, matches: DataFrame,
     missing, not wrong; claims without a match are extra in their type alone.
     """
     e = expected.select("report_id", F.col("n").alias("expected_n"), "location_tokens", F.col("people_affected").alias("want_people"), F.coalesce("severity", F.lit("unknown")).alias("want_severity"))
-    j = e.join(matches.select("report_id", "expected_n", "event_id"), ["report_id", "expected_n"], "left").join(predicted.select("report_id", "event_id", "location_text", "resolved_location", "people_affected", F.coalesce("severity", F.lit("unknown")).alias("severity")), ["report_id", "event_id"], "left")
+    j = e.join(matches.select("report_id", "expected_n", "event_id"), ["report_id", "expected_n"], "left").join(worded(predicted, accents).select("report_id", "event_id", "location_text", "resolved_location", "_typed", "_resolved", "people_affected", F.coalesce("severity", F.lit("unknown")).alias("severity")), ["report_id", "event_id"], "left")
     hit, typed = F.col("event_id").isNotNull(), F.coalesce("location_text", F.lit("")) != ""
     none = (F.size("location_tokens") == 0) | F.col("location_tokens").isNull()
-    fits = location_score(F.col("location_tokens"), F.col("location_text"), F.col("resolved_location"), accents) >= RIGHT_PLACE
+    fits = _place_score() >= RIGHT_PLACE
     want, got, ws, gs = F.col("want_people"), F.col("people_affected"), F.col("want_severity"), F.col("severity")
     verdict = {
         "event_type": F.lit("correct"),

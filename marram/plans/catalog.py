@@ -13,7 +13,7 @@ from marram.functions import vocab as V
 from marram.operators import contradictions, evaluation, evidence, extraction, graph, ingest, metrics, orphans, scoring, similar
 from marram.operators.rows import accept_new, once
 from marram.plans import core_sql
-from marram.plans.shared import salted_join
+from marram.plans.shared import cut, salted_join
 from marram.sources import tables
 
 
@@ -401,7 +401,8 @@ def _scored(spark, d):
         "report_id", "event_id", "n", "event_type", "location_text", "resolved_location", "people_affected", X.capped_severity(F.col("severity"), F.col("licensed"), F.col("flagged")).alias("severity"),
         "verification_state", "independent_source_count", "time_reference", "created_at",
     )
-    return expected, predicted, scoring.matched(expected, predicted, accents=False)
+    expected, predicted = cut(expected), cut(predicted)  # read several times, and texts are read for the second
+    return expected, predicted, cut(scoring.matched(expected, predicted, accents=False))
 
 
 def score_matches(spark, d):

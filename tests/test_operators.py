@@ -289,6 +289,24 @@ def test_greedy_match(spark):
     assert scoring.matched(e.limit(0), p).count() == 0 and scoring.matched(e, p.limit(0)).count() == 0
 
 
+def test_greedy_match_of_many_reports_equals_python(spark):
+    rnd, e, p, want = random.Random(5), [], [], []
+    draw = lambda: (rnd.choice(["fire", "flood"]), rnd.sample("abc", rnd.randint(0, 2)))
+    for r in (f"r{k}" for k in range(500)):
+        own, made, used = [draw() for _ in range(rnd.randint(1, 4))], [draw() for _ in range(rnd.randint(1, 4))], set()
+        e += [(r, n, kind, words, None, None) for n, (kind, words) in enumerate(own)]
+        p += [(r, f"{r}-{n}", n, kind, " ".join(words), None, None, None, None, None) for n, (kind, words) in enumerate(made)]
+        for n, (kind, words) in enumerate(own):
+            score = lambda w, x=words: 2 * len({*x} & {*w}) / (len(x) + len(w)) if x else float(not w)
+            free = [(-score(w), k) for k, (other, w) in enumerate(made) if other == kind and k not in used and score(w) >= scoring.MATCH]
+            if free:
+                used.add(min(free)[1])
+                want.append((r, n, f"{r}-{min(free)[1]}"))
+    got = scoring.matched(spark.createDataFrame(e, EXPECTED), spark.createDataFrame(p, PREDICTED))
+    assert "InPandas" not in got._jdf.queryExecution().toString()  # Python is called for batches, not for every report
+    assert sorted((m.report_id, m.expected_n, m.event_id) for m in got.collect()) == sorted(want)
+
+
 def test_field_rules_and_weighted_score(spark):
     e, p = scored_fixture(spark)
     m = scoring.matched(e, p)
