@@ -67,6 +67,35 @@ def _pairs(classes: DataFrame) -> DataFrame:
     return status.unionByName(same)
 
 
+def opposed(claims: DataFrame, labels: DataFrame, compatibility: bool = True) -> DataFrame:
+    """a, b: the pairs of labels that the first claims of some contradicting classes have, in either order, without listing the classes' pairs.
+
+    labels: event_id, label (a struct). Classes of one place, type and label are
+    a group. Groups of opposed types contradict if any two of their first claims
+    differ; groups of one type if two counts or clocks do, which their least and
+    greatest tell. First claims that several classes of one type share are no
+    pair; such classes are compared one by one, with each other alone.
+    """
+    at, key = F.struct("first.created_at", "first.event_id"), [*_KEY, "event_type"]
+    c = claim_classes(claims, compatibility).where("first.created_at IS NOT NULL AND first.event_id IS NOT NULL").withColumn("at", at)
+    c = c.withColumn("shared", F.count("*").over(Window.partitionBy(*key, "at")) > 1)
+    c = c.withColumn("people", F.when(F.col("event_type").isin(V.COUNTABLE_TYPES), F.col("people_affected"))).withColumn("clock", F.nullif("clock", F.lit("")))
+    c = cut(c.withColumn("event_id", F.col("at.event_id")).join(labels, "event_id").select(*key, "known", "shared", "label", "at", "people", "clock"))
+    ends = ["at", "people", "clock"]
+    groups = cut(c.groupBy(*key, "known", "shared", "label").agg(*[f(x).alias(f"{n}_{x}") for x in ends for n, f in (("least", F.min), ("most", F.max))]))
+    side = lambda df, s: df.select(*key, *[F.col(x).alias(f"{s}_{x}") for x in df.columns if x not in key])
+    meet = (F.col("branch") == "resolved") | ~(F.col("a_known") & F.col("b_known"))
+    opposite = F.create_map(*[F.lit(x) for t in sorted({a for a, _ in status_pairs()}) for x in (t, ",".join(b for a, b in status_pairs() if a == t))])
+    status = side(groups, "a").withColumn("event_type", F.explode(F.split(opposite[F.col("event_type")], ","))).join(side(groups, "b"), key)
+    status = status.where(meet & ((F.col("a_least_at") < F.col("b_most_at")) | (F.col("b_least_at") < F.col("a_most_at"))))
+    apart = lambda x: F.coalesce((F.col(f"a_least_{x}") != F.col(f"b_most_{x}")) | (F.col(f"a_most_{x}") != F.col(f"b_least_{x}")), F.lit(False))
+    same = side(groups, "a").join(side(groups, "b"), key).where(meet & ~(F.col("a_shared") & F.col("b_shared")) & (apart("people") | apart("clock")))
+    differ = lambda x: F.coalesce(F.col(f"a_{x}") != F.col(f"b_{x}"), F.lit(False))
+    few = c.where("shared")
+    single = side(few, "a").join(side(few, "b"), key).where(meet & differ("at") & (differ("people") | differ("clock")))
+    return status.select("a_label", "b_label").union(same.select("a_label", "b_label")).union(single.select("a_label", "b_label")).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
+
+
 def _ordered(split: DataFrame, claims: DataFrame) -> DataFrame:
     """Of split pairs of classes, in how many claim pairs the claim of a is the earlier one (forward).
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marram.functions import text as X
+from marram.operators import contradictions
 
 # The weights of the components, the score of a match, of a right place, and the examples that a report shows.
 WEIGHTS = {"event_type_f1": 0.26, "location_f1": 0.13, "people_f1": 0.13, "severity_f1": 0.18, "grounding": 0.10, "abstention": 0.05, "containment": 0.05, "contradiction_recall": 0.10}
@@ -153,11 +154,21 @@ def shapes(pairs: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def detected_shapes(conflicts: DataFrame, predicted: DataFrame) -> DataFrame:
     """The shapes of stored contradictions (event_a_id, event_b_id)."""
-    p = predicted.select("event_id", F.struct("event_type", F.lower(F.trim(F.coalesce(X.place_of(F.col("resolved_location"), F.col("location_text")), F.lit("")))).alias("place")).alias("c"))
+    p = _labelled(predicted).withColumnRenamed("label", "c")
     j = conflicts.join(p.select(F.col("event_id").alias("event_a_id"), F.col("c").alias("a")), "event_a_id").join(p.select(F.col("event_id").alias("event_b_id"), F.col("c").alias("b")), "event_b_id")
     return j.select(shape("a", "b").alias("s")).distinct().select("s.*")
 
 
+def _labelled(predicted: DataFrame) -> DataFrame:
+    return predicted.select("event_id", F.struct("event_type", F.lower(F.trim(F.coalesce(X.place_of(F.col("resolved_location"), F.col("location_text")), F.lit("")))).alias("place")).alias("label"))
+
+
+def comparable_shapes(predicted: DataFrame, compatibility: bool = True) -> DataFrame:
+    """Of the shapes of all contradictions among these claims, those that are not between different places: all that the recall asks for."""
+    pairs = contradictions.opposed(predicted, _labelled(predicted).distinct(), compatibility)
+    return pairs.select(shape("a", "b").alias("s")).where("s.kind = ''").distinct().select("s.*")
+
+
 def contradiction_recall(designed: DataFrame, detected: DataFrame) -> DataFrame:
     """One row: designed, comparable, detected shapes, and the recall over comparable ones (1 where there is none); undetectable shapes are designed ones that no comparison could find."""
     key = ["kind", "first_type", "second_type", "place"]

@@ -420,17 +420,21 @@ def score_shapes(spark, d):
     return designed.join(detected.withColumn("detected", F.lit(True)), key, "left").select(*key, "comparable", F.coalesce("detected", F.lit(False)).alias("detected"))
 
 
-def _shapes(spark, d, claims):
+def _designed(spark, d, claims):
     c = _claims(spark, d, "report_id").select("event_id", "report_id")
     pairs = _t(spark, d, "conflicts").join(c.select(F.col("event_id").alias("event_a_id"), F.col("report_id").alias("report_a")), "event_a_id").join(c.select(F.col("event_id").alias("event_b_id"), F.col("report_id").alias("report_b")), "event_b_id").select("report_a", "report_b").distinct()
-    return scoring.shapes(pairs, claims), scoring.detected_shapes(contradictions.contradictions(claims, False).select("event_a_id", "event_b_id"), claims)
+    return scoring.shapes(pairs, claims)
+
+
+def _shapes(spark, d, claims):
+    return _designed(spark, d, claims), scoring.detected_shapes(contradictions.contradictions(claims, False).select("event_a_id", "event_b_id"), claims)
 
 
 def score_weighted(spark, d):
     """The weighted score of guarded and collapsed claims, the stored ones being expected."""
     expected, predicted, matches = _scored(spark, d)
     flagged = _reports(spark, d, "suspected_injection").where("suspected_injection").select("report_id").distinct()
-    designed, detected = _shapes(spark, d, predicted)
+    designed, detected = _designed(spark, d, predicted), scoring.comparable_shapes(predicted, False)
     row = scoring.components(expected, predicted, matches, _links(spark, d), flagged, designed, detected, accents=False)
     return scoring.weighted(row.select(*[F.round(k, 6).alias(k) for k in scoring.WEIGHTS]))
 

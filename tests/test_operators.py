@@ -337,6 +337,19 @@ def test_shapes_and_recall(spark):
     assert (row.designed, row.comparable, row.detected, row.undetectable, row.contradiction_recall) == (2, 1, 1, 1, 1.0)
 
 
+def test_comparable_shapes_equal_those_of_listed_contradictions(spark, monkeypatch):
+    rnd, many = random.Random(3), []
+    for g in range(40):
+        for i in range(rnd.randint(2, 9)):
+            typed, resolved = rnd.choice([f"g{g} A", f"G{g} a!", f"g{g} B", None, ""]), rnd.choice([None, None, f"g{g} P", f"g{g} p-", " ", "!!"])
+            many.append({"event_id": f"g{g}e{rnd.randint(0, 5)}", "report_id": f"g{g}r{i}", "event_type": rnd.choice(["road_blocked", "road_open", "injury", "injury", "hazard"]), "location_text": typed, "resolved_location": resolved, "people_affected": rnd.choice([None, 1, 2]), "time_reference": rnd.choice([None, "9:00", "at 10:15"]), "created_at": rnd.choice([None, *map(at, range(4))])})
+    c, key = claims(spark, *many).distinct(), ["kind", "first_type", "second_type", "place"]
+    listed = scoring.detected_shapes(contradictions.contradictions(c).select("event_a_id", "event_b_id"), c).where("kind = ''").select(*key).collect()
+    monkeypatch.setattr(contradictions, "_pairs", None)  # pairs of classes are never listed
+    got = scoring.comparable_shapes(c).select(*key).collect()
+    assert len(got) == len(set(got)) > 20 and set(got) == set(listed)
+
+
 def test_place_tokens_equal_python(spark):
     texts = ["Pont Central!", "hôpital Al-Amal", "الجسر المركزي", None, "", "Rue 12 b", "ＡＢ ｃ", "a a"]
     got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", scoring.place_tokens(F.col("s")).alias("t")).orderBy("i").collect()]
