@@ -36,8 +36,6 @@ from marram.plans.shared import checked, salted_join, small_rows
 
 MOST_NAMES = 200_000
 MARGIN = 0.08
-#: Names whose variants calibrate the threshold; of a longer list, this many evenly spread ones.
-CALIBRATING = 500
 #: Cosines that are counted at once.
 CELLS = 4_000_000
 
@@ -126,7 +124,7 @@ class Index:
         self.new = math.log(1 + len(names)) ** 2
         self.norm = np.sqrt([sum(self.weight[self.number[g]] for g in _grams(p, self.sizes)) for p in names])
         self.threshold, place = 1.0, {p: k for k, p in enumerate(names)}
-        for p in names[:: max(1, len(names) // CALIBRATING)]:
+        for p in names:
             own = _grams(p, self.sizes)
             for v in _variants(p):
                 grams = _grams(v, self.sizes)

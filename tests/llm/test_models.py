@@ -70,6 +70,15 @@ def test_places_index_equals_brute_force():
         assert dict(index.near([token])[0]) == pytest.approx({n: c for n, c in want.items() if c >= index.threshold and c > 0})
 
 
+def test_places_every_name_calibrates_the_threshold():
+    r = random.Random(1)
+    names = sorted({"".join(r.choice(["kel", "miz", "sor", "dou", "rif", "che", "lin"]) for _ in range(6)) for _ in range(1200)})
+    names.insert(1, "lin")  # the shortest name is the least like its variants
+    index = places.Index(names, False)
+    asked = list(places._variants("lin"))
+    assert len(names) > 1000 and all("lin" in dict(near) for near in index.near(asked))
+
+
 SENTENCES = {
     "en": ["The water rose {n} m near {p} lane and reached the yard.", "Please send help to {p} Road now.", "Nobody has answered the phone since {n}:10."],
     "fr": ["L'eau est montée de {n} m près de rue {p}.", "Envoyez vite des secours à {p}, merci.", "Personne ne répond au téléphone depuis {n}h10."],
