@@ -6,9 +6,8 @@ routes the patterns' capacity to the sources' quotas: the k-th use of a text
 costs k - 1, so repetition is spread as thinly as the quotas allow. The total
 is the largest for which every source reaches its target share. Documents are
 then taken in a seeded order; prefix sums are kept per hash bucket, whose number
-follows from the number of texts, so no pattern is ever sorted in one task. Of
-more patterns than the flow can hold, the texts of the smallest count for one of
-their sources.
+follows from the number of texts, so no pattern is ever sorted in one task. The
+flow takes every pattern, however many there are.
 
 Defined results: documents without source, without target or without text take
 no part; copies of a text, within a source or between sources, are one text
@@ -20,6 +19,7 @@ the others in proportion.
 from __future__ import annotations
 
 import base64
+import warnings
 from collections import deque
 from collections.abc import Iterator
 
@@ -35,7 +35,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How a text is cut before byte pairs are merged; the pattern that belongs to the vocabulary.
 SEP = "\x1f"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MOST_SOURCES, MOST_PATTERNS = 5_000, 50_000
+MOST_SOURCES = 5_000
+#: Patterns beyond which a warning says that the flow, on the driver, takes long.
+MOST_PATTERNS = 50_000
 #: Texts of a bucket, about, whose prefix sums are taken in one task; bucket count of small corpora; hashes of texts a partition remembers.
 A_BUCKET, BUCKETS, KNOWN = 100_000, 256, 200_000
 
@@ -163,18 +165,6 @@ def _patterns(units: DataFrame) -> DataFrame:
     return units.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("texts"))
 
 
-def _fewer(units: DataFrame, counts: DataFrame, repeats: dict[str, int], most: int) -> DataFrame:
-    """units with at most `most` patterns of several sources, the largest: each text of another counts for that one of its sources that allows the fewest uses.
-
-    No text is lost and none is used more often than all its sources allow; it
-    only no longer helps its other sources.
-    """
-    kept = counts.where(F.col("pattern").contains(SEP)).orderBy(F.desc("tokens"), "pattern").limit(most).select("pattern", F.lit(True).alias("_kept"))
-    uses = F.create_map(*[F.lit(x) for s, n in repeats.items() for x in (s, n)])
-    one = F.array_min(F.transform(F.split("pattern", SEP), lambda s: F.struct(uses[s].alias("n"), s.alias("s"))))["s"]
-    return units.join(F.broadcast(kept), "pattern", "left").withColumn("pattern", F.when(F.coalesce("_kept", F.lit(False)), F.col("pattern")).otherwise(one)).drop("_kept")  # at most `most` rows
-
-
 def select(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 11) -> DataFrame:
     """doc_id (the least that holds the text), tokens, source it is used for, and uses there."""
     rows = small_rows(targets.select("source", "target_share", "max_repeats"), "mix_targets", MOST_SOURCES)
@@ -184,10 +174,9 @@ def select(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed
     keep = Kept()
     units = keep(units.withColumn("pattern", F.concat_ws(SEP, "pattern")))
     counts = keep(_patterns(units))
-    if counts.count() > MOST_PATTERNS:
-        units = keep(_fewer(units, counts, repeats, MOST_PATTERNS))
-        counts = keep(_patterns(units))
-    pats = small_rows(counts, "the table of membership patterns", MOST_PATTERNS + MOST_SOURCES)
+    pats = counts.collect()  # all of them: a text counts for every source that holds it
+    if len(pats) > MOST_PATTERNS:
+        warnings.warn(f"the flow over {len(pats)} membership patterns takes long and much of the driver's memory", stacklevel=2)
     sizes = {tuple(r.pattern.split(SEP)): r.tokens for r in pats}
     buckets = max(BUCKETS, sum(r.texts for r in pats) // A_BUCKET)
     units = units.withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(buckets)))

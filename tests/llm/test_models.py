@@ -234,6 +234,15 @@ def test_more_patterns_than_the_flow_holds(spark, monkeypatch):
     assert all(abs(x - 0.2) < 0.03 for x in shares)
 
 
+def test_many_patterns_are_planned_like_few(spark, monkeypatch):
+    shared = ["abc", "bcd", "cda", "ab", "bc", "cd", "da", "a", "b", "c", "d"]
+    docs = spark.createDataFrame([(10 * i + k, s, f"text number {i} with some words in it") for i in range(200) for k, s in enumerate(shared[i % 11])], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.55, 3), ("b", 0.25, 1), ("c", 0.1, 2), ("d", 0.1, 1)], "source string, target_share double, max_repeats int")
+    whole = sorted(mixing.select(docs, targets).collect())
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
+    assert sorted(mixing.select(docs, targets).collect()) == whole
+
+
 def test_levels(spark):
     r = random.Random(1)
     easy, news, hard = "dog ran mud cold bread cat sun big red home".split(), "council repaired damaged bridges announced shelters residents weekend district officials".split(), "heteroscedasticity epistemological jurisprudential commensurability instrumentation extrapolation promulgation circumspection asymmetry substrata".split()
